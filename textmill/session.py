@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +31,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if len(df.inputFiles()) >= width:
         return df
     return df.repartition(4 * width, *keys)
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder for intermediate files in the shared folder the session names.
+
+    A folder of this machine stands in only where the session names none, which is
+    meant for tests in local mode.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return f"{(shared or tempfile.mkdtemp(prefix='textmill-')).rstrip('/')}/{uuid.uuid4().hex}"
