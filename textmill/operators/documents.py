@@ -9,6 +9,7 @@ from textmill import errors
 from textmill.functions.text import is_blank, normalize, strip
 from textmill.operators.chunk_pack import pack_text
 from textmill.options import JobOptions, Limits
+from textmill.session import materialize
 
 
 def chunk_columns(**given: Column) -> list[Column]:
@@ -55,44 +56,32 @@ def chunk_documents(docs: DataFrame, options: JobOptions = JobOptions(), *keep:
     )
 
 
-def oversize_parts(parts: DataFrame, key: str, text: str, limits: Limits) -> DataFrame:
-    """Documents whose parts sum to more than the file limit, as error records.
+def within_limit(parts: DataFrame, key: str, text: str, limits: Limits) -> tuple[DataFrame, DataFrame]:
+    """Parts of the documents within the file size limit, and the errors of the others.
 
-    The sizes are summed before the shuffle, so a document with a third of all
-    parts costs one row per task.
+    Run before the parts of a document are collected, so that no group is larger
+    than a file may be. The sizes are summed before the shuffle, so a document with
+    a third of all parts costs one row per task.
     """
     sizes = parts.groupBy(key).agg(F.sum(F.octet_length(text) + 1).alias("bytes"))
-    return sizes.where(F.col("bytes") > limits.max_file_bytes).select(
-        F.col(key).cast("string").alias("source_file"),
+    big = materialize(sizes.where(F.col("bytes") > limits.max_file_bytes).select(key))
+    name = F.col(key).cast("string")
+    failed = big.select(
+        name.alias("source_file"),
         F.lit(errors.FILE_TOO_LARGE).alias("error_code"),
-        errors.file_too_large(F.col(key).cast("string"), limits.max_file_bytes).alias("message"),
+        errors.file_too_large(name, limits.max_file_bytes).alias("message"),
         F.lit(None).cast("string").alias("detail"),
-        F.col(key).alias("_key"),
     )
-
-
-def _within_limit(parts: DataFrame, key: str, text: str, limits: Limits) -> tuple[DataFrame, DataFrame]:
-    big = oversize_parts(parts, key, text, limits)
-    fitting = parts.join(big.select(F.col("_key").alias(key)), key, "left_anti")
-    return fitting, big.drop("_key")
-
-
-def _joined(order: list[str], text: str) -> Column:
-    """Texts of a group in order, one per line."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, text)))
-    return F.array_join(F.transform(rows, lambda r: r[text]), "\n")
+    return parts.join(big, key, "left_anti"), failed
 
 
 def page_concat(
     pages: DataFrame, key: str = "doc", order: str = "page_no", text: str = "text", limits: Limits = Limits()
 ) -> tuple[DataFrame, DataFrame]:
-    """Non-empty page texts of a document joined by newlines (B10), and the errors.
-
-    The size limit of a file bounds every group before it is collected.
-    """
-    filled = pages.where(F.col(text) != "")
-    fitting, too_big = _within_limit(filled, key, text, limits)
-    return fitting.groupBy(key).agg(_joined([order], text).alias(text)), too_big
+    """Non-empty page texts of a document joined by newlines (B10), and the errors."""
+    filled, failed = within_limit(pages.where(F.col(text) != ""), key, text, limits)
+    ordered = F.array_sort(F.collect_list(F.struct(order, text)))
+    return filled.groupBy(key).agg(F.array_join(ordered[text], "\n").alias(text)), failed
 
 
 def block_dedupe(
@@ -101,18 +90,15 @@ def block_dedupe(
     """Paragraphs as they are, then table cells on first occurrence only (B9), and the errors.
 
     A cell is dropped where its stripped text equals an earlier cell or an
-    unstripped paragraph. One grouped minimum decides both, pre-aggregated per
-    task, so a value that fills a third of a document stays cheap.
+    unstripped paragraph. Both rules are one array difference on the document's own
+    blocks, which the size limit bounds.
     """
-    filled = blocks.where(~is_blank(text))
+    filled, failed = within_limit(blocks.where(~is_blank(text)), key, text, limits)
+
+    def texts(of: Column) -> Column:
+        return F.array_sort(F.collect_list(F.when(of, F.struct(order, text))))[text]
+
     is_cell = F.col(kind) == "cell"
-    paragraphs = filled.where(~is_cell).select(key, F.lit(0).alias("_part"), order, text)
-    cells = (
-        filled.select(key, F.when(is_cell, strip(text)).otherwise(F.col(text)).alias(text), F.when(is_cell, F.col(order)).alias("_cell"))
-        .groupBy(key, text)
-        .agg(F.min("_cell").alias(order), F.count_if(F.col("_cell").isNull()).alias("_paragraphs"))
-        .where(F.col("_paragraphs") == 0)
-        .select(key, F.lit(1).alias("_part"), order, text)
-    )
-    fitting, too_big = _within_limit(paragraphs.unionByName(cells), key, text, limits)
-    return fitting.groupBy(key).agg(_joined(["_part", order], text).alias(text)), too_big
+    grouped = filled.groupBy(key).agg(texts(~is_cell).alias("_paragraphs"), texts(is_cell).alias("_cells"))
+    cells = F.array_except(F.transform("_cells", strip), F.col("_paragraphs"))
+    return grouped.select(key, F.array_join(F.concat("_paragraphs", cells), "\n").alias(text)), failed

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.session import materialize
+
 BLOCK = 1 << 12
 BLK = "_blk"
 
@@ -56,7 +58,7 @@ def dense_index(df: DataFrame, key: str, order: str, name: str, weight: Column |
     numbers the pieces a row is about to be exploded into.
     """
     weighed = df.withColumn(BLK, block_of(order)).withColumn("_w", F.lit(1) if weight is None else weight)
-    totals = running_totals(weighed.groupBy(key, BLK).agg(F.sum("_w").alias("_n")), key, "_n")
+    totals = materialize(running_totals(weighed.groupBy(key, BLK).agg(F.sum("_w").alias("_n")), key, "_n"))
     local = Window.partitionBy(key, BLK).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         weighed.join(totals.select(key, BLK, "_n_before"), [key, BLK])

@@ -6,19 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.functions.columns import let
-from textmill.functions.text import is_blank, strip, to_text
-from textmill.operators.documents import _within_limit, chunk_columns, chunk_documents
+from textmill.functions.text import is_blank, strip
+from textmill.operators.documents import chunk_columns, chunk_documents, within_limit
+from textmill.operators.layout import Layout, layout_of
 from textmill.operators.ordering import BLK, block_of, running_totals
-from textmill.operators.row_text import SEPARATOR, cells, has_text, row_map, row_text
-from textmill.operators.table_clean import (
-    by_block,
-    data_columns,
-    source_profile,
-    table_gate,
-    table_profile,
-    too_long_tables,
-)
+from textmill.operators.row_text import SEPARATOR, row_map, row_text
+from textmill.operators.table_clean import by_block, source_profile, table_gate, table_profile, too_long_tables
 from textmill.options import JobOptions
+from textmill.session import materialize
 
 SAMPLE_SIZE = 100  # Fixed value: rows measured for the ratio of a table.
 FALLBACK_RATIO = 4.0  # Fixed value: characters per token of a table without text.
@@ -31,9 +26,9 @@ def table_type(extension: Column) -> Column:
     return F.when(ext == ".csv", "csv").when(ext.isin(".xlsx", ".xls"), "excel").otherwise("table")
 
 
-def _text_of(columns: list[str], options: JobOptions, kept: Column) -> Column:
+def _text_of(layout: Layout, options: JobOptions, kept: Column) -> Column:
     return row_text(
-        columns,
+        layout,
         options.include_column_names,
         options.values_only_threshold,
         options.normalization,
@@ -42,15 +37,15 @@ def _text_of(columns: list[str], options: JobOptions, kept: Column) -> Column:
     )
 
 
-def sample_blocks(profile: DataFrame, source: DataFrame, columns: list[str], options: JobOptions) -> DataFrame:
+def sample_blocks(profile: DataFrame, source: DataFrame, options: JobOptions) -> DataFrame:
     """Blocks holding sampled rows, with the rank of their first row and the sampling step.
 
     Rank ``k * step`` for k below the sample size is taken; a block is wanted when
     one of these ranks falls into it. At most one block per sampled row remains.
     """
-    single = options.output_text_column if options.output_text_column in columns else ""
     blocks = profile.join(source.select("source_file", "kept"), "source_file")
-    n = F.when(F.array_contains("kept", single), F.col("n_single")).otherwise(F.col("n_text")) if single else F.col("n_text")
+    single = F.array_contains("kept", options.output_text_column) if options.output_text_column else F.lit(False)
+    n = F.when(single, F.col("n_single")).otherwise(F.col("n_text"))
     ranked = running_totals(blocks.select("source_file", BLK, "kept", n.alias("_n")), "source_file", "_n")
     step = F.greatest(F.lit(1), F.floor(F.col("_n_total") / SAMPLE_SIZE))
     first = F.ceil(F.col("_n_before") / F.col("_step"))
@@ -61,23 +56,27 @@ def sample_blocks(profile: DataFrame, source: DataFrame, columns: list[str], opt
     )
 
 
-def char_token_ratio(rows: DataFrame, columns: list[str], options: JobOptions, profile=None, source=None) -> DataFrame:
+def char_token_ratio(rows: DataFrame, options: JobOptions, columns: list[str] | None = None) -> DataFrame:
     """Characters per token of each table from a systematic sample of its rows."""
-    blocked = rows if BLK in rows.columns else rows.withColumn(BLK, block_of("row_idx"))
-    profile = table_profile(rows, columns, options.output_text_column) if profile is None else profile
-    source = source_profile(profile, columns) if source is None else source
-    wanted = sample_blocks(profile, source, columns, options)
+    layout = layout_of(rows, columns)
+    profile = table_profile(rows, layout, options.output_text_column)
+    return _sampled_ratio(rows, layout, options, profile, source_profile(profile))
+
+
+def _sampled_ratio(rows: DataFrame, layout: Layout, options: JobOptions, profile: DataFrame, source: DataFrame) -> DataFrame:
+    wanted = materialize(sample_blocks(profile, source, options))
     local = Window.partitionBy("source_file", BLK).orderBy("row_idx")
-    single = options.output_text_column if options.output_text_column in columns else ""
-    filled = has_text(columns)
-    if single:
-        filled = F.when(F.array_contains("kept", single), ~is_blank(to_text(F.col(f"`{single}`")))).otherwise(filled)
+    filled = layout.has_text()
+    if options.output_text_column:
+        name = options.output_text_column
+        filled = F.when(F.array_contains("kept", name), ~is_blank(layout.cell(name))).otherwise(filled)
     sampled = (
-        blocked.join(wanted, ["source_file", BLK])
+        rows.withColumn(BLK, block_of("row_idx"))
+        .join(wanted, ["source_file", BLK])
         .where(filled)
         .withColumn("_rank", F.col("_rank") + F.row_number().over(local) - 1)
         .where((F.col("_rank") % F.col("_step") == 0) & (F.col("_rank") / F.col("_step") < SAMPLE_SIZE))
-        .select("source_file", _text_of(columns, options, F.col("kept")).alias("_text"))
+        .select("source_file", _text_of(layout, options, F.col("kept")).alias("_text"))
     )
     measured = sampled.groupBy("source_file").agg(
         F.sum(F.length("_text")).alias("chars"), F.sum(options.counter.count("_text")).alias("tokens")
@@ -173,50 +172,44 @@ def chunk_rows(
     """Rows of tables to chunks with dense indexes per source (D3-D18, without the gate).
 
     ``rows`` holds ``source_file``, ``row_idx`` (a position, unique per source) and
-    the cells. The rows are shuffled once, by source and block; the ratio sample,
-    the segment counts and the final numbering all reuse that partitioning.
+    the cells. Three narrow passes find the used columns, the ratio and the number
+    of segments per block of rows; the last pass shuffles the rows once, by source
+    and block, and numbers them.
     """
-    columns = columns or data_columns(rows)
-    profile = table_profile(rows, columns, options.output_text_column)
-    source = source_profile(profile, columns)
-    return _chunk_profiled(rows, columns, options, extension, profile, source)
-
-
-def _chunk_profiled(rows, columns, options, extension, profile, source) -> DataFrame:
-    blocked = rows.select("source_file", "row_idx", block_of("row_idx").alias(BLK), *columns).repartition("source_file", BLK)
-    ratio = char_token_ratio(blocked, columns, options, profile, source)
-    scalars = source.select("source_file", "kept").join(ratio, "source_file")
-    row = cells(columns)
-    segments = (
-        blocked.join(by_block(profile, scalars), ["source_file", BLK])
-        .where(has_text(columns))
-        .withColumn("_text", _text_of(columns, options, F.col("kept")))
-        .withColumn(
-            "_segments",
-            row_segments(
-                F.col("_text"),
-                F.filter(row, lambda c: F.array_contains(F.col("kept"), c["name"])),
-                F.col("ratio"),
-                options,
-            ),
-        )
-    )
-    offsets = running_totals(
-        segments.groupBy("source_file", BLK).agg(F.sum(F.size("_segments")).alias("_n")), "source_file", "_n"
-    )
+    layout = layout_of(rows, columns)
+    profile = table_profile(rows, layout, options.output_text_column)
+    return _chunk_profiled(rows, layout, options, extension, profile, source_profile(profile))
+
+
+def _chunk_profiled(
+    rows: DataFrame, layout: Layout, options: JobOptions, extension: str, profile: DataFrame, source: DataFrame
+) -> DataFrame:
+    ratio = _sampled_ratio(rows, layout, options, profile, source)
+    facts = source.select("source_file", "kept").join(ratio, "source_file")
+    blocks = materialize(by_block(profile, facts))
+    blocked = rows.withColumn(BLK, block_of("row_idx")).where(layout.has_text())
+    kept_cells = F.filter(layout.cells(), lambda c: F.array_contains(F.col("kept"), c["name"]))
+
+    def cut(known: DataFrame) -> DataFrame:
+        texts = blocked.join(known, ["source_file", BLK]).withColumn("_text", _text_of(layout, options, F.col("kept")))
+        return texts.withColumn("_segments", row_segments(F.col("_text"), kept_cells, F.col("ratio"), options))
+
+    counts = cut(blocks).groupBy("source_file", BLK).agg(F.sum(F.size("_segments")).alias("_n"))
+    totals = running_totals(counts, "source_file", "_n").select("source_file", BLK, "_n_before")
+    numbered = materialize(totals.join(blocks, ["source_file", BLK]))
+
     before = Window.partitionBy("source_file", BLK).orderBy("row_idx").rowsBetween(Window.unboundedPreceding, -1)
-    data = row_map(columns, F.col("kept"))
-    exploded = (
-        segments.join(offsets.select("source_file", BLK, "_n_before"), ["source_file", BLK])
-        .withColumn("_base", F.col("_n_before") + F.coalesce(F.sum(F.size("_segments")).over(before), F.lit(0)))
-        .select(
-            "source_file",
-            "row_idx",
-            "kept",
-            "_base",
-            *([data.alias("_row")] if options.attach_row_data or options.flatten_row_values_to_root else []),
-            F.posexplode("_segments").alias("_pos", "_segment"),
-        )
+    attach = options.attach_row_data or options.flatten_row_values_to_root
+    segments = cut(numbered)
+    exploded = segments.withColumn(
+        "_base", F.col("_n_before") + F.coalesce(F.sum(F.size("_segments")).over(before), F.lit(0))
+    ).select(
+        "source_file",
+        "row_idx",
+        "kept",
+        "_base",
+        *([row_map(layout, F.col("kept")).alias("_row")] if attach else []),
+        F.posexplode("_segments").alias("_pos", "_segment"),
     )
     none = F.lit(None).cast("map<string,string>")
     return exploded.select(
@@ -237,17 +230,20 @@ def _chunk_profiled(rows, columns, options, extension, profile, source) -> DataF
     )
 
 
-def fallback_documents(rows: DataFrame, columns: list[str], options: JobOptions) -> tuple[DataFrame, DataFrame]:
+def fallback_documents(rows: DataFrame, layout: Layout, options: JobOptions) -> tuple[DataFrame, DataFrame]:
     """Tables that fail the gate as plain texts, header first (D14), and the errors.
 
     Blank cells stay in. The file size limit bounds each text before it is put together.
     """
-    line = F.concat_ws(SEPARATOR, *[to_text(F.col(f"`{c}`")) for c in columns])
-    lines = rows.select("source_file", "row_idx", line.alias("line"))
-    fitting, too_big = _within_limit(lines, "source_file", "line", options.limits)
+    lines = rows.select(
+        "source_file",
+        "row_idx",
+        layout.line(SEPARATOR).alias("line"),
+        F.array_join(layout.header(), SEPARATOR).alias("header"),
+    )
+    fitting, too_big = within_limit(lines, "source_file", "line", options.limits)
     ordered = F.array_sort(F.collect_list(F.struct("row_idx", "line")))
-    header = F.lit(SEPARATOR.join(columns))
-    text = F.array_join(F.concat(F.array(header), F.transform(ordered, lambda r: r["line"])), "\n")
+    text = F.array_join(F.concat(F.array(F.any_value("header")), F.transform(ordered, lambda r: r["line"])), "\n")
     return fitting.groupBy("source_file").agg(text.alias("text")), too_big
 
 
@@ -255,27 +251,18 @@ def chunk_tables(
     rows: DataFrame, options: JobOptions = JobOptions(), extension: str = ".csv", columns: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Tables to chunks with the gate and the row cap (D1-D18), and the errors."""
-    columns = columns or data_columns(rows)
-    profile = table_profile(rows, columns, options.output_text_column)
-    source = source_profile(profile, columns)
-    too_long = too_long_tables(source, options.limits)
-    gated = table_gate(
-        source.where(F.col("n_rows") <= options.limits.max_table_rows),
-        len(columns),
-        options.min_cols_for_table,
-        options.min_rows_for_table,
-    )
+    layout = layout_of(rows, columns)
+    profile = table_profile(rows, layout, options.output_text_column)
+    whole = source_profile(profile)
+    within = whole.where(F.col("n_rows") <= options.limits.max_table_rows)
+    gated = materialize(table_gate(within, options.min_cols_for_table, options.min_rows_for_table))
     # The verdict reaches the rows per block, so a hot table does not skew the join.
-    refused = by_block(profile, gated.where(~F.col("is_table")).select("source_file"))
-    blocked = rows.withColumn(BLK, block_of("row_idx"))
-    loose = blocked.join(refused, ["source_file", BLK], "left_semi").drop(BLK)
-
-    texts, too_big = fallback_documents(loose, columns, options)
+    refused = materialize(by_block(profile, gated.where(~F.col("is_table")).select("source_file")))
+    loose = rows.withColumn(BLK, block_of("row_idx")).join(refused, ["source_file", BLK], "left_semi").drop(BLK)
+    texts, too_big = fallback_documents(loose, layout, options)
     plain = chunk_documents(texts, options).withColumn("row_idx", F.lit(None).cast("bigint"))
-    failed = too_long.unionByName(too_big)
-    if options.min_cols_for_table is not None and len(columns) < options.min_cols_for_table:
-        return plain, failed
+
     tables = gated.where("is_table")
-    kept_profile = profile.join(tables.select("source_file"), "source_file", "left_semi")
-    tabular = _chunk_profiled(rows, columns, options, extension, kept_profile, tables)
-    return tabular.unionByName(plain), failed
+    table_blocks = profile.join(tables.select("source_file"), "source_file", "left_semi")
+    tabular = _chunk_profiled(rows, layout, options, extension, table_blocks, tables)
+    return tabular.unionByName(plain), too_long_tables(whole, options.limits).unionByName(too_big)

@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textmill.functions.columns import let
-from textmill.functions.text import fold_case, is_blank, strip, to_text
+from textmill.functions.text import fold_case, is_blank, strip
+from textmill.operators.layout import Layout
 
 # Cell spellings that read as missing.
 NA_SPELLINGS = (
@@ -21,20 +22,6 @@ def missing_to_null(c: Column) -> Column:
     return F.when(~c.isin(*NA_SPELLINGS), c)
 
 
-def cells(columns: list[str]) -> Column:
-    """The row as ``array<struct<name, val>>`` in column order, nulls as empty strings."""
-    return F.array(*[F.struct(F.lit(c).alias("name"), to_text(F.col(f"`{c}`")).alias("val")) for c in columns])
-
-
-def has_text(columns: list[str]) -> Column:
-    """Whether any cell holds more than whitespace."""
-    blank = [is_blank(to_text(F.col(f"`{c}`"))) for c in columns]
-    out = ~blank[0]
-    for b in blank[1:]:
-        out = out | ~b
-    return out
-
-
 def join_cells(row: Column, include_names: bool, values_only_threshold: int) -> Column:
     """Non-blank cells as ``col: val | col: val``, or values only where few are filled."""
 
@@ -49,7 +36,7 @@ def join_cells(row: Column, include_names: bool, values_only_threshold: int) ->
 
 
 def row_text(
-    columns: list[str],
+    layout: Layout,
     include_column_names: bool = True,
     values_only_threshold: int = 2,
     normalization: str = "none",
@@ -61,16 +48,16 @@ def row_text(
     ``output_text_column`` alone is the text where the table has it and it is not
     entirely null; ``column_kept`` says so per source. Inner whitespace stays.
     """
-    joined = join_cells(cells(columns), include_column_names, values_only_threshold)
-    if output_text_column and output_text_column in columns:
-        single = to_text(F.col(f"`{output_text_column}`"))
-        joined = single if column_kept is None else F.when(column_kept, single).otherwise(joined)
+    joined = join_cells(layout.cells(), include_column_names, values_only_threshold)
+    if output_text_column:
+        has = F.array_contains(layout.header(), output_text_column) if column_kept is None else column_kept
+        joined = F.when(has, layout.cell(output_text_column)).otherwise(joined)
     return strip(fold_case(joined, normalization))
 
 
-def row_map(columns: list[str], kept: Column | None = None) -> Column:
+def row_map(layout: Layout, kept: Column | None = None) -> Column:
     """All kept columns of the row, blanks included."""
-    row = cells(columns)
+    row = layout.cells()
     if kept is not None:
         row = F.filter(row, lambda c: F.array_contains(kept, c["name"]))
     return F.map_from_entries(row)

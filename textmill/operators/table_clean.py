@@ -2,47 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill import errors
-from textmill.functions.text import is_blank, to_text
+from textmill.functions.text import is_blank
+from textmill.operators.layout import Layout, layout_of
 from textmill.operators.ordering import BLK, BLOCK, block_of, dense_index
-from textmill.operators.row_text import has_text
 from textmill.options import Limits
+from textmill.session import materialize
 
 SPARSE_RUN = 50  # Fixed value: consecutive sparse rows that end a sheet.
 MIN_FILLED = 2  # Fixed value: filled cells a row needs to count.
 
 
-def data_columns(df: DataFrame, *extra: str) -> list[str]:
-    return [c for c in df.columns if c not in {"source_file", "row_idx", BLK, *extra}]
+def table_profile(rows: DataFrame, layout: Layout, text_column: str = "") -> DataFrame:
+    """Row counts and used columns per ``(source, block)`` in one narrow pass.
 
-
-def table_profile(rows: DataFrame, columns: list[str], text_column: str = "") -> DataFrame:
-    """Row counts and non-null columns per ``(source, block)`` in one narrow pass.
-
-    Feeds the gate, the row cap, the column cleanup and the ratio sample, so the
-    input is read once for all of them. ``n_single`` counts the rows with text in
-    ``text_column`` alone.
+    Feeds the gate, the row cap, the column cleanup and the ratio sample. The
+    result has one row per few thousand input rows; it is written once, so the
+    input is not read again for each of them. ``n_single`` counts the rows with
+    text in ``text_column`` alone.
     """
-    single = ~is_blank(to_text(F.col(f"`{text_column}`"))) if text_column in columns else F.lit(False)
-    return rows.groupBy("source_file", block_of("row_idx").alias(BLK)).agg(
+    single = ~is_blank(layout.cell(text_column)) if text_column else F.lit(False)
+    counted = rows.groupBy("source_file", block_of("row_idx").alias(BLK)).agg(
         F.count("*").alias("n_rows"),
-        F.count_if(has_text(columns)).alias("n_text"),
+        F.count_if(layout.has_text()).alias("n_text"),
         F.count_if(single).alias("n_single"),
-        *[F.count(F.col(f"`{c}`")).alias(f"_n{i}") for i, c in enumerate(columns)],
+        F.any_value(layout.header()).alias("header"),
+        *layout.used(),
+    )
+    return materialize(
+        counted.select("source_file", BLK, "n_rows", "n_text", "n_single", "header", layout.used_names().alias("used"))
     )
 
 
-def source_profile(profile: DataFrame, columns: list[str]) -> DataFrame:
-    """The block profile rolled up: rows, text rows and the kept columns per source (D3)."""
-    filled = [F.when(F.sum(f"_n{i}") > 0, F.lit(c)) for i, c in enumerate(columns)]
-    return profile.groupBy("source_file").agg(
-        F.sum("n_rows").alias("n_rows"),
-        F.sum("n_text").alias("n_text"),
-        F.array_compact(F.array(*filled)).alias("kept"),
+def source_profile(profile: DataFrame) -> DataFrame:
+    """The block profile rolled up: rows, text rows, header and kept columns per source (D3)."""
+    counts = profile.groupBy("source_file").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n_text").alias("n_text"), F.any_value("header").alias("header")
     )
+    # Distinct before collecting: a set is never larger than the header.
+    used = profile.select("source_file", F.explode("used").alias("name")).distinct()
+    names = used.groupBy("source_file").agg(F.collect_set("name").alias("_names"))
+    kept = F.filter("header", lambda h: F.array_contains(F.coalesce("_names", F.array().cast("array<string>")), h))
+    return counts.join(names, "source_file", "left").select("source_file", "n_rows", "n_text", "header", kept.alias("kept"))
 
 
 def drop_null_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -51,19 +55,19 @@ def drop_null_columns(df: DataFrame, columns: list[str] | None = None) -> DataFr
     One aggregation returns a single row of counts; the schema must be known
     before the plan is built.
     """
-    names = columns or data_columns(df)
+    names = layout_of(df, columns).names
     counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"_n{i}") for i, c in enumerate(names)]).first()
     return df.drop(*[c for i, c in enumerate(names) if counts[i] == 0])
 
 
 def drop_blank_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Drop rows without any text."""
-    return df.where(has_text(columns or data_columns(df)))
+    return df.where(layout_of(df, columns).has_text())
 
 
-def table_gate(source: DataFrame, n_columns: int, min_cols: int | None, min_rows: int | None) -> DataFrame:
+def table_gate(source: DataFrame, min_cols: int | None, min_rows: int | None) -> DataFrame:
     """Mark the sources too narrow or too short to be a table (D2), before any cleanup."""
-    narrow = F.lit(min_cols is not None and n_columns < min_cols)
+    narrow = F.size("header") < min_cols if min_cols is not None else F.lit(False)
     short = F.col("n_rows") < min_rows if min_rows is not None else F.lit(False)
     return source.withColumn("is_table", ~(narrow | short))
 
@@ -79,9 +83,9 @@ def too_long_tables(source: DataFrame, limits: Limits = Limits()) -> DataFrame:
     )
 
 
-def by_block(profile: DataFrame, scalars: DataFrame) -> DataFrame:
+def by_block(blocks: DataFrame, scalars: DataFrame) -> DataFrame:
     """Per-source values on every block of the source, ready for a join that does not skew."""
-    return profile.select("source_file", BLK).join(scalars, "source_file")
+    return blocks.select("source_file", BLK).join(scalars, "source_file")
 
 
 def row_cap(rows: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
@@ -90,17 +94,10 @@ def row_cap(rows: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, Data
     The verdict is joined per block, so a hot table is spread over the cluster.
     """
     blocked = rows.withColumn(BLK, block_of("row_idx"))
-    counts = blocked.groupBy("source_file", BLK).agg(F.count("*").alias("n_rows"))
+    counts = materialize(blocked.groupBy("source_file", BLK).agg(F.count("*").alias("n_rows")))
     source = counts.groupBy("source_file").agg(F.sum("n_rows").alias("n_rows"))
-    within = by_block(counts, source.where(F.col("n_rows") <= limits.max_table_rows).select("source_file"))
-    return blocked.join(within, ["source_file", BLK], "left_semi").drop(BLK), too_long_tables(source, limits)
-
-
-def filled_cells(columns: list[str]) -> Column:
-    out = F.lit(0)
-    for c in columns:
-        out = out + (~is_blank(to_text(F.col(f"`{c}`")))).cast("int")
-    return out
+    refused = materialize(by_block(counts, source.where(F.col("n_rows") > limits.max_table_rows).select("source_file")))
+    return blocked.join(refused, ["source_file", BLK], "left_anti").drop(BLK), too_long_tables(source, limits)
 
 
 def sheet_header(names: list[str | None]) -> list[str]:
@@ -108,34 +105,43 @@ def sheet_header(names: list[str | None]) -> list[str]:
     return [f"col_{i}" if n is None else str(n) for i, n in enumerate(names)]
 
 
-def cut_sparse_rows(
-    rows: DataFrame, columns: list[str] | None = None, dense: bool = False, run: int = SPARSE_RUN, min_filled: int = MIN_FILLED
-) -> DataFrame:
-    """Drop sparse rows, and everything from the ``run``-th consecutive one on.
+def sparse_cut(flags: DataFrame, run: int) -> DataFrame:
+    """The ``row_idx`` of the row that ends each source, for ``flags(source_file, row_idx, sparse)``.
 
-    A row ends a run when it and the ``run - 1`` rows before it are all sparse.
+    A row ends the sheet when it and the ``run - 1`` rows before it are all sparse.
     That needs no running group over the table: each block sees the last rows of
-    the block before it, and the first such row per source is the cut. ``dense``
-    tells that ``row_idx`` already counts 0, 1, 2 within each source.
+    the block before it.
     """
-    columns = columns or data_columns(rows)
-    df = rows.withColumn("_sparse", filled_cells(columns) < min_filled)
-    df = df.withColumn("_pos", F.col("row_idx")) if dense else dense_index(df, "source_file", "row_idx", "_pos")
-
+    placed = dense_index(flags, "source_file", "row_idx", "_pos")
     blk = F.floor(F.col("_pos") / BLOCK).cast("bigint")
     halo = F.when(F.col("_pos") % BLOCK >= BLOCK - (run - 1), F.array(blk, blk + 1)).otherwise(F.array(blk))
-    flags = df.select("source_file", "_pos", "_sparse", F.explode(halo).alias(BLK))
     back = Window.partitionBy("source_file", BLK).orderBy("_pos").rowsBetween(-(run - 1), 0)
-    ended = flags.withColumn("_run", F.sum(F.col("_sparse").cast("int")).over(back)).groupBy("source_file", BLK).agg(
-        F.min(F.when(F.col("_run") == run, F.col("_pos"))).alias("_cut")
+    return (
+        placed.select("source_file", "row_idx", "_pos", "sparse", F.explode(halo).alias(BLK))
+        .withColumn("_run", F.sum(F.col("sparse").cast("int")).over(back))
+        .where(F.col("_run") == run)
+        .groupBy("source_file")
+        .agg(F.min("row_idx").alias("cut"))
+    )
+
+
+def cut_sparse_rows(
+    rows: DataFrame, columns: list[str] | None = None, run: int = SPARSE_RUN, min_filled: int = MIN_FILLED
+) -> DataFrame:
+    """Drop sparse rows, and everything from the ``run``-th consecutive one on.
+
+    Only ids and flags are ordered to find the cut; the rows themselves are then
+    filtered in place.
+    """
+    flagged = rows.withColumn(BLK, block_of("row_idx")).withColumn(
+        "sparse", layout_of(rows, columns).filled() < min_filled
     )
-    # A halo may open a block that has no row of its own; the inner join below drops it.
-    cut = ended.groupBy("source_file").agg(F.min("_cut").alias("_cut"))
-    verdict = by_block(ended, cut)
+    cut = sparse_cut(flagged.select("source_file", "row_idx", "sparse"), run)
+    blocks = flagged.select("source_file", BLK).distinct()
+    verdict = materialize(by_block(blocks, cut))
     return (
-        df.where(~F.col("_sparse"))
-        .withColumn(BLK, blk)
-        .join(verdict, ["source_file", BLK])
-        .where(F.col("_cut").isNull() | (F.col("_pos") < F.col("_cut")))
+        flagged.where(~F.col("sparse"))
+        .join(verdict, ["source_file", BLK], "left")
+        .where(F.col("cut").isNull() | (F.col("row_idx") < F.col("cut")))
         .select(*rows.columns)
     )

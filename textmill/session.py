@@ -33,6 +33,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(4 * width, *keys)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a small intermediate result once and read it back.
+
+    For results far smaller than their input that several later steps need. The
+    written table survives the loss of executors, and its file size lets Spark
+    decide whether a join may broadcast it.
+    """
+    path = work_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def work_dir(spark: SparkSession) -> str:
     """A new folder for intermediate files in the shared folder the session names.
 

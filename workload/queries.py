@@ -17,6 +17,7 @@ from textmill.operators.chunk_exact import chunk_exact, snap_targets
 from textmill.operators.chunk_pack import pack_text
 from textmill.operators.documents import chunk_documents
 from textmill.operators.embed import HashEmbedder, embed, embedding_inputs, model_inputs, prefixed
+from textmill.operators.layout import Columns, layout_of
 from textmill.operators.models import model_listing, with_model
 from textmill.operators.ordering import dense_index
 from textmill.operators.row_text import row_map, row_text
@@ -174,22 +175,22 @@ def order_rows(spark, sf_dir) -> DataFrame:
 
 def row_text_query(spark, sf_dir):
     r = customer_rows(spark, sf_dir)
-    return r.select("row_idx", row_text(table_clean.data_columns(r)).alias("row_text"))
+    return r.select("row_idx", row_text(layout_of(r)).alias("row_text"))
 
 
 def row_text_bare(spark, sf_dir):
     r = customer_rows(spark, sf_dir)
-    return r.select("row_idx", row_text(table_clean.data_columns(r), include_column_names=False, normalization="lowercase").alias("row_text"))
+    return r.select("row_idx", row_text(layout_of(r), include_column_names=False, normalization="lowercase").alias("row_text"))
 
 
 def row_text_values_only(spark, sf_dir):
     r = customer_rows(spark, sf_dir)
-    return r.select("row_idx", row_text(table_clean.data_columns(r), values_only_threshold=3).alias("row_text"))
+    return r.select("row_idx", row_text(layout_of(r), values_only_threshold=3).alias("row_text"))
 
 
 def row_text_column(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    text = row_text(["p_name", "p_brand", "p_type"], normalization="uppercase", output_text_column="p_name")
+    text = row_text(Columns(["p_name", "p_brand", "p_type"]), normalization="uppercase", output_text_column="p_name")
     return p.select("p_partkey", text.alias("row_text"))
 
 
@@ -220,8 +221,7 @@ def reindexed_rows(spark, sf_dir):
 
 def table_profile(spark, sf_dir):
     rows = gappy_orders(spark, sf_dir)
-    columns = table_clean.data_columns(rows)
-    return table_clean.source_profile(table_clean.table_profile(rows, columns), columns)
+    return table_clean.source_profile(table_clean.table_profile(rows, layout_of(rows))).drop("header")
 
 
 def event_sheets(spark, sf_dir) -> DataFrame:
@@ -244,9 +244,8 @@ def sparse_run_cut(spark, sf_dir):
 
 def table_gate(spark, sf_dir):
     rows = order_rows(spark, sf_dir)
-    columns = table_clean.data_columns(rows)
-    source = table_clean.source_profile(table_clean.table_profile(rows, columns), columns)
-    return table_clean.table_gate(source, len(columns), 2, 8).select("source_file", "n_rows", "is_table")
+    source = table_clean.source_profile(table_clean.table_profile(rows, layout_of(rows)))
+    return table_clean.table_gate(source, 2, 8).select("source_file", "n_rows", "is_table")
 
 
 CAP = Limits(max_table_rows=12)
@@ -267,12 +266,12 @@ def part_rows(spark, sf_dir) -> DataFrame:
 
 def char_token_ratio(spark, sf_dir):
     rows = part_rows(spark, sf_dir)
-    return row_chunks.char_token_ratio(rows, table_clean.data_columns(rows), JobOptions())
+    return row_chunks.char_token_ratio(rows, JobOptions())
 
 
 def char_token_ratio_column(spark, sf_dir):
     rows = part_rows(spark, sf_dir)
-    return row_chunks.char_token_ratio(rows, table_clean.data_columns(rows), JobOptions(output_text_column="p_name"))
+    return row_chunks.char_token_ratio(rows, JobOptions(output_text_column="p_name"))
 
 
 ROW_COLUMNS = ["source_file", "row_idx", "chunk_index", "text", "token_count", "single_row", "row_split", "is_tabular", "table_type"]
@@ -293,7 +292,7 @@ def row_split_bare(spark, sf_dir):
 
 def context_prefix(spark, sf_dir):
     rows = document_rows(spark, sf_dir)
-    row = row_chunks.cells(table_clean.data_columns(rows))
+    row = layout_of(rows).cells()
     per_chunk = F.lit(400) + F.col("row_idx") % 300
     return rows.select("row_idx", row_chunks.context_prefix(row, per_chunk, True).alias("prefix"))
 
@@ -325,7 +324,7 @@ def chunk_tables(spark, sf_dir):
 
 def row_map_query(spark, sf_dir):
     r = customer_rows(spark, sf_dir)
-    m = row_map(table_clean.data_columns(r))
+    m = row_map(layout_of(r))
     return r.select("row_idx", F.map_keys(m).alias("names"), F.map_values(m).alias("vals"))
 
 
