@@ -1,4 +1,4 @@
-"""Sentence boundaries (C2-C5) as one Java regular expression."""
+"""Sentence boundaries (C2-C4) as one Java regular expression."""
 
 from __future__ import annotations
 
@@ -58,36 +58,21 @@ def sentence_pieces(c: Column | str) -> Column:
     return F.regexp_extract_all(as_column(c), F.lit(PIECE), F.lit(0))
 
 
-def sentence_bounds(c: Column | str) -> Column:
-    """Sorted end offsets (in code points) of the sentences, one per boundary.
+def sentence_lengths(c: Column | str) -> Column:
+    """Lengths of the pieces that end on a boundary; their running sum are the offsets.
 
-    The tail behind the last boundary is not closed by one, so its end counts
-    only if the text ends on a terminator.
+    Every piece but the last does; the last only if the text ends on a terminator.
     """
-    text = as_column(c)
-
-    def ends(pieces: Column) -> Column:
-        total = F.aggregate(
-            pieces,
-            F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out")),
-            lambda a, p: let(
-                a["pos"] + F.length(p),
-                lambda e: F.struct(e.alias("pos"), F.array_append(a["out"], e).alias("out")),
-            ),
-            lambda a: a["out"],
-        )
-        return F.when(closes_sentence(pieces[F.size(pieces) - 1]), total).otherwise(
-            F.slice(total, 1, F.greatest(F.lit(0), F.size(pieces) - 1))
-        )
-
-    return F.when(text == "", F.array().cast("array<int>")).otherwise(let(sentence_pieces(text), ends))
+    return let(
+        sentence_pieces(c),
+        lambda p: F.slice(
+            F.transform(p, F.length),
+            F.lit(1),
+            F.size(p) - F.when(closes_sentence(F.get(p, F.size(p) - 1)), F.lit(0)).otherwise(F.lit(1)),
+        ),
+    )
 
 
 def closes_sentence(piece: Column) -> Column:
     """Whether a piece ends on a boundary of its own."""
     return piece.rlike(rf"[.!?]{_VETO}[{CLOSERS}]*+\z")
-
-
-def snap_to_sentence(bounds: Column, start: Column, target: Column) -> Column:
-    """Last boundary in ``(start, target]``, null where there is none."""
-    return F.array_max(F.filter(bounds, lambda b: (b > start) & (b <= target)))

@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textmill.functions.columns import as_column, let
-from textmill.functions.text import NOT_WS, WS, strip
+from textmill.functions.text import NOT_WS, WS, WS_CHARS, strip
 
 
 def words(c: Column | str) -> Column:
@@ -27,6 +28,25 @@ def word_count(c: Column | str) -> Column:
     return F.length(F.regexp_replace(strip(c), rf"{NOT_WS}++[{WS}]*+", "x"))
 
 
+# Tokens of a slice of one text, by its start and end.
+Meter = Callable[[int, int], int]
+
+
+def word_starts(text: str) -> np.ndarray:
+    """Offsets at which the words of a text begin."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    blank = np.isin(codes, np.array([ord(c) for c in WS_CHARS], dtype=np.uint32), kind="table")
+    return np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
+
+
+def subword_count(tokenizer, text: str) -> int:
+    """Tokens of a text; the number of its words where it cannot be encoded."""
+    try:
+        return len(tokenizer.encode(text, add_special_tokens=False).ids)
+    except Exception:
+        return max(1, len(text.split()))
+
+
 @dataclass(frozen=True)
 class WhitespaceCounter:
     """Counts words; a blank text counts as one token."""
@@ -43,9 +63,21 @@ class WhitespaceCounter:
         cut = let(words(text), lambda w: F.when(F.size(w) > limit, F.array_join(F.slice(w, 1, limit), " ")))
         return F.coalesce(cut, text)
 
-    def python_counter(self) -> Callable[[], Callable[[str], int]]:
-        def make() -> Callable[[str], int]:
-            return lambda text: max(1, len(text.split()))
+    def meter(self) -> Callable[[], Callable[[str], Meter]]:
+        def make() -> Callable[[str], Meter]:
+            def measure(text: str) -> Meter:
+                # Counted once per text: a slice holds the words starting in it, and
+                # one more where it starts inside a word.
+                starts = word_starts(text)
+
+                def tokens(start: int, stop: int) -> int:
+                    n = int(np.searchsorted(starts, stop) - np.searchsorted(starts, start))
+                    inside = 0 < start < stop and not text[start].isspace() and not text[start - 1].isspace()
+                    return max(1, n + inside)
+
+                return tokens
+
+            return measure
 
         return make
 
@@ -74,28 +106,26 @@ class SubwordCounter:
 
         return load
 
-    def python_counter(self) -> Callable[[], Callable[[str], int]]:
+    def meter(self) -> Callable[[], Callable[[str], Meter]]:
         load = self._load()
 
-        def make() -> Callable[[str], int]:
+        def make() -> Callable[[str], Meter]:
             tok = load()
 
-            def count(text: str) -> int:
-                try:
-                    return len(tok.encode(text, add_special_tokens=False).ids)
-                except Exception:
-                    return max(1, len(text.split()))
+            def measure(text: str) -> Meter:
+                return lambda start, stop: subword_count(tok, text[start:stop])
 
-            return count
+            return measure
 
         return make
 
     def count(self, c: Column | str) -> Column:
-        make = self.python_counter()
+        load = self._load()
 
         @F.pandas_udf("int")
         def count_tokens(texts: pd.Series) -> pd.Series:
-            return texts.fillna("").map(make())
+            tok = load()
+            return texts.fillna("").map(lambda t: subword_count(tok, t))
 
         return count_tokens(as_column(c))
 

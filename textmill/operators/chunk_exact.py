@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textmill.functions.sentences import sentence_bounds
+from textmill.functions.sentences import sentence_lengths
 from textmill.functions.text import strip
-from textmill.functions.tokens import DEFAULT_COUNTER
+from textmill.functions.tokens import DEFAULT_COUNTER, Meter
 
 SHRINK, ATTEMPTS = 0.9, 20  # Fixed values: how an over-long guess is reduced.
+FLUSH = 4096  # Chunks handed back to Spark at a time.
 OVERLAP_WINDOW = 500  # Fixed value: characters the overlap ratio is taken from.
 
 
@@ -48,73 +49,102 @@ def _window_end(text: str, bounds: np.ndarray, start: int, size: int) -> int:
     return end if end > start else min(start + max(1, size), len(text))
 
 
-def _word_prefix(text: str, limit: int, count: Callable[[str], int]) -> tuple[str, int]:
-    """Longest run of leading words within ``limit`` tokens, at least one word."""
-    parts = text.split()
-    if not parts:
-        return "", 0
-    fitting = bisect_right(range(1, len(parts) + 1), limit, key=lambda n: count(" ".join(parts[:n])))
-    prefix = " ".join(parts[: max(1, fitting)])
-    return prefix, count(prefix)
+def _trimmed(text: str, start: int, stop: int) -> tuple[int, int]:
+    """The slice without whitespace at its ends."""
+    part = text[start:stop]
+    start += len(part) - len(part.lstrip())
+    return start, max(start, stop - (len(part) - len(part.rstrip())))
+
 
+def _word_prefix(text: str, limit: int, meter: Callable[[str], Meter]) -> tuple[str, int]:
+    """Longest run of leading words within ``limit`` tokens, at least one word."""
 
-def walk(text: str, bounds: np.ndarray, limit: int, overlap: int, count: Callable[[str], int]) -> Iterator[tuple[str, int]]:
+    def tokens(parts: list[str], n: int) -> int:
+        prefix = " ".join(parts[:n])
+        return meter(prefix)(0, len(prefix))
+
+    # Look only as far ahead as the words may fit.
+    reach = limit
+    while True:
+        parts = text.split(None, reach)[:reach]
+        if len(parts) < reach or tokens(parts, reach) > limit:
+            break
+        reach *= 2
+    fitting = bisect_right(range(1, len(parts) + 1), limit, key=lambda n: tokens(parts, n))
+    n = max(1, fitting)
+    return " ".join(parts[:n]), tokens(parts, n)
+
+
+def walk(
+    text: str, bounds: np.ndarray, limit: int, overlap: int, meter: Callable[[str], Meter]
+) -> Iterator[tuple[str, int]]:
     """Chunks of one text that does not fit into ``limit`` tokens."""
+    tokens = meter(text)
     start, size = 0, len(text)
     while start < size:
-        left = count(text[start:])
+        left = tokens(start, size)
         if left <= limit:
             yield text[start:].strip(), left
             return
         first = min(int(limit * ((size - start) / max(left, 1))), size - start)
         for guess in _guesses(first):
             end = _window_end(text, bounds, start, guess)
-            chunk = text[start:end].strip()
-            tokens = count(chunk)
-            if tokens <= limit:
+            low, high = _trimmed(text, start, end)
+            chunk, seen = text[low:high], tokens(low, high)
+            if seen <= limit:
                 break
         else:
-            chunk, tokens = _word_prefix(text[start:], limit, count)
+            chunk, seen = _word_prefix(text[start:], limit, meter)
             end = start + len(chunk)
             while end < size and text[end] == " ":
                 end += 1
         if chunk:
-            yield chunk, tokens
+            yield chunk, seen
         back = 0
         if overlap and end < size:
-            tail = text[max(0, end - OVERLAP_WINDOW) : end]
-            seen = count(tail) if tail else 0
-            back = int(overlap * (len(tail) / seen)) if seen else 0
+            tail = max(0, end - OVERLAP_WINDOW)
+            nearby = tokens(tail, end) if tail < end else 0
+            back = int(overlap * ((end - tail) / nearby)) if nearby else 0
         start = max(end - back, start + 1)
 
 
 def chunk_exact(docs: DataFrame, max_tokens: int, overlap: int, counter=DEFAULT_COUNTER, *keep: str) -> DataFrame:
-    """``(source_file, *keep, chunk_index, text, token_count)`` of ``docs(source_file, text)``."""
+    """``(source_file, *keep, chunk_index, text, token_count)`` of ``docs(source_file, text)``.
+
+    One pass: sentence lengths are taken only of documents that do not fit, and
+    only those are walked.
+    """
     columns = ["source_file", *keep]
-    counted = (
-        docs.select(*columns, strip("text").alias("text"))
-        .where(F.col("text") != "")
-        .withColumn("token_count", counter.count("text").cast("int"))
-    )
-    whole = counted.where(F.col("token_count") <= max_tokens).select(
-        *columns, F.lit(0).alias("chunk_index"), "text", "token_count"
-    )
-    long = counted.where(F.col("token_count") > max_tokens).select(*columns, "text", sentence_bounds("text").alias("bounds"))
-    make_count = counter.python_counter()
+    counted = docs.select(*columns, strip("text").alias("text")).withColumn("token_count", counter.count("text").cast("int"))
+    prepared = counted.withColumn("lengths", F.when(F.col("token_count") > max_tokens, sentence_lengths("text")))
+    make_meter = counter.meter()
+    names = [*columns, "chunk_index", "text", "token_count"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = make_count()
+        meter = make_meter()
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                *key, text, bounds = row
-                found = walk(text, np.asarray(bounds, dtype=np.int64), max_tokens, overlap, count)
-                out = pd.DataFrame(
-                    [(*key, i, chunk, tokens) for i, (chunk, tokens) in enumerate(found)],
-                    columns=[*columns, "chunk_index", "text", "token_count"],
-                )
-                yield out
-
-    return whole.unionByName(long.mapInPandas(run, T.StructType(whole.schema.fields)))
+            fits = batch["token_count"] <= max_tokens
+            yield batch[fits & (batch["text"] != "")].assign(chunk_index=0)[names]
+            found: list[tuple] = []
+            for *key, text, _, lengths in batch[~fits].itertuples(index=False):
+                bounds = np.cumsum(lengths, dtype=np.int64)
+                found += [(*key, i, *chunk) for i, chunk in enumerate(walk(text, bounds, max_tokens, overlap, meter))]
+                if len(found) > FLUSH:
+                    yield pd.DataFrame(found, columns=names)
+                    found = []
+            if found:
+                yield pd.DataFrame(found, columns=names)
+
+    produced = [("chunk_index", T.IntegerType()), ("text", T.StringType()), ("token_count", T.IntegerType())]
+    schema = T.StructType([counted.schema[c] for c in columns] + [T.StructField(n, t) for n, t in produced])
+    return prepared.mapInPandas(run, schema)
+
+
+def sentence_ends(docs: DataFrame, key: str = "source_file", text: str = "text") -> DataFrame:
+    """``(key, bound)``: the end offset of every sentence."""
+    lengths = docs.select(key, F.posexplode(sentence_lengths(text)).alias("_ord", "_len"))
+    running = Window.partitionBy(key).orderBy("_ord").rowsBetween(Window.unboundedPreceding, 0)
+    return lengths.select(key, F.sum("_len").over(running).cast("int").alias("bound"))
 
 
 def snap_targets(bounds: DataFrame, targets: DataFrame, key: str = "source_file") -> DataFrame:

@@ -190,9 +190,11 @@ def _chunk_profiled(
     blocked = rows.withColumn(BLK, block_of("row_idx")).where(layout.has_text())
     kept_cells = F.filter(layout.cells(), lambda c: F.array_contains(F.col("kept"), c["name"]))
 
+    text = _text_of(layout, options, F.col("kept"))
+    pieces = row_segments(F.col("_text"), kept_cells, F.col("ratio"), options)
+
     def cut(known: DataFrame) -> DataFrame:
-        texts = blocked.join(known, ["source_file", BLK]).withColumn("_text", _text_of(layout, options, F.col("kept")))
-        return texts.withColumn("_segments", row_segments(F.col("_text"), kept_cells, F.col("ratio"), options))
+        return blocked.join(known, ["source_file", BLK]).withColumn("_text", text).withColumn("_segments", pieces)
 
     counts = cut(blocks).groupBy("source_file", BLK).agg(F.sum(F.size("_segments")).alias("_n"))
     totals = running_totals(counts, "source_file", "_n").select("source_file", BLK, "_n_before")

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from textmill import errors
 from textmill.functions.charset import decode_text
-from textmill.functions.sentences import sentence_bounds, sentence_pieces
+from textmill.functions.sentences import sentence_pieces
 from textmill.functions.text import normalize
 from textmill.functions.tokens import DEFAULT_COUNTER, word_count
 from textmill.functions.vectors import l2_normalize
 from textmill.operators import documents as docs_ops
 from textmill.operators import results, row_chunks, table_clean
-from textmill.operators.chunk_exact import chunk_exact, snap_targets
+from textmill.operators.chunk_exact import chunk_exact, sentence_ends, snap_targets
 from textmill.operators.chunk_pack import pack_text
 from textmill.operators.documents import chunk_documents
 from textmill.operators.embed import HashEmbedder, embed, embedding_inputs, model_inputs, prefixed
@@ -85,12 +85,12 @@ def sentences(spark, sf_dir):
 
 def sentence_offsets(spark, sf_dir):
     d = spread_documents(spark, sf_dir)
-    return d.select("doc_id", F.explode(sentence_bounds(normalize("text"))).alias("bound"))
+    return sentence_ends(d.select("doc_id", normalize("text").alias("text")), "doc_id")
 
 
 def snap_asof(spark, sf_dir):
     d = spread_documents(spark, sf_dir).select("doc_id", normalize("text").alias("text"))
-    bounds = d.select("doc_id", F.explode(sentence_bounds("text")).alias("bound"))
+    bounds = sentence_ends(d, "doc_id")
     width = 400
     targets = d.select(
         "doc_id", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("text") - 1), F.lit(width))).alias("start")
@@ -139,7 +139,7 @@ def _text(*names: str) -> list[Column]:
 def customer_rows(spark, sf_dir) -> DataFrame:
     """All customers as one table, with blank and missing cells put in."""
     c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
-    return c.select(
+    rows = c.select(
         F.lit("customer.csv").alias("source_file"),
         k.alias("row_idx"),
         *_text("c_custkey"),
@@ -147,18 +147,20 @@ def customer_rows(spark, sf_dir) -> DataFrame:
         *_text("c_nationkey"),
         F.when(k % 7 != 0, F.col("c_mktsegment")).alias("c_mktsegment"),
     )
+    return spread(rows, "row_idx")
 
 
 def document_rows(spark, sf_dir) -> DataFrame:
     """Documents as wide table rows, one table per source."""
     d = table(spark, sf_dir, "documents")
-    return d.select(
+    rows = d.select(
         F.concat("source", F.lit(".csv")).alias("source_file"),
         F.col("doc_id").alias("row_idx"),
         *_text("doc_id"),
         F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("lang"),
         "text",
     )
+    return spread(rows, "row_idx")
 
 
 def order_rows(spark, sf_dir) -> DataFrame:
