@@ -15,23 +15,25 @@ from pyspark.sql import functions as F
 
 from textmill.session import materialize
 
-BLOCK = 1 << 12
+BLOCK_BITS = 12
+BLOCK = 1 << BLOCK_BITS
 BLK = "_blk"
 
 
 def block_of(position: Column | str) -> Column:
     """Block number of a row id; row ids are unique within their source."""
     c = F.col(position) if isinstance(position, str) else position
-    return F.floor(c / BLOCK).cast("bigint")
+    return F.shiftright(c.cast("bigint"), BLOCK_BITS)
 
 
 def running_totals(blocks: DataFrame, key: str, *counts: str) -> DataFrame:
-    """Add ``<count>_before`` and ``<count>_total`` per key to a frame of blocks.
+    """Add ``<count>_before`` and ``<count>_total`` per key to a table of blocks.
 
+    ``blocks`` is read twice and should be a written table.
     Totals run in two levels, blocks within super-blocks and super-blocks within
     the key, so that sparse row ids cannot grow a window either.
     """
-    level = blocks.withColumn("_sup", F.floor(F.col(BLK) / BLOCK))
+    level = blocks.withColumn("_sup", F.shiftright(BLK, BLOCK_BITS))
     inner = Window.partitionBy(key, "_sup").orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
     sums = level.groupBy(key, "_sup").agg(*[F.sum(c).alias(f"_{c}") for c in counts])
     outer = Window.partitionBy(key).orderBy("_sup").rowsBetween(Window.unboundedPreceding, -1)
@@ -58,7 +60,8 @@ def dense_index(df: DataFrame, key: str, order: str, name: str, weight: Column |
     numbers the pieces a row is about to be exploded into.
     """
     weighed = df.withColumn(BLK, block_of(order)).withColumn("_w", F.lit(1) if weight is None else weight)
-    totals = materialize(running_totals(weighed.groupBy(key, BLK).agg(F.sum("_w").alias("_n")), key, "_n"))
+    counts = materialize(weighed.groupBy(key, BLK).agg(F.sum("_w").alias("_n")))
+    totals = materialize(running_totals(counts, key, "_n"))
     local = Window.partitionBy(key, BLK).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         weighed.join(totals.select(key, BLK, "_n_before"), [key, BLK])

@@ -196,7 +196,7 @@ def _chunk_profiled(
     def cut(known: DataFrame) -> DataFrame:
         return blocked.join(known, ["source_file", BLK]).withColumn("_text", text).withColumn("_segments", pieces)
 
-    counts = cut(blocks).groupBy("source_file", BLK).agg(F.sum(F.size("_segments")).alias("_n"))
+    counts = materialize(cut(blocks).groupBy("source_file", BLK).agg(F.sum(F.size("_segments")).alias("_n")))
     totals = running_totals(counts, "source_file", "_n").select("source_file", BLK, "_n_before")
     numbered = materialize(totals.join(blocks, ["source_file", BLK]))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textmill import errors
 from textmill.functions.text import is_blank
 from textmill.operators.layout import Layout, layout_of
-from textmill.operators.ordering import BLK, BLOCK, block_of, dense_index
+from textmill.operators.ordering import BLK, block_of, dense_index
 from textmill.options import Limits
 from textmill.session import materialize
 
@@ -115,8 +115,8 @@ def sparse_cut(flags: DataFrame, run: int) -> DataFrame:
     the block before it.
     """
     placed = dense_index(flags, "source_file", "row_idx", "_pos")
-    blk = F.floor(F.col("_pos") / BLOCK).cast("bigint")
-    halo = F.when(F.col("_pos") % BLOCK >= BLOCK - (run - 1), F.array(blk, blk + 1)).otherwise(F.array(blk))
+    # A run may be longer than a block; its rows then show in all blocks it can end in.
+    halo = F.sequence(block_of("_pos"), block_of(F.col("_pos") + (run - 1)))
     back = Window.partitionBy("source_file", BLK).orderBy("_pos").rowsBetween(-(run - 1), 0)
     return (
         placed.select("source_file", "row_idx", "_pos", "sparse", F.explode(halo).alias(BLK))
