@@ -57,7 +57,7 @@ def delimiter_profile(lines: DataFrame, key: str = "source_file", line: str = "l
     seps = F.array(*[F.lit(s) for s in DELIMITERS])
     return chosen.select(
         key,
-        F.coalesce(F.element_at(seps, 1 - F.col("_best.pref")), F.lit(DELIMITERS[0])).alias("sep"),
+        F.element_at(seps, 1 - F.coalesce("_best.pref", F.lit(0))).alias("sep"),
         (F.coalesce("_best.hits", F.lit(0)) + 1).cast("int").alias("n_fields"),
         F.coalesce(F.col("_best.lines") / F.col("_all"), F.lit(0.0)).alias("share"),
     )

@@ -257,6 +257,31 @@ TURNS = f"""docs AS (
   SELECT 'conv-' || conv_id AS doc_id, {normalize("'message' || chr(10) || string_agg(text, chr(10) ORDER BY turn)")} AS t
   FROM conversations GROUP BY conv_id)"""
 
+TURN_TABLES = """turns AS (
+  SELECT 'conv-' || conv_id || '.csv' AS source_file, turn AS row_idx, count(*) OVER (PARTITION BY conv_id) AS n_rows,
+         [{'n': 'turn', 'v': turn::VARCHAR}, {'n': 'role', 'v': role}, {'n': 'text', 'v': text}] AS cells FROM conversations)"""
+
+LINE_TABLES = """lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+line_rows AS (
+  SELECT doc_id || '.csv' AS source_file, i AS row_idx, nullif(x, '') AS x, i::VARCHAR AS no,
+         count(*) OVER (PARTITION BY doc_id) AS n_rows,
+         count(nullif(x, '')) OVER (PARTITION BY doc_id) > 0 AS has_line,
+         [{'n': 'line', 'v': x}, {'n': 'no', 'v': i::VARCHAR}] AS cells FROM lines)"""
+
+
+def gated(tables: str, rows: str, header: str, values: str, min_rows: int, max_tokens: int, overlap: int, threshold: int) -> str:
+    """Tables with enough rows as row chunks, the others as packed text."""
+    texts = f"""docs AS (
+  SELECT source_file AS doc_id, {normalize(f"'{header}' || chr(10) || string_agg({values}, chr(10) ORDER BY row_idx)")} AS t
+  FROM {rows} WHERE n_rows < {min_rows} GROUP BY source_file)"""
+    packed = pack(max_tokens, overlap).replace(DOCS, f"{tables}, {texts}")
+    return f"""{packed},
+rows AS (SELECT *, {cell_text(True, threshold)} AS t FROM {rows} WHERE n_rows >= {min_rows}),
+{ratios()}, {segments(max_tokens, prefix_of('cells', 'cpc')).replace('walk', 'row_walk')}
+"""
+
+
 EVENT_SHEETS = """sheets AS (
   SELECT event_type AS source_file, event_id AS row_idx,
          event_id % 1500 < 130 + 40 * length(event_type) AND event_id > 600 AS sparse, user_id::VARCHAR AS user_id FROM events)"""
@@ -425,6 +450,22 @@ texts AS (
 SELECT source_file, chunk_index, text, token_count, true AS is_tabular, false AS sentence_aware, 'excel' AS table_type FROM chunked
 UNION ALL
 SELECT source_file, 0, t, {word_count('t')}::INTEGER, false, true, NULL FROM texts""",
+    "chunk_tables_turns": gated(
+        TURN_TABLES, "turns", "turn | role | text", "cells[1].v || ' | ' || cells[2].v || ' | ' || cells[3].v", 6, 48, 8, 2
+    )
+    + """
+SELECT source_file, chunk_index, text, token_count, true AS is_tabular, row_split FROM chunked
+UNION ALL SELECT doc_id, chunk_index, text, token_count, false, false FROM chunks""",
+    "table_files": f"""
+WITH {LINE_TABLES} SELECT source_file, row_idx, ['line', 'no'] AS names, [x, no] AS vals FROM line_rows""",
+    "chunk_table_files": gated(
+        LINE_TABLES, "line_rows", "line | no", "coalesce(x, '') || ' | ' || no", 5, 24, 4, 1
+    )
+    + """
+SELECT source_file, chunk_index, text, token_count, true AS is_tabular, row_split,
+  (SELECT CASE WHEN any_value(has_line) THEN 2 ELSE 1 END FROM line_rows l WHERE l.source_file = chunked.source_file)::INTEGER AS n_columns
+FROM chunked
+UNION ALL SELECT doc_id, chunk_index, text, token_count, false, false, NULL FROM chunks""",
     "model_lookup": f"""
 WITH {MODELS}, {REQUESTS}
 SELECT doc_id, model_name, coalesce(model_id, model_name) AS model_id, coalesce(max_length, 512) AS max_length, dimension,

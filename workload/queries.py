@@ -25,6 +25,7 @@ from textmill.options import JobOptions, Limits
 from textmill.session import ship_package, spread, work_dir
 from textmill.sources import archives, delimited
 from textmill.sources.files import extension, file_error, route
+from textmill.sources.tables import read_tables
 from textmill.streaming import ingest
 
 ship_package()
@@ -324,6 +325,46 @@ def chunk_tables(spark, sf_dir):
     return chunks.select("source_file", "chunk_index", "text", "token_count", "is_tabular", "sentence_aware", "table_type")
 
 
+def turn_rows(spark, sf_dir) -> DataFrame:
+    """Conversations as one small table each, a turn per row."""
+    c = table(spark, sf_dir, "conversations")
+    rows = c.select(
+        F.concat(F.lit("conv-"), F.col("conv_id"), F.lit(".csv")).alias("source_file"),
+        F.col("turn").alias("row_idx"),
+        *_text("turn"),
+        "role",
+        "text",
+    )
+    return spread(rows, "source_file", "row_idx")
+
+
+def chunk_tables_turns(spark, sf_dir):
+    options = JobOptions(max_tokens=48, overlap=8, min_rows_for_table=6)
+    chunks, _ = row_chunks.chunk_tables(turn_rows(spark, sf_dir), options)
+    return chunks.select("source_file", "chunk_index", "text", "token_count", "is_tabular", "row_split")
+
+
+def line_files(spark, sf_dir) -> DataFrame:
+    """Every document as a delimited file of its own: a header, then its lines with their numbers."""
+    d = spread_documents(spark, sf_dir)
+    sep = F.array(*[F.lit(x) for x in delimited.DELIMITERS])[(F.col("doc_id") % 4).cast("int")]
+    record = lambda x, i: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'), sep, i.cast("string"))
+    header = F.concat(F.lit("line"), sep, F.lit("no"))
+    body = F.array_join(F.concat(F.array(header), F.transform(F.split("text", "\n"), record)), "\r\n")
+    return d.select(F.concat("source_file", F.lit(".csv")).alias("source_file"), F.encode(body, "UTF-8").alias("content"))
+
+
+def table_files(spark, sf_dir):
+    rows = read_tables(line_files(spark, sf_dir))
+    return rows.select("source_file", "row_idx", F.col("cells.name").alias("names"), F.col("cells.val").alias("vals"))
+
+
+def chunk_table_files(spark, sf_dir):
+    options = JobOptions(max_tokens=24, overlap=4, min_rows_for_table=5, values_only_threshold=1)
+    chunks, _ = row_chunks.chunk_tables(read_tables(line_files(spark, sf_dir)), options)
+    return chunks.select("source_file", "chunk_index", "text", "token_count", "is_tabular", "row_split", F.size("table_columns").alias("n_columns"))
+
+
 def row_map_query(spark, sf_dir):
     r = customer_rows(spark, sf_dir)
     m = row_map(layout_of(r))
@@ -602,6 +643,9 @@ QUERIES = {
     "row_metadata": row_metadata,
     "unstructured_fallback": unstructured_fallback,
     "chunk_tables": chunk_tables,
+    "chunk_tables_turns": chunk_tables_turns,
+    "table_files": table_files,
+    "chunk_table_files": chunk_table_files,
     "model_lookup": model_lookup,
     "model_usage": model_usage,
     "prefix_text": prefix_text,
