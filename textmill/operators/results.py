@@ -93,5 +93,6 @@ def npy_matrices(chunks: DataFrame, file: str = "source_file", size: int = PART)
 
 
 def base64_matrices(chunks: DataFrame, file: str = "source_file", size: int = PART) -> DataFrame:
-    """The matrices as base64 text."""
-    return npy_matrices(chunks, file, size).withColumn("embeddings_base64_npy", F.base64("npy")).drop("npy")
+    """The matrices as base64 text without line breaks."""
+    encoded = F.regexp_replace(F.base64("npy"), "[\r\n]", "")
+    return npy_matrices(chunks, file, size).withColumn("embeddings_base64_npy", encoded).drop("npy")
