@@ -76,7 +76,9 @@ def process_folder(
     bad = failed[0]
     for frame in failed[1:]:
         bad = bad.unionByName(frame)
-    return named, bad
+    # Errors name the file as chunks do, not the key it was processed under.
+    name = file_name(F.element_at(key, -1))
+    return named, bad.withColumn("message", F.replace("message", "source_file", name)).withColumn("source_file", name)
 
 
 def run(spark: SparkSession, path: str, out: str, options: JobOptions = JobOptions(), embedder=None) -> None:
