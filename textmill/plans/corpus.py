@@ -65,7 +65,9 @@ def process_folder(
         return own.unionByName(members.where(F.col("file_ext") == ext).select("source_file", "content"))
 
     texts = files(".txt").select("source_file", decode_text("content").alias("text"))
-    rows, bad_tables = chunk_tables(read_tables(files(".csv")), options, ".csv")
+    # Parsed once; the table passes then read columns instead of parsing files again.
+    tables = materialize(read_tables(files(".csv")))
+    rows, bad_tables = chunk_tables(tables, options, ".csv")
     chunks = chunk_documents(texts, options).unionByName(rows.drop("row_idx"))
     failed.append(bad_tables)
 

@@ -34,11 +34,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a small intermediate result once and read it back.
+    """Write an intermediate result once and read it back.
 
-    For results far smaller than their input that several later steps need. The
-    written table survives the loss of executors, and its file size lets Spark
-    decide whether a join may broadcast it.
+    For results several later steps need that are far smaller than their input or
+    costly to redo. The written table survives the loss of executors, and its file
+    size lets Spark decide whether a join may broadcast it.
     """
     path = work_dir(df.sparkSession)
     df.write.parquet(path)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from textmill import errors
 from textmill.operators.ordering import BLK, block_of
 from textmill.options import Limits
+from textmill.session import materialize
 from textmill.sources.files import ARCHIVE_EXTENSIONS, SUPPORTED, extension
 
 MANIFEST = "archive string, member string, ordinal int, file_size bigint, flag_bits int, is_dir boolean"
@@ -113,14 +114,10 @@ def read_members(
                         columns=["container_file", "source_file", "ordinal", "content", "error_code", "reason"],
                     )
 
-    read = (
-        archives.select(F.col("source_file").alias("container_file"), "content")
-        .join(wanted, "container_file")
-        .mapInPandas(
-            extract,
-            "container_file string, source_file string, ordinal int, content binary, error_code string, reason string",
-        )
-    )
+    fields = "container_file string, source_file string, ordinal int, content binary, error_code string, reason string"
+    opened = archives.select(F.col("source_file").alias("container_file"), "content").join(wanted, "container_file")
+    # Written once: several branches go on from here, and unpacking again would cost each of them a full read.
+    read = materialize(opened.mapInPandas(extract, fields))
     good = read.where(F.col("error_code").isNull()).select(
         "container_file", "source_file", extension(F.col("source_file")).alias("file_ext"), "ordinal", "content"
     )
