@@ -56,7 +56,7 @@ def test_layouts_agree(spark):
     assert isinstance(layout_of(df), Columns) and isinstance(layout_of(as_cells(df)), CellArray)
     for shape in (df, as_cells(df)):
         layout = layout_of(shape)
-        got = source_profile(table_profile(shape, layout, "a")).collect()[0]
+        got = source_profile(table_profile(shape, layout, JobOptions(output_text_column="a"))).collect()[0]
         assert (got.n_rows, got.n_text, got.header, got.kept) == (2, 1, ["a", "b", "c"], ["a", "c"])
         assert [r[0] for r in shape.select(layout.filled()).collect()] == [2, 0]
         assert [r[0] for r in shape.select(layout.line(" | ")).collect()] == ["1 |  | y", " |  |  "]

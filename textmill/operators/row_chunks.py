@@ -37,6 +37,13 @@ def _text_of(layout: Layout, options: JobOptions, kept: Column) -> Column:
     )
 
 
+def _by_column(options: JobOptions, single: str, joined: str) -> Column:
+    """The value about the text column where the source has it, else the one about all cells."""
+    if not options.output_text_column:
+        return F.col(joined)
+    return F.when(F.array_contains("kept", options.output_text_column), F.col(single)).otherwise(F.col(joined))
+
+
 def sample_blocks(profile: DataFrame, source: DataFrame, options: JobOptions) -> DataFrame:
     """Blocks holding sampled rows, with the rank of their first row and the sampling step.
 
@@ -44,8 +51,7 @@ def sample_blocks(profile: DataFrame, source: DataFrame, options: JobOptions) ->
     one of these ranks falls into it. At most one block per sampled row remains.
     """
     blocks = profile.join(source.select("source_file", "kept"), "source_file")
-    single = F.array_contains("kept", options.output_text_column) if options.output_text_column else F.lit(False)
-    n = F.when(single, F.col("n_single")).otherwise(F.col("n_text"))
+    n = _by_column(options, "n_single", "n_text")
     ranked = running_totals(blocks.select("source_file", BLK, "kept", n.alias("_n")), "source_file", "_n")
     step = F.greatest(F.lit(1), F.floor(F.col("_n_total") / SAMPLE_SIZE))
     first = F.ceil(F.col("_n_before") / F.col("_step"))
@@ -59,7 +65,7 @@ def sample_blocks(profile: DataFrame, source: DataFrame, options: JobOptions) ->
 def char_token_ratio(rows: DataFrame, options: JobOptions, columns: list[str] | None = None) -> DataFrame:
     """Characters per token of each table from a systematic sample of its rows."""
     layout = layout_of(rows, columns)
-    profile = table_profile(rows, layout, options.output_text_column)
+    profile = table_profile(rows, layout, options)
     return _sampled_ratio(rows, layout, options, profile, source_profile(profile))
 
 
@@ -146,22 +152,30 @@ def split_row(text: Column, prefix: Column, chars_per_chunk: Column) -> Column:
     return let(F.struct(text.alias("t"), prefix.alias("pre"), chars_per_chunk.alias("cpc")), cut)
 
 
+def _estimate(length: Column, ratio: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(length / ratio)).cast("int")
+
+
+def fits_in_one(length: Column, ratio: Column, max_tokens: int) -> Column:
+    """Whether a row text of this length stays in one piece (D11); shorter ones then do too."""
+    return (length <= F.floor(F.lit(max_tokens) * ratio * BUFFER)) | (_estimate(length, ratio) <= max_tokens)
+
+
 def row_segments(text: Column, row: Column, ratio: Column, options: JobOptions) -> Column:
     """Chunks of one row as ``array<struct<text, token_count, row_split>>``.
 
     Sizes are estimated through the ratio; only over-long rows are split.
     """
-    estimate = lambda t: F.greatest(F.lit(1), F.floor(F.length(t) / ratio)).cast("int")
-    fits = (F.length(text) <= F.floor(F.lit(options.max_tokens) * ratio * BUFFER)) | (estimate(text) <= options.max_tokens)
     per_chunk = F.greatest(F.lit(1), F.floor(F.lit(options.max_tokens) * ratio)).cast("int")
     prefix = context_prefix(row, per_chunk, options.include_column_names) if options.attach_context_on_split else F.lit("")
 
     def segment(t: Column, was_split: bool) -> Column:
-        return F.struct(t.alias("text"), estimate(t).alias("token_count"), F.lit(was_split).alias("row_split"))
+        tokens = _estimate(F.length(t), ratio)
+        return F.struct(t.alias("text"), tokens.alias("token_count"), F.lit(was_split).alias("row_split"))
 
     return (
         F.when(text == "", F.array().cast("array<struct<text:string,token_count:int,row_split:boolean>>"))
-        .when(fits, F.array(segment(text, False)))
+        .when(fits_in_one(F.length(text), ratio, options.max_tokens), F.array(segment(text, False)))
         .otherwise(F.transform(split_row(text, prefix, per_chunk), lambda t: segment(t, True)))
     )
 
@@ -172,12 +186,12 @@ def chunk_rows(
     """Rows of tables to chunks with dense indexes per source (D3-D18, without the gate).
 
     ``rows`` holds ``source_file``, ``row_idx`` (a position, unique per source) and
-    the cells. Three narrow passes find the used columns, the ratio and the number
-    of segments per block of rows; the last pass shuffles the rows once, by source
-    and block, and numbers them.
+    the cells. Narrow passes find the used columns, the ratio and, where rows are
+    too long for one chunk, the number of segments per block of rows; the last pass
+    shuffles the rows once, by source and block, and numbers them.
     """
     layout = layout_of(rows, columns)
-    profile = table_profile(rows, layout, options.output_text_column)
+    profile = table_profile(rows, layout, options)
     return _chunk_profiled(rows, layout, options, extension, profile, source_profile(profile))
 
 
@@ -186,19 +200,32 @@ def _chunk_profiled(
 ) -> DataFrame:
     ratio = _sampled_ratio(rows, layout, options, profile, source)
     facts = source.select("source_file", "kept").join(ratio, "source_file")
-    blocks = materialize(by_block(profile, facts))
+    blocks = materialize(
+        profile.join(facts, "source_file").select(
+            "source_file",
+            BLK,
+            "kept",
+            "ratio",
+            _by_column(options, "n_single", "n_text").alias("_n"),
+            _by_column(options, "longest_single", "longest_text").alias("_longest"),
+        )
+    )
     blocked = rows.withColumn(BLK, block_of("row_idx")).where(layout.has_text())
     kept_cells = F.filter(layout.cells(), lambda c: F.array_contains(F.col("kept"), c["name"]))
-
     text = _text_of(layout, options, F.col("kept"))
     pieces = row_segments(F.col("_text"), kept_cells, F.col("ratio"), options)
 
     def cut(known: DataFrame) -> DataFrame:
         return blocked.join(known, ["source_file", BLK]).withColumn("_text", text).withColumn("_segments", pieces)
 
-    counts = materialize(cut(blocks).groupBy("source_file", BLK).agg(F.sum(F.size("_segments")).alias("_n")))
-    totals = running_totals(counts, "source_file", "_n").select("source_file", BLK, "_n_before")
-    numbered = materialize(totals.join(blocks, ["source_file", BLK]))
+    # A block without an over-long row has as many segments as rows with text.
+    counts = blocks.select("source_file", BLK, "kept", "ratio", "_n")
+    long = blocks.where(~fits_in_one(F.col("_longest"), F.col("ratio"), options.max_tokens))
+    if not long.isEmpty():
+        to_count = materialize(long.select("source_file", BLK, "kept", "ratio"))
+        found = cut(to_count).groupBy("source_file", BLK).agg(F.sum(F.size("_segments")).alias("_cut"))
+        counts = materialize(counts.join(found, ["source_file", BLK], "left").withColumn("_n", F.coalesce("_cut", "_n")).drop("_cut"))
+    numbered = materialize(running_totals(counts, "source_file", "_n").select("source_file", BLK, "kept", "ratio", "_n_before"))
 
     before = Window.partitionBy("source_file", BLK).orderBy("row_idx").rowsBetween(Window.unboundedPreceding, -1)
     attach = options.attach_row_data or options.flatten_row_values_to_root
@@ -254,7 +281,7 @@ def chunk_tables(
 ) -> tuple[DataFrame, DataFrame]:
     """Tables to chunks with the gate and the row cap (D1-D18), and the errors."""
     layout = layout_of(rows, columns)
-    profile = table_profile(rows, layout, options.output_text_column)
+    profile = table_profile(rows, layout, options)
     whole = source_profile(profile)
     within = whole.where(F.col("n_rows") <= options.limits.max_table_rows)
     gated = materialize(table_gate(within, options.min_cols_for_table, options.min_rows_for_table))

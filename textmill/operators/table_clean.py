@@ -6,35 +6,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill import errors
-from textmill.functions.text import is_blank
+from textmill.functions.text import fold_case, strip
 from textmill.operators.layout import Layout, layout_of
 from textmill.operators.ordering import BLK, block_of, dense_index
-from textmill.options import Limits
+from textmill.operators.row_text import row_text
+from textmill.options import JobOptions, Limits
 from textmill.session import materialize
 
 SPARSE_RUN = 50  # Fixed value: consecutive sparse rows that end a sheet.
 MIN_FILLED = 2  # Fixed value: filled cells a row needs to count.
 
 
-def table_profile(rows: DataFrame, layout: Layout, text_column: str = "") -> DataFrame:
-    """Row counts and used columns per ``(source, block)`` in one narrow pass.
+def table_profile(rows: DataFrame, layout: Layout, options: JobOptions = JobOptions()) -> DataFrame:
+    """Row counts, used columns and longest texts per ``(source, block)`` in one narrow pass.
 
-    Feeds the gate, the row cap, the column cleanup and the ratio sample. The
-    result has one row per few thousand input rows; it is written once, so the
-    input is not read again for each of them. ``n_single`` counts the rows with
-    text in ``text_column`` alone.
+    Feeds the gate, the row cap, the column cleanup, the ratio sample and the
+    numbering of the chunks. The result has one row per few thousand input rows; it
+    is written once, so the input is not read again for each of them. ``n_single``
+    and ``longest_single`` are about the cells of ``output_text_column`` alone.
     """
-    single = ~is_blank(layout.cell(text_column)) if text_column else F.lit(False)
+    joined = row_text(layout, options.include_column_names, options.values_only_threshold, options.normalization)
+    column = options.output_text_column
+    single = strip(fold_case(layout.cell(column), options.normalization)) if column else F.lit("")
     counted = rows.groupBy("source_file", block_of("row_idx").alias(BLK)).agg(
         F.count("*").alias("n_rows"),
         F.count_if(layout.has_text()).alias("n_text"),
-        F.count_if(single).alias("n_single"),
+        F.count_if(single != "").alias("n_single"),
+        F.max(F.length(joined)).alias("longest_text"),
+        F.max(F.length(single)).alias("longest_single"),
         F.any_value(layout.header()).alias("header"),
         *layout.used(),
     )
-    return materialize(
-        counted.select("source_file", BLK, "n_rows", "n_text", "n_single", "header", layout.used_names().alias("used"))
-    )
+    counts = ["n_rows", "n_text", "n_single", "longest_text", "longest_single"]
+    return materialize(counted.select("source_file", BLK, *counts, "header", layout.used_names().alias("used")))
 
 
 def source_profile(profile: DataFrame) -> DataFrame:
