@@ -28,7 +28,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.isStreaming:
         return df
     width = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= width:
+    # Counted in the JVM: the names of a large corpus need not come to Python.
+    if len(df._jdf.inputFiles()) >= width:
         return df
     return df.repartition(4 * width, *keys)
 

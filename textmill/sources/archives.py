@@ -94,7 +94,8 @@ def read_members(
     Members leave their archive one row at a time. A member that cannot be read is
     an error of its own; the rest of the archive goes on.
     """
-    wanted = members.groupBy("container_file").agg(F.collect_set("ordinal").alias("ordinals"))
+    # Written, so that its size decides whether the archives themselves have to be shuffled.
+    wanted = materialize(members.groupBy("container_file").agg(F.collect_set("ordinal").alias("ordinals")))
     secret = password.encode() if password else None
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
