@@ -132,16 +132,16 @@ def test_ratio_samples_every_nth_row(spark, tiny_blocks):
 
 
 def cut_by_hand(text: str, prefix: str, cpc: int) -> list[str]:
-    out, pos = [], 0
-    while pos < len(text):
-        end = min(pos + (cpc if not out else max(cpc - len(prefix), cpc // 2)), len(text))
-        if end < len(text) and text.rfind(" ", pos, end) > pos:
-            end = text.rfind(" ", pos, end) + 1
-        segment = text[pos:end].strip()
-        if segment:
-            out.append(prefix + segment if out else segment)
-        pos = end
-    return out
+    """Take a window off the front, up to its last space unless it is the rest."""
+    found = []
+    while text:
+        window = text[: max(cpc - len(prefix), cpc // 2) if found else cpc]
+        if len(window) < len(text) and " " in window[1:]:
+            window = window[: window.rindex(" ") + 1]
+        text = text[len(window) :]
+        if window.strip():
+            found.append((prefix if found else "") + window.strip())
+    return found
 
 
 def test_split_row_by_hand(spark):

@@ -16,6 +16,9 @@ PROCESSING_ERROR = "PROCESSING_ERROR"
 INVALID_PARAMETER = "INVALID_PARAMETER"
 
 
+# The texts below are the messages users of the error records know.
+
+
 def unsupported_format(name: Column, ext: Column) -> Column:
     return F.format_string("Unsupported file format: '%s' (file: %s)", ext, name)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textmill.functions.columns import as_column
+from textmill.functions.columns import as_column, let
 
 # Unicode whitespace. Java's own \s covers ASCII only.
 _WS_LATIN = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0"
@@ -49,6 +49,18 @@ def fold_case(c: Column, mode: str) -> Column:
     raise ValueError(f"normalization must be one of {CASE_MODES}, got {mode!r}")
 
 
+def _has_any(c: Column, *needles: str) -> Column:
+    out = F.contains(c, F.lit(needles[0]))
+    for n in needles[1:]:
+        out = out | F.contains(c, F.lit(n))
+    return out
+
+
+def _where(found: Column, replaced: Column, c: Column) -> Column:
+    """Run a pattern only over texts it can change; looking for bytes first is far cheaper."""
+    return F.when(found, replaced).otherwise(c)
+
+
 def unify_spaces(c: Column) -> Column:
     """NBSP and narrow NBSP become plain spaces (B2)."""
     return F.regexp_replace(c, r"[\u00A0\u202F]", " ")
@@ -59,16 +71,28 @@ def drop_zero_width(c: Column) -> Column:
     return F.regexp_replace(c, r"[\u200B-\u200D\uFEFF]", "")
 
 
+def visible_text(c: Column) -> Column:
+    """Both of them, for texts that hold any such character."""
+    special = _has_any(c, "\u00a0", "\u202f", "\u200b", "\u200c", "\u200d", "\ufeff")
+    return _where(special, drop_zero_width(unify_spaces(c)), c)
+
+
 def tidy_blanks(c: Column) -> Column:
     """Runs of blanks collapse to one space and vanish next to a newline.
 
     Collapsing first leaves at most one space on each side of a newline, so the
     second pattern needs no repetition.
     """
-    collapsed = F.regexp_replace(c, r"[ \t\f\r]{2,}+|[\t\f\r]", " ")
-    return F.regexp_replace(collapsed, " ?\n ?", "\n")
+
+    def collapse(t: Column) -> Column:
+        return _where(_has_any(t, "  ", "\t", "\f", "\r"), F.regexp_replace(t, r"[ \t\f\r]{2,}+|[\t\f\r]", " "), t)
+
+    def join_lines(t: Column) -> Column:
+        return _where(_has_any(t, " \n", "\n "), F.regexp_replace(t, " ?\n ?", "\n"), t)
+
+    return let(c, lambda t: let(collapse(t), join_lines))
 
 
 def normalize(c: Column | str, mode: str = "none") -> Column:
     """The whole normalizer (B8): one chain of expressions, no shuffle, no Python."""
-    return fold_case(strip(tidy_blanks(drop_zero_width(unify_spaces(to_text(c))))), mode)
+    return fold_case(strip(tidy_blanks(visible_text(to_text(c)))), mode)

@@ -285,13 +285,18 @@ def chunk_tables(
     whole = source_profile(profile)
     within = whole.where(F.col("n_rows") <= options.limits.max_table_rows)
     gated = materialize(table_gate(within, options.min_cols_for_table, options.min_rows_for_table))
+    failed = too_long_tables(whole, options.limits)
+    tables = gated.where("is_table")
     # The verdict reaches the rows per block, so a hot table does not skew the join.
     refused = materialize(by_block(profile, gated.where(~F.col("is_table")).select("source_file")))
-    loose = rows.withColumn(BLK, block_of("row_idx")).join(refused, ["source_file", BLK], "left_semi").drop(BLK)
-    texts, too_big = fallback_documents(loose, layout, options)
-    plain = chunk_documents(texts, options).withColumn("row_idx", F.lit(None).cast("bigint"))
-
-    tables = gated.where("is_table")
-    table_blocks = profile.join(tables.select("source_file"), "source_file", "left_semi")
-    tabular = _chunk_profiled(rows, layout, options, extension, table_blocks, tables)
-    return tabular.unionByName(plain), too_long_tables(whole, options.limits).unionByName(too_big)
+    # Each branch reads the rows again, so one without any table is left out.
+    parts = []
+    if not tables.isEmpty():
+        table_blocks = profile.join(tables.select("source_file"), "source_file", "left_semi")
+        parts.append(_chunk_profiled(rows, layout, options, extension, table_blocks, tables))
+    if not refused.isEmpty() or not parts:
+        loose = rows.withColumn(BLK, block_of("row_idx")).join(refused, ["source_file", BLK], "left_semi").drop(BLK)
+        texts, too_big = fallback_documents(loose, layout, options)
+        parts.append(chunk_documents(texts, options).withColumn("row_idx", F.lit(None).cast("bigint")))
+        failed = failed.unionByName(too_big)
+    return (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])), failed
