@@ -22,7 +22,7 @@ from textmill.operators.models import model_listing, with_model
 from textmill.operators.ordering import dense_index
 from textmill.operators.row_text import row_map, row_text
 from textmill.options import JobOptions, Limits
-from textmill.session import ship_package, spread, work_dir
+from textmill.session import materialize, ship_package, spread, work_dir
 from textmill.sources import archives, delimited
 from textmill.sources.files import extension, file_error, route
 from textmill.sources.tables import read_tables
@@ -361,7 +361,8 @@ def table_files(spark, sf_dir):
 
 def chunk_table_files(spark, sf_dir):
     options = JobOptions(max_tokens=24, overlap=4, min_rows_for_table=5, values_only_threshold=1)
-    chunks, _ = row_chunks.chunk_tables(read_tables(line_files(spark, sf_dir)), options)
+    # The table passes read the rows several times; parsed once, they read columns.
+    chunks, _ = row_chunks.chunk_tables(materialize(read_tables(line_files(spark, sf_dir))), options)
     return chunks.select("source_file", "chunk_index", "text", "token_count", "is_tabular", "row_split", F.size("table_columns").alias("n_columns"))
 
 
