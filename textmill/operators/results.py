@@ -76,19 +76,26 @@ def grand_total(chunks: DataFrame) -> DataFrame:
 
 
 def npy_matrices(chunks: DataFrame, file: str = "source_file", size: int = PART) -> DataFrame:
-    """Vectors of each file as ``.npy`` matrices in chunk order, one per part."""
-
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values("chunk_index")
-        buffer = io.BytesIO()
-        np.save(buffer, np.stack(ordered["embedding"].to_numpy()).astype(np.float32))
-        return pd.DataFrame([[*key, len(ordered), buffer.getvalue()]])
-
-    return (
-        chunks.where(F.col("embedding").isNotNull())
-        .select(F.col(file).alias("filename"), F.col("source_file").alias("member"), part_of(size=size), "chunk_index", "embedding")
-        .groupBy("filename", "member", "part")
-        .applyInPandas(pack, "filename string, member string, part int, n_chunks int, npy binary")
+    """Vectors of each file as ``.npy`` matrices in chunk order, one per part.
+
+    Spark collects and orders the vectors of a part; Python only puts the header
+    in front, for many parts per Arrow batch.
+    """
+
+    @F.pandas_udf("binary")
+    def npy(matrices: pd.Series) -> pd.Series:
+        def one(vectors: np.ndarray) -> bytes:
+            buffer = io.BytesIO()
+            np.save(buffer, np.stack(vectors).astype(np.float32))
+            return buffer.getvalue()
+
+        return matrices.map(one)
+
+    keys = [F.col(file).alias("filename"), F.col("source_file").alias("member"), part_of(size=size)]
+    rows = F.array_sort(F.collect_list(F.struct("chunk_index", "embedding")))
+    grouped = chunks.where(F.col("embedding").isNotNull()).groupBy(*keys).agg(rows.alias("_rows"))
+    return grouped.select(
+        "filename", "member", "part", F.size("_rows").alias("n_chunks"), npy(F.col("_rows.embedding")).alias("npy")
     )
 
 
