@@ -23,6 +23,7 @@ HEADLINES = [
     "chunk_exact",
     "row_chunks",
     "row_split",
+    "chunk_tables",
     "chunk_tables_turns",
     "sparse_run_cut",
     "hash_embed",
