@@ -9,10 +9,10 @@ The join itself is a pigeonhole argument on such sketches. Sizes fall into bands
 ending where the next could no longer reach the threshold, so partners lie in the same
 band or the next. In the scheme of a band, whose pairs differ in at most D shingles, the
 shingles are dealt by hash into m > D parts, and the parity sketch of a part (wide: the
-XOR of 64-bit hashes) is its join key. D differences leave m - D parts equal. Parts of at
-most one shingle say little and would meet in large groups; m is chosen so that texts with
-up to ``m - D - 1`` such parts can leave them out and still share another part. Texts
-with more of them keep all.
+XOR of 64-bit hashes) is its join key. D differences leave m - D parts equal. Empty
+parts say little and would meet in large groups; m is chosen so that texts with up to
+``m - D - 1`` empty parts can leave them out and still share another part. Texts with more
+of them keep all.
 
 Equal sets are one class and travel as one. Classes that hold over a thousandth of the
 rows, of which there are under a thousand, send keys for their smallest id alone. Groups
@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,25 +37,28 @@ from textmill.llm.words import U64, mix, pieces, shingles, words
 
 SKETCH_WORDS = 16
 HEAVY = 1000
+_BANDS: dict[tuple[int, int], tuple] = {}
 
 
-@cache
 def bands(num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Last size, differences D, parts m and weak parts allowed of each band."""
+    """Last size, differences D, parts m and empty parts allowed of each band."""
+    if (num, den) in _BANDS:
+        return _BANDS[num, den]
     last, most, parts, weak = [], [], [], []
     size, low = 0, 1
-    while size < 1 << 40:
+    while size < 1 << 32:
         low, size = size + 1, max(size + 1, size * den // num)
         d = size * (den - num) // num
         m, w = d + 1, 0
-        for extra in range(1, m):
+        for extra in range(1, min(m, 4000)):
             rate = low / (d + 1 + extra)
-            expected = (d + 1 + extra) * math.exp(-rate) * (1 + rate)
+            expected = (d + 1 + extra) * math.exp(-rate)
             if expected + 4 * math.sqrt(expected) <= extra:
                 m, w = d + 1 + extra, extra
                 break
         last.append(size), most.append(d), parts.append(m), weak.append(w)
-    return tuple(np.array(x, np.int64) for x in (last, most, parts, weak))
+    _BANDS[num, den] = tuple(np.array(x, np.int64) for x in (last, most, parts, weak))
+    return _BANDS[num, den]
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -111,12 +113,8 @@ def _scheme_keys(owner, value, sizes, chosen, scheme, num, den) -> tuple[np.ndar
     if not len(first):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     key = np.bitwise_xor.reduceat(mix(value + U64(4)), first)
-    length = np.diff(np.append(first, len(code)))
     who, part = owner[first], part[first]
-    strong = np.bincount(who[length > 1], minlength=len(sizes))
-    lean = m - strong <= weak[scheme]
-    sent = (length > 1) | ~lean[who]
-    who, part, key = who[sent], part[sent], key[sent]
+    lean = m - np.bincount(who, minlength=len(sizes)) <= weak[scheme]
     tag = mix((scheme[who] * (1 << 32) + part + 1).astype(U64))
     keys = [(mix(key ^ tag).view(np.int64), who)]
     thin = np.flatnonzero(chosen & ~lean)
@@ -171,6 +169,7 @@ def _keys(k: int, num: int, den: int, heavy: dict[tuple[int, int, int], int]):
 def _runs(batches):
     """From rows sorted by key, those whose key has several rows, with the first row's id."""
     key = who = lead = np.zeros(0, np.int64)
+    sent = False
     for batch in batches:
         k = np.concatenate((key, batch.column(0).to_numpy()))
         i = np.concatenate((who, batch.column(1).to_numpy()))
