@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("jaccard_join",)
+MODULES = ("mixing", "jaccard_join")
 
 
 def queries() -> dict:
