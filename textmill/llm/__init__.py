@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("mixing", "jaccard_join")
+MODULES = ("mixing", "jaccard_join", "substring_dedup")
 
 
 def queries() -> dict:
