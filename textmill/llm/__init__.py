@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("mixing", "jaccard_join", "substring_dedup")
+MODULES = ("mixing", "jaccard_join", "substring_dedup", "line_dedup")
 
 
 def queries() -> dict:
