@@ -40,8 +40,12 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Ask the driver for a garbage collection, after which Spark removes the shuffle
-    files of steps whose results are written."""
+    """Let Spark remove the shuffle files of steps whose results are written.
+
+    Its cleaner goes by the garbage collection of the driver, and the driver holds on to
+    the last job until another has run.
+    """
+    spark.range(1).count()
     spark.sparkContext._jvm.System.gc()
 
 
