@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("mixing", "lattice_dedup", "jaccard_join", "substring_dedup", "line_dedup", "topk")
+MODULES = ("mixing", "sentencepiece_codec", "lattice_dedup", "jaccard_join", "substring_dedup", "line_dedup", "topk")
 
 
 def queries() -> dict:
