@@ -2,7 +2,17 @@
 
 from importlib import import_module
 
-MODULES = ("mixing", "sentencepiece_codec", "lattice_dedup", "jaccard_join", "substring_dedup", "line_dedup", "topk")
+MODULES = (
+    "mixing",
+    "sentencepiece_codec",
+    "lattice_dedup",
+    "jaccard_join",
+    "substring_dedup",
+    "html_text",
+    "line_dedup",
+    "language_id",
+    "topk",
+)
 
 
 def queries() -> dict:
