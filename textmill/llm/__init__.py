@@ -9,6 +9,7 @@ MODULES = (
     "jaccard_join",
     "substring_dedup",
     "html_text",
+    "personal_data",
     "line_dedup",
     "language_id",
     "topk",
