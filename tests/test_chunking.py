@@ -169,3 +169,26 @@ def test_options_are_enforced():
         with pytest.raises(ValueError, match="INVALID_PARAMETER"):
             JobOptions(**wrong)
     assert JobOptions().counter == WhitespaceCounter()
+
+
+def test_abbreviations_before_any_number_of_dots(spark):
+    from textmill.functions.sentences import sentence_pieces
+
+    rows = [(n, word) for n in (1, 2, 999, 1000, 1001, 5000) for word in ("dr", "xdr", "Şti")]
+    df = spark.createDataFrame([(n, w, f"He {w}{'.' * n}) went. On.") for n, w in rows], "n int, w string, t string")
+    for r in df.select("n", "w", sentence_pieces("t").alias("p")).collect():
+        assert len(r.p) == (3 if r.w == "xdr" else 2), (r.n, r.w)
+
+
+def test_packing_grows_with_the_text(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([("d", "One two. " * n)], "source_file string, text string").cache()
+        df.count()
+        start = time.perf_counter()
+        assert chunk_documents(df, JobOptions(max_tokens=2, overlap=0)).count() == n
+        return time.perf_counter() - start
+
+    seconds(2000)
+    assert seconds(40_000) < 8 * seconds(10_000) + 2

@@ -8,7 +8,7 @@ from textmill.operators.embed import HashEmbedder
 from textmill.options import JobOptions, Limits
 from textmill.plans.corpus import process_folder, run
 from textmill.sources.archives import archive_policy, read_manifest, read_members
-from textmill.sources.delimited import delimiter_profile, header_names, read_delimited, read_parquet_rows
+from textmill.sources.delimited import delimiter_profile, header_names, read_delimited, read_delimited_cells
 from textmill.sources.files import discover, extension, read_bytes, read_text, route
 from textmill.sources.tables import read_tables
 from textmill.streaming.ingest import ingest, stream_text
@@ -54,13 +54,23 @@ def folder(tmp_path):
     return root
 
 
+def short(path):
+    """Last part of a file's path, with the whole path of a member behind it."""
+    file, mark, member = path.partition("!/")
+    return file.rsplit("/", 1)[-1] + mark + member
+
+
+def base(row):
+    return short(row.source_file)
+
+
 def test_discover(spark, folder):
     good, bad = discover(spark, str(folder), Limits(max_file_bytes=4000))
-    assert {r.source_file: r.branch for r in good.collect()} == {
+    assert {base(r): r.branch for r in good.collect()} == {
         "a.txt": "text", "b.TXT": "text", "t.csv": "table", "u.csv": "table", "d.pdf": "text", "z.zip": "archive", "broken.zip": "archive",
     }
-    assert {r.source_file: r.error_code for r in bad.collect()} == {"p.png": "UNSUPPORTED_FORMAT", "big.txt": "FILE_TOO_LARGE"}
-    texts = {r.source_file: r.text for r in read_text(spark, str(folder), Limits(max_file_bytes=4000)).collect()}
+    assert {base(r): r.error_code for r in bad.collect()} == {"p.png": "UNSUPPORTED_FORMAT", "big.txt": "FILE_TOO_LARGE"}
+    texts = {base(r): r.text for r in read_text(spark, str(folder), Limits(max_file_bytes=4000)).collect()}
     assert texts == {"a.txt": "First one. Second one.\r\nThird.", "b.TXT": "Şimdi ığdır."}
 
 
@@ -97,10 +107,72 @@ def test_utf16(spark, tmp_path):
     assert [(r.ad, r.soyad) for r in got] == [("Şule", "Öz"), ("İnci", "Ay")]
 
 
-def test_parquet_rows(spark, tmp_path):
-    spark.range(100).selectExpr("cast(id as string) v").coalesce(1).write.parquet(str(tmp_path / "p"))
-    got = read_parquet_rows(spark, str(tmp_path / "p")).collect()
-    assert all(int(r.v) == r.row_idx for r in got)
+def test_files_of_other_headers_and_equal_names(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a" / "t.csv").write_text("a,b\n1,2\n3,4\n")
+    (tmp_path / "b" / "t.csv").write_text("b;a;c\n5;6;7\n")
+    (tmp_path / "b" / "old.csv").write_bytes("a,b\nŞule,x\n".encode("cp1254"))
+    rows = read_delimited(spark, str(tmp_path)).collect()
+    got = {(r.source_file.split(f"{tmp_path}/")[1], r.a, r.b, r.c) for r in rows}
+    assert got == {("a/t.csv", "1", "2", None), ("a/t.csv", "3", "4", None), ("b/t.csv", "6", "5", "7"), ("b/old.csv", "Şule", "x", None)}
+    cells = read_delimited_cells(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).collect()
+    assert sorted(tuple((c.name, c.val) for c in r.cells) for r in cells) == [
+        (("a", "1"), ("b", "2")), (("a", "3"), ("b", "4")), (("a", "Şule"), ("b", "x")), (("b", "5"), ("a", "6"), ("c", "7")),
+    ]
+    assert read_delimited_cells(spark, []).count() == 0
+
+
+def one_table(spark, content: bytes):
+    from textmill.sources.tables import read_tables
+
+    return read_tables(spark.createDataFrame([("f", content)], "source_file string, content binary"))
+
+
+def test_delimiter_from_all_records(spark):
+    cell = '"' + "x, y" * 5000 + '"'
+    rows = one_table(spark, f"t\tv\n{cell}\t1\n".encode()).collect()
+    assert [c.name for c in rows[0].cells] == ["t", "v"] and rows[0].cells[1].val == "1"
+
+
+def test_repeated_names_differ(spark):
+    from textmill.operators.row_chunks import chunk_tables
+
+    rows = one_table(spark, b"a,a,a.1,,\n1,2,3,4,5\n6,7,8,9,0\n")
+    assert [c.name for c in rows.first().cells] == header_names(["a", "a", "a.1", None, None])
+    assert chunk_tables(rows)[0].first().row_data["a.1.1"] == "3"
+
+
+def test_malformed_utf16_is_read_like_other_text(spark):
+    good = "a,b\n1,ş\n".encode("utf-16")
+    assert one_table(spark, good).first().cells[1].val == "ş"
+    assert one_table(spark, "a,b\n1,😀\n".encode("utf-16-be").join([b"\xfe\xff", b""])).first().cells[1].val == "😀"
+    for bad in (good + b"\x00\xd8", good + b"x", b"\xff\xfe\x00\xdc,\x00"):
+        one_table(spark, bad).collect()
+
+
+def test_members_of_equal_names_stay_apart(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("x/a.txt", "One.")
+        z.writestr("y/a.txt", "Two.")
+    for d in ("p", "q"):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "bad.png").write_text("no")
+        (tmp_path / d / "a.txt").write_text(f"Text {d}.")
+    chunks, bad = process_folder(spark, str(tmp_path), JobOptions())
+    got = {r.source_file.split(tmp_path.name + "/")[1]: (r.text, r.chunk_index) for r in chunks.collect()}
+    assert got == {"z.zip!/x/a.txt": ("One.", 0), "z.zip!/y/a.txt": ("Two.", 0), "p/a.txt": ("Text p.", 0), "q/a.txt": ("Text q.", 0)}
+    assert len({r.source_file for r in bad.collect()}) == 2
+
+
+def test_large_tables_are_read_in_splits(spark, tmp_path, monkeypatch):
+    from textmill.plans import corpus
+
+    (tmp_path / "t.csv").write_text("id,name\n" + "".join(f"{i},n{i}\n" for i in range(300)))
+    want = {r.text for r in process_folder(spark, str(tmp_path))[0].collect()}
+    monkeypatch.setattr(corpus, "SPLIT_BYTES", 1)
+    got = process_folder(spark, str(tmp_path))[0].collect()
+    assert {r.text for r in got} == want and sorted(r.chunk_index for r in got) == list(range(300))
 
 
 def test_delimiter_profile(spark):
@@ -136,7 +208,7 @@ def test_tables_of_any_header(spark):
 def test_archives(spark, folder):
     files = read_bytes(spark, str(folder), ".zip").select("source_file", "content")
     manifest, broken = read_manifest(files)
-    assert [(r.source_file, r.error_code) for r in broken.collect()] == [("broken.zip", "INVALID_FILE")]
+    assert [(base(r), r.error_code) for r in broken.collect()] == [("broken.zip", "INVALID_FILE")]
     members, refused = archive_policy(manifest)
     assert {r.source_file for r in members.collect()} == {"in/a.txt", "t.csv", "w.docx"} and refused.count() == 0
     read, bad = read_members(files, members)
@@ -163,22 +235,23 @@ def test_damaged_member_fails_alone(spark, tmp_path):
     files = read_bytes(spark, str(tmp_path), ".zip").select("source_file", "content")
     read, bad = read_members(files, archive_policy(read_manifest(files)[0])[0])
     assert [r.source_file for r in read.collect()] == ["good.txt"]
-    assert [(r.source_file, r.error_code) for r in bad.collect()] == [("bad.txt", "INVALID_FILE")]
+    assert [(base(r), r.error_code) for r in bad.collect()] == [("d.zip!/bad.txt", "INVALID_FILE")]
 
 
 def test_whole_folder(spark, folder, tmp_path):
     options = JobOptions(limits=Limits(max_file_bytes=4000), model_name="e5-base-v2")
     chunks, bad = process_folder(spark, str(folder), options, HashEmbedder(8))
-    got = {(r.container_file.rsplit("/", 1)[-1], r.source_file, r.chunk_index): r for r in chunks.collect()}
+    got = {(short(r.container_file), base(r), r.chunk_index): r for r in chunks.collect()}
     assert got["a.txt", "a.txt", 0].text == "First one. Second one.\nThird."
     assert got["b.TXT", "b.TXT", 0].text == "Şimdi ığdır."
     assert got["t.csv", "t.csv", 0].text == "id: 1 | name: Ali | note: x" and got["t.csv", "t.csv", 2].text == "3"
     assert got["t.csv", "t.csv", 1].row_data == {"id": "2", "name": "Veli", "note": ""}
     assert got["u.csv", "u.csv", 0].text == "only\nvalue" and not got["u.csv", "u.csv", 0].is_tabular
-    assert got["z.zip", "a.txt", 0].text == "Inside text." and got["z.zip", "t.csv", 1].text == "k: 4 | v: 5 | w: 6"
+    assert got["z.zip", "z.zip!/in/a.txt", 0].text == "Inside text." and got["z.zip", "z.zip!/t.csv", 1].text == "k: 4 | v: 5 | w: 6"
     assert len(got) == 9 and all(len(r.embedding) == 8 for r in got.values())
-    assert {(r.source_file, r.error_code) for r in bad.collect()} == {
-        ("p.png", "UNSUPPORTED_FORMAT"), ("big.txt", "FILE_TOO_LARGE"), ("d.pdf", "INVALID_FILE"), ("broken.zip", "INVALID_FILE"), ("w.docx", "INVALID_FILE"),
+    assert {(base(r), r.error_code) for r in bad.collect()} == {
+        ("p.png", "UNSUPPORTED_FORMAT"), ("big.txt", "FILE_TOO_LARGE"), ("d.pdf", "INVALID_FILE"), ("broken.zip", "INVALID_FILE"),
+        ("z.zip!/w.docx", "INVALID_FILE"),
     }
     run(spark, str(folder), str(tmp_path / "out"), options, HashEmbedder(8))
     assert spark.read.json(str(tmp_path / "out")).where("error is null").count() == 6

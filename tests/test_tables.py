@@ -14,13 +14,11 @@ from textmill.operators.table_clean import (
     drop_blank_rows,
     drop_null_columns,
     row_cap,
-    sheet_header,
     source_profile,
     table_gate,
     table_profile,
 )
 from textmill.options import JobOptions, Limits
-from textmill.sources.tables import cells_of
 
 ABC = "source_file string, row_idx bigint, a string, b string, c string"
 
@@ -31,7 +29,8 @@ def rows_of(spark, *rows, source="t.csv"):
 
 def as_cells(df):
     names = [c for c in df.columns if c not in ("source_file", "row_idx")]
-    return df.select("source_file", "row_idx", cells_of(df, *names).alias("cells"))
+    cells = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("val")) for n in names])
+    return df.select("source_file", "row_idx", cells.alias("cells"))
 
 
 @pytest.mark.parametrize("shape", [lambda d: d, as_cells])
@@ -67,7 +66,6 @@ def test_cleanup(spark):
     assert drop_null_columns(df).columns == ["source_file", "row_idx", "a", "c"]
     na = spark.createDataFrame([("NA",), ("",), ("n/a",), ("0",), ("None",), ("none",)], "v string")
     assert [r.v for r in na.select(missing_to_null(F.col("v")).alias("v")).collect()] == [None, None, None, "0", None, "none"]
-    assert sheet_header(["x", None, "y"]) == ["x", "col_1", "y"]
 
 
 def test_gate_and_cap(spark):
@@ -219,3 +217,21 @@ def test_empty_table(spark):
 
 def test_block_size_is_bounded():
     assert ordering.BLOCK == 1 << ordering.BLOCK_BITS <= 1 << 16
+
+
+def test_no_limits_by_default(spark):
+    from textmill.options import JobOptions, Limits
+
+    assert Limits() == Limits(None, None, None)
+    df = spark.range(600_000).selectExpr("'t' source_file", "id row_idx", "cast(id as string) a", "'x' b")
+    chunks, bad = chunk_tables(df, JobOptions(attach_row_data=False, flatten_row_values_to_root=False))
+    assert chunks.count() == 600_000 and bad.count() == 0
+
+
+def test_long_narrow_table_is_chunked_by_blocks(spark, tiny_blocks):
+    rows = [("t", i, f"Line {i} ends.") for i in range(11)] + [("u", 0, "only")]
+    df = spark.createDataFrame(rows, "source_file string, row_idx long, a string")
+    got = chunk_tables(df, JobOptions(max_tokens=1000, overlap=0))[0].collect()
+    by = {(r.source_file, r.chunk_index): r.text for r in got}
+    assert sorted(by) == [("t", 0), ("t", 1), ("t", 2), ("u", 0)]
+    assert "\n".join(by["t", i] for i in range(3)) == "a\n" + "\n".join(r[2] for r in rows[:11]) and by["u", 0] == "a\nonly"

@@ -1,8 +1,9 @@
 """Greedy sentence packing (C8-C11): text in, token-bounded chunks out.
 
 The whole chunker is one Column expression over one row, so chunking a corpus is
-a scan, a projection and a generate: no shuffle, no Python, and a document's work
-grows linearly with its length.
+a scan, a projection and a generate: no shuffle, no Python. Folds run over blocks of
+pieces, so that no array grows step by step over a whole document and its work stays
+in proportion to its length.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from textmill.functions.sentences import sentence_pieces
 from textmill.functions.text import strip
 from textmill.functions.tokens import word_count, words
 
+FOLD = 256  # Elements a fold gathers before it hands them on.
 CHUNK_ARRAY = "array<struct<text:string,token_count:int,fresh_tokens:int>>"
 
 
@@ -42,15 +44,31 @@ def _budget_pieces(text: Column, budget: int) -> Column:
     return F.flatten(F.transform(sentence_pieces(text), counted))
 
 
+def in_blocks(values: Column) -> Column:
+    """An array cut into runs of ``FOLD`` elements."""
+    count = F.ceil(F.size(values) / FOLD).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda b: F.slice(values, b * FOLD + 1, FOLD))
+    return F.when(count > 0, runs).otherwise(F.slice(runs, 1, 0))
+
+
 def _chunk_starts(pieces: Column, max_tokens: int, budget: int) -> Column:
     """Index of each chunk's first piece, then the piece count as a closing bound.
 
-    The array grows once per chunk, not once per sentence.
+    Cuts are gathered per block of pieces, and the blocks' cuts once per block; only
+    the running state goes from block to block.
     """
+    none = F.array().cast("array<int>")
     start = F.struct(
-        F.lit(0).alias("acc"), F.lit(0).alias("i"), F.lit(max_tokens).alias("cap"), F.array(F.lit(0)).alias("cuts")
+        F.lit(0).alias("acc"), F.lit(0).alias("i"), F.lit(max_tokens).alias("cap"), F.array(F.array(F.lit(0))).alias("all")
     )
 
+    def block(state: Column, toks: Column) -> Column:
+        own = F.struct(*[state[c].alias(c) for c in ("acc", "i", "cap")], none.alias("cuts"))
+        return let(
+            F.aggregate(toks, own, step),
+            lambda s: F.struct(*[s[c].alias(c) for c in ("acc", "i", "cap")], F.array_append(state["all"], s["cuts"]).alias("all")),
+        )
+
     def step(a: Column, tok: Column) -> Column:
         return F.when(
             (a["acc"] > 0) & (a["acc"] + tok > a["cap"]),
@@ -66,7 +84,9 @@ def _chunk_starts(pieces: Column, max_tokens: int, budget: int) -> Column:
             )
         )
 
-    return F.aggregate(pieces["tok"], start, step, lambda a: F.array_append(a["cuts"], a["i"]))
+    return F.aggregate(
+        in_blocks(pieces["tok"]), start, block, lambda a: F.flatten(F.array_append(a["all"], F.array(a["i"])))
+    )
 
 
 def _fresh_parts(pieces: Column, cuts: Column) -> Column:

@@ -56,13 +56,18 @@ def chunk_documents(docs: DataFrame, options: JobOptions = JobOptions(), *keep:
     )
 
 
+ERROR = "source_file string, error_code string, message string, detail string"
+
+
 def within_limit(parts: DataFrame, key: str, text: str, limits: Limits) -> tuple[DataFrame, DataFrame]:
     """Parts of the documents within the file size limit, and the errors of the others.
 
-    Run before the parts of a document are collected, so that no group is larger
-    than a file may be. The sizes are summed before the shuffle, so a document with
-    a third of all parts costs one row per task.
+    Run before the parts of a document are put together where a caller sets a limit. The sizes are summed before the shuffle, so a document with
+    a third of all parts costs one row per task. Without a limit nothing is read.
     """
+    none = parts.sparkSession.createDataFrame([], ERROR)
+    if limits.max_file_bytes is None:
+        return parts, none
     sizes = parts.groupBy(key).agg(F.sum(F.octet_length(text) + 1).alias("bytes"))
     big = materialize(sizes.where(F.col("bytes") > limits.max_file_bytes).select(key))
     name = F.col(key).cast("string")

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textmill.functions.columns import as_column
+from textmill.functions.columns import as_column, let
+from textmill.functions.tokens import words
 from textmill.functions.vectors import l2_normalize
 from textmill.operators.models import model_config, with_model
 from textmill.options import JobOptions
@@ -48,34 +49,23 @@ def embedding_inputs(chunks: DataFrame, options: JobOptions) -> DataFrame:
 
 @dataclass(frozen=True)
 class HashEmbedder:
-    """Counts of hashed words: an offline stand-in that needs no model file."""
+    """Counts of hashed words: an offline stand-in that needs no model file.
 
-    dimension: int = 64
-
-    def make_predict_fn(self) -> Callable[[], PredictFn]:
-        dim = self.dimension
-
-        def make() -> PredictFn:
-            import hashlib
-
-            slots: dict[str, int] = {}
+    It is a Column expression, so no Python worker takes part.
+    """
 
-            def slot(word: str) -> int:
-                if word not in slots:
-                    if len(slots) > 1_000_000:
-                        slots.clear()
-                    slots[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
-                return slots[word]
+    dimension: int = 64
 
-            def predict(texts: np.ndarray) -> np.ndarray:
-                out = np.zeros((len(texts), dim), dtype=np.float32)
-                for i, text in enumerate(texts.reshape(-1)):
-                    out[i] = np.bincount([slot(w) for w in str(text).split()], minlength=dim)
-                return out
+    def expression(self, text: Column | str, max_length: int | None = None) -> Column:
+        def slot(word: Column) -> Column:
+            number = F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("bigint")
+            return (number % self.dimension).cast("int")
 
-            return predict
+        def counts(slots: Column) -> Column:
+            rest = lambda k: F.size(slots) - F.size(F.array_remove(slots, k))
+            return F.transform(F.sequence(F.lit(0), F.lit(self.dimension - 1)), lambda k: rest(k).cast("float"))
 
-        return make
+        return let(F.transform(words(as_column(text)), slot), counts)
 
 
 @dataclass(frozen=True)
@@ -83,22 +73,24 @@ class OnnxEmbedder:
     """Mean-pooled token vectors of a local ONNX model, loaded once per Python worker.
 
     Both files must be readable by every worker. The attention mask keeps padding
-    out of the mean.
+    out of the mean. ``max_length`` is the model's own limit, in its tokens and with
+    its special tokens; ``embed`` takes it from the registry where it is not set.
     """
 
     model_path: str
     tokenizer_path: str
-    max_length: int = 512
+    max_length: int | None = None
 
-    def make_predict_fn(self) -> Callable[[], PredictFn]:
-        model_path, tokenizer_path, limit = self.model_path, self.tokenizer_path, self.max_length
+    def make_predict_fn(self, max_length: int | None = None) -> Callable[[], PredictFn]:
+        model_path, tokenizer_path, limit = self.model_path, self.tokenizer_path, self.max_length or max_length
 
         def make() -> PredictFn:
             import onnxruntime
             import tokenizers
 
             tok = tokenizers.Tokenizer.from_file(tokenizer_path)
-            tok.enable_truncation(limit)
+            if limit:
+                tok.enable_truncation(limit)
             tok.enable_padding()
             session = onnxruntime.InferenceSession(model_path, providers=onnxruntime.get_available_providers())
             wanted = [i.name for i in session.get_inputs()]
@@ -121,22 +113,28 @@ class OnnxEmbedder:
 
 
 def embed(chunks: DataFrame, embedder, options: JobOptions = JobOptions()) -> DataFrame:
-    """Chunks with ``embedding array<float>`` on the row.
+    """Chunks with ``embedding array<float>`` and ``truncated`` on the row.
 
     The vector stays with its chunk, so nothing has to be matched by position
-    later. ``skip_embedding`` leaves the whole stage out.
+    later. ``truncated`` says whether the model was given less than the chunk.
+    ``skip_embedding`` leaves the whole stage out. An embedder gives an ``expression``
+    or, for a model outside the JVM, a ``make_predict_fn``.
     """
     if options.skip_embedding:
         return chunks
-    predict = predict_batch_udf(
-        embedder.make_predict_fn(),
-        return_type=T.ArrayType(T.FloatType()),
-        batch_size=options.embedding_batch_size,
-    )
+    limit = model_config(options.model_name)["max_length"]
+    if hasattr(embedder, "expression"):
+        vector = embedder.expression("input_text", limit)
+    else:
+        vector = predict_batch_udf(
+            embedder.make_predict_fn(limit),
+            return_type=T.ArrayType(T.FloatType()),
+            batch_size=options.embedding_batch_size,
+        )("input_text")
     return (
         embedding_inputs(chunks, options)
-        .withColumn("embedding", predict("input_text"))
+        .withColumn("embedding", vector)
         .withColumn("embedding", l2_normalize("embedding"))
         .withColumn("embedding_model_id", F.lit(options.model_name))
-        .drop("input_text", "truncated")
+        .drop("input_text")
     )

@@ -32,6 +32,7 @@ REGISTRY = [
      "E5 large v2 English model, high quality retrieval", 1024, "query: ", "passage: "),
 ]
 
+# What is assumed of a model that is not listed.
 UNKNOWN = {
     "max_length": 512,
     "language": "unknown",

@@ -31,18 +31,35 @@ def chunk_result() -> Column:
     return F.struct("text", F.struct(*METADATA).alias("metadata"))
 
 
-def file_results(chunks: DataFrame, file: str = "source_file", size: int = PART) -> DataFrame:
+def file_results(
+    chunks: DataFrame, file: str = "source_file", size: int = PART, files: DataFrame | None = None
+) -> DataFrame:
     """Nested results of each file in parts, chunks in order, vectors beside them (F2).
 
     ``file`` may name the container a member came from; the parts then run per
-    member, whose chunk numbers start at zero.
+    member, whose chunk numbers start at zero. Files of ``files(filename, member)``
+    without a chunk, as blank ones, have one part with an empty list.
     """
     keys = [F.col(file).alias("filename"), F.col("source_file").alias("member"), part_of(size=size)]
     vectors = "embedding" in chunks.columns
     entry = [F.col("chunk_index"), chunk_result().alias("chunk"), *([F.col("embedding")] if vectors else [])]
     grouped = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*entry)), by_index).alias("_rows"))
     embeddings = F.col("_rows.embedding") if vectors else F.lit(None).cast("array<array<float>>")
-    return grouped.select("filename", "member", "part", F.col("_rows.chunk").alias("chunks"), embeddings.alias("embeddings"))
+    nested = grouped.select("filename", "member", "part", F.col("_rows.chunk").alias("chunks"), embeddings.alias("embeddings"))
+    if files is None:
+        return nested
+    # Only the names of files with chunks are joined, a row per part.
+    empty = files.select("filename", "member").distinct().join(nested.select("filename", "member").distinct(), ["filename", "member"], "left_anti")
+    kinds = dict(nested.dtypes)
+    return nested.unionByName(
+        empty.select(
+            "filename",
+            "member",
+            F.lit(0).alias("part"),
+            F.array().cast(kinds["chunks"]).alias("chunks"),
+            (F.array() if vectors else F.lit(None)).cast(kinds["embeddings"]).alias("embeddings"),
+        )
+    )
 
 
 def by_index(a: Column, b: Column) -> Column:
@@ -58,11 +75,18 @@ def with_errors(results: DataFrame, failed: DataFrame) -> DataFrame:
     return results.unionByName(bad, allowMissingColumns=True)
 
 
-def totals(chunks: DataFrame, failed: DataFrame | None = None, file: str = "source_file") -> DataFrame:
-    """Chunk and token counts per file, zero for a failed one."""
+def totals(
+    chunks: DataFrame, failed: DataFrame | None = None, file: str = "source_file", files: DataFrame | None = None
+) -> DataFrame:
+    """Chunk and token counts per file, zero for a failed one and for one of ``files(filename)`` without chunks."""
     good = chunks.groupBy(F.col(file).alias("filename")).agg(
         F.count("*").alias("total_chunks"), F.sum("token_count").alias("total_tokens")
     )
+    if files is not None:
+        named = files.select("filename").distinct().join(good, "filename", "left")
+        good = named.select(
+            "filename", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("total_chunks", "total_tokens")]
+        )
     if failed is None:
         return good
     bad = failed.select(

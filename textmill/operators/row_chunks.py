@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions.columns import let
 from textmill.functions.text import is_blank, strip
+from textmill.operators.chunk_pack import in_blocks
 from textmill.operators.documents import chunk_columns, chunk_documents, within_limit
 from textmill.operators.layout import Layout, layout_of
 from textmill.operators.ordering import BLK, block_of, running_totals
@@ -119,7 +120,8 @@ def split_row(text: Column, prefix: Column, chars_per_chunk: Column) -> Column:
     """Windows of a long row's text, each ending after its last space.
 
     Two consecutive windows advance at least by the size of a later window, which
-    bounds the number of steps; a finished state passes through unchanged.
+    bounds the number of steps; a finished state passes through unchanged. Windows are
+    gathered in runs, so that no array grows over the whole row.
     """
 
     def cut(v: Column) -> Column:
@@ -141,12 +143,20 @@ def split_row(text: Column, prefix: Column, chars_per_chunk: Column) -> Column:
                     ),
                 )
 
-            size = F.when(F.size(a["out"]) == 0, cpc).otherwise(later)
+            size = F.when(a["pos"] == 0, cpc).otherwise(later)
             return F.when(a["pos"] >= F.length(t), a).otherwise(let(F.substring(t, a["pos"] + 1, size), advance))
 
+        def run(a: Column, steps: Column) -> Column:
+            own = F.struct(a["pos"].alias("pos"), F.array().cast("array<string>").alias("out"))
+            return let(
+                F.aggregate(steps, own, step),
+                lambda s: F.struct(s["pos"].alias("pos"), F.array_append(a["all"], s["out"]).alias("all")),
+            )
+
         bound = (2 * F.ceil(F.length(t) / later) + 2).cast("int")
-        start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-        pieces = F.filter(F.aggregate(F.sequence(F.lit(1), bound), start, step, lambda a: a["out"]), lambda s: s != "")
+        start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<array<string>>").alias("all"))
+        windows = F.aggregate(in_blocks(F.sequence(F.lit(1), bound)), start, run, lambda a: F.flatten(a["all"]))
+        pieces = F.filter(windows, lambda s: s != "")
         return F.transform(pieces, lambda s, i: F.when(i > 0, F.concat(pre, s)).otherwise(s))
 
     return let(F.struct(text.alias("t"), prefix.alias("pre"), chars_per_chunk.alias("cpc")), cut)
@@ -259,10 +269,12 @@ def _chunk_profiled(
     )
 
 
-def fallback_documents(rows: DataFrame, layout: Layout, options: JobOptions) -> tuple[DataFrame, DataFrame]:
-    """Tables that fail the gate as plain texts, header first (D14), and the errors.
+def fallback_chunks(rows: DataFrame, layout: Layout, options: JobOptions) -> tuple[DataFrame, DataFrame]:
+    """Chunks of the tables that fail the gate, read as plain text, header first (D14), and the errors.
 
-    Blank cells stay in. The file size limit bounds each text before it is put together.
+    Blank cells stay in. A text is put together per block of rows, so that a table of
+    any length stays in pieces; its chunks end at the border of a block, and their
+    numbers go on behind those of the blocks before.
     """
     lines = rows.select(
         "source_file",
@@ -272,8 +284,18 @@ def fallback_documents(rows: DataFrame, layout: Layout, options: JobOptions) ->
     )
     fitting, too_big = within_limit(lines, "source_file", "line", options.limits)
     ordered = F.array_sort(F.collect_list(F.struct("row_idx", "line")))
-    text = F.array_join(F.concat(F.array(F.any_value("header")), F.transform(ordered, lambda r: r["line"])), "\n")
-    return fitting.groupBy("source_file").agg(text.alias("text")), too_big
+    texts = fitting.groupBy("source_file", block_of("row_idx").alias(BLK)).agg(
+        F.array_join(F.transform(ordered, lambda r: r["line"]), "\n").alias("_lines"), F.any_value("header").alias("_header")
+    )
+    first = texts.groupBy("source_file").agg(F.min(BLK).alias("_first"))
+    headed = F.when(F.col(BLK) == F.col("_first"), F.concat("_header", F.lit("\n"), "_lines")).otherwise(F.col("_lines"))
+    whole = texts.join(first, "source_file").select("source_file", BLK, headed.alias("text"))
+    chunks = materialize(chunk_documents(whole, options, BLK))
+    counts = chunks.groupBy("source_file", BLK).agg(F.count("*").alias("_n"))
+    before = running_totals(counts, "source_file", "_n").select("source_file", BLK, "_n_before")
+    numbered = chunks.join(before, ["source_file", BLK])
+    index = (F.col("chunk_index") + F.col("_n_before")).cast("int")
+    return numbered.withColumn("chunk_index", index).drop(BLK, "_n_before").select(*chunks.drop(BLK).columns), too_big
 
 
 def chunk_tables(
@@ -283,7 +305,8 @@ def chunk_tables(
     layout = layout_of(rows, columns)
     profile = table_profile(rows, layout, options)
     whole = source_profile(profile)
-    within = whole.where(F.col("n_rows") <= options.limits.max_table_rows)
+    most = options.limits.max_table_rows
+    within = whole if most is None else whole.where(F.col("n_rows") <= most)
     gated = materialize(table_gate(within, options.min_cols_for_table, options.min_rows_for_table))
     failed = too_long_tables(whole, options.limits)
     tables = gated.where("is_table")
@@ -296,7 +319,7 @@ def chunk_tables(
         parts.append(_chunk_profiled(rows, layout, options, extension, table_blocks, tables))
     if not refused.isEmpty() or not parts:
         loose = rows.withColumn(BLK, block_of("row_idx")).join(refused, ["source_file", BLK], "left_semi").drop(BLK)
-        texts, too_big = fallback_documents(loose, layout, options)
-        parts.append(chunk_documents(texts, options).withColumn("row_idx", F.lit(None).cast("bigint")))
+        chunks, too_big = fallback_chunks(loose, layout, options)
+        parts.append(chunks.withColumn("row_idx", F.lit(None).cast("bigint")))
         failed = failed.unionByName(too_big)
     return (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])), failed

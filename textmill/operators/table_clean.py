@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textmill import errors
 from textmill.functions.text import fold_case, strip
+from textmill.operators.documents import ERROR
 from textmill.operators.layout import Layout, layout_of
 from textmill.operators.ordering import BLK, block_of, dense_index
 from textmill.operators.row_text import row_text
@@ -79,8 +80,10 @@ def table_gate(source: DataFrame, min_cols: int | None, min_rows: int | None) ->
 
 
 def too_long_tables(source: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Error records of the sources over the row cap."""
+    """Error records of the sources over the row cap (A7); none where no cap is set."""
     name = F.col("source_file")
+    if limits.max_table_rows is None:
+        return source.sparkSession.createDataFrame([], ERROR)
     return source.where(F.col("n_rows") > limits.max_table_rows).select(
         name,
         F.lit(errors.TOO_MANY_ROWS).alias("error_code"),
@@ -97,8 +100,11 @@ def by_block(blocks: DataFrame, scalars: DataFrame) -> DataFrame:
 def row_cap(rows: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """Rows of the tables within the cap, and the errors of the others.
 
-    The verdict is joined per block, so a hot table is spread over the cluster.
+    The verdict is joined per block, so a hot table is spread over the cluster. Without
+    a cap all rows stay and nothing is read.
     """
+    if limits.max_table_rows is None:
+        return rows, rows.sparkSession.createDataFrame([], ERROR)
     blocked = rows.withColumn(BLK, block_of("row_idx"))
     counts = materialize(blocked.groupBy("source_file", BLK).agg(F.count("*").alias("n_rows")))
     source = counts.groupBy("source_file").agg(F.sum("n_rows").alias("n_rows"))
@@ -106,11 +112,6 @@ def row_cap(rows: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, Data
     return blocked.join(refused, ["source_file", BLK], "left_anti").drop(BLK), too_long_tables(source, limits)
 
 
-def sheet_header(names: list[str | None]) -> list[str]:
-    """Header of a sheet; a cell without a name takes its position."""
-    return [f"col_{i}" if n is None else str(n) for i, n in enumerate(names)]
-
-
 def sparse_cut(flags: DataFrame, run: int) -> DataFrame:
     """The ``row_idx`` of the row that ends each source, for ``flags(source_file, row_idx, sparse)``.
 

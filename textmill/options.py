@@ -26,11 +26,14 @@ def _one_of(name: str, value: str, allowed: tuple[str, ...]) -> None:
 
 @dataclass(frozen=True)
 class Limits:
-    """Size limits of the inputs; what exceeds them goes to the errors."""
+    """Size limits of the inputs a caller may set; what exceeds them goes to the errors.
 
-    max_table_rows: int = 500_000
-    max_file_bytes: int = 100 * 1024 * 1024
-    max_archive_bytes: int = 500 * 1024 * 1024
+    None, the default, is no limit: large inputs are processed.
+    """
+
+    max_table_rows: int | None = None
+    max_file_bytes: int | None = None
+    max_archive_bytes: int | None = None
 
     def __post_init__(self) -> None:
         for name in ("max_table_rows", "max_file_bytes", "max_archive_bytes"):

@@ -12,16 +12,17 @@ from textmill.operators.embed import embed
 from textmill.operators.row_chunks import chunk_tables
 from textmill.options import JobOptions
 from textmill.session import materialize, ship_package
-from textmill.sources.archives import archive_policy, read_manifest, read_members
-from textmill.sources.files import discover, file_name, read_bytes
+from textmill.sources.archives import INNER, archive_policy, read_manifest, read_members
+from textmill.sources.delimited import read_delimited_cells
+from textmill.sources.files import discover, read_bytes
 from textmill.sources.sinks import write_results
 from textmill.sources.tables import read_tables
 
-# Separates an archive from its member in the key a chunk is numbered under.
-INNER = "!/"
-
 READABLE = (".txt", ".csv")
 
+#: From this size on a table is read in splits. A file handled as one value cannot exceed 2 GB.
+SPLIT_BYTES = 64 * 1024 * 1024
+
 
 def _no_reader(files: DataFrame) -> DataFrame:
     """Accepted formats this library does not parse are errors, not silently left out."""
@@ -39,12 +40,14 @@ def _members(spark: SparkSession, path: str, options: JobOptions) -> tuple[DataF
     listed, broken = read_manifest(archives)
     manifest = materialize(listed)
     wanted, refused = archive_policy(manifest, options.zip_password is not None, options.limits)
+    wanted = wanted.withColumn("_key", F.concat("container_file", F.lit(INNER), "source_file"))
     read = wanted.where(F.col("file_ext").isin(*READABLE))
     members, unreadable = read_members(archives, read, options.zip_password)
     files = members.select(
         F.concat("container_file", F.lit(INNER), "source_file").alias("source_file"), "file_ext", "content"
     )
-    return files, [broken, refused, unreadable, _no_reader(wanted.where(~F.col("file_ext").isin(*READABLE)))]
+    other = wanted.where(~F.col("file_ext").isin(*READABLE)).withColumn("source_file", F.col("_key"))
+    return files, [broken, refused, unreadable, _no_reader(other)]
 
 
 def process_folder(
@@ -52,11 +55,13 @@ def process_folder(
 ) -> tuple[DataFrame, DataFrame]:
     """Chunks of all files below ``path``, and the errors of those that failed.
 
-    Chunks carry the file they came from as ``container_file`` and the file or
-    archive member as ``source_file``. One bad file never stops the others.
+    Chunks carry the path of the file they came from as ``container_file``; their
+    ``source_file``, like that of an error, is this path, or for an archive member the
+    path, ``!/`` and the member's own path. One bad file never stops the others.
     """
     ship_package()
     found, refused = discover(spark, path, options.limits)
+    found = found.withColumn("source_file", F.col("path"))
     members, failed = _members(spark, path, options)
     failed += [refused, _no_reader(found.where(~F.col("file_ext").isin(*READABLE, ".zip")))]
 
@@ -65,22 +70,23 @@ def process_folder(
         return own.unionByName(members.where(F.col("file_ext") == ext).select("source_file", "content"))
 
     texts = files(".txt").select("source_file", decode_text("content").alias("text"))
+    # Large tables are cut at their lines; of the others every file is one value.
+    large = [r.path for r in found.where((F.col("file_ext") == ".csv") & (F.col("length") >= SPLIT_BYTES)).select("path").collect()]
+    small = files(".csv").where(~F.col("source_file").isin(large)) if large else files(".csv")
+    cells = read_tables(small).unionByName(read_delimited_cells(spark, large))
     # Parsed once; the table passes then read columns instead of parsing files again.
-    tables = materialize(read_tables(files(".csv")))
+    tables = materialize(cells)
     rows, bad_tables = chunk_tables(tables, options, ".csv")
     chunks = chunk_documents(texts, options).unionByName(rows.drop("row_idx"))
     failed.append(bad_tables)
 
-    key = F.split("source_file", INNER)
-    named = chunks.withColumn("container_file", key[0]).withColumn("source_file", file_name(F.element_at(key, -1)))
+    named = chunks.withColumn("container_file", F.split("source_file", INNER)[0])
     if embedder is not None and not options.skip_embedding:
         named = embed(named, embedder, options)
     bad = failed[0]
     for frame in failed[1:]:
         bad = bad.unionByName(frame)
-    # Errors name the file as chunks do, not the key it was processed under.
-    name = file_name(F.element_at(key, -1))
-    return named, bad.withColumn("message", F.replace("message", "source_file", name)).withColumn("source_file", name)
+    return named, bad
 
 
 def run(spark: SparkSession, path: str, out: str, options: JobOptions = JobOptions(), embedder=None) -> None:

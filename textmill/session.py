@@ -49,8 +49,13 @@ def materialize(df: DataFrame) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """A new folder for intermediate files in the shared folder the session names.
 
-    A folder of this machine stands in only where the session names none, which is
-    meant for tests in local mode.
+    Where it names none, a local session, as in tests, sets a folder of this machine;
+    on a cluster the folder has to be set, as executors could not read each other's files.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{(shared or tempfile.mkdtemp(prefix='textmill-')).rstrip('/')}/{uuid.uuid4().hex}"
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="textmill-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"

@@ -16,6 +16,7 @@ from textmill.options import Limits
 from textmill.session import materialize
 from textmill.sources.files import ARCHIVE_EXTENSIONS, SUPPORTED, extension
 
+INNER = "!/"  # Separates an archive from its member in the name of a member.
 MANIFEST = "archive string, member string, ordinal int, file_size bigint, flag_bits int, is_dir boolean"
 ENCRYPTED = 1  # Fixed value: flag bit of an encrypted member.
 
@@ -45,14 +46,11 @@ def read_manifest(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def archive_error(has_password: bool, limits: Limits) -> Column:
-    name = F.col("archive")
+    name, size, most = F.col("archive"), F.col("total_size"), limits.max_archive_bytes
+    large = [] if most is None else [(size > most, errors.INVALID_FILE, errors.archive_too_large(name, size, most))]
     return errors.first_error(
         ((F.col("encrypted") == 1) & ~F.lit(has_password), errors.ZIP_PASSWORD_REQUIRED, errors.zip_password_required(name)),
-        (
-            F.col("total_size") > limits.max_archive_bytes,
-            errors.INVALID_FILE,
-            errors.archive_too_large(name, F.col("total_size"), limits.max_archive_bytes),
-        ),
+        *large,
     )
 
 
@@ -62,7 +60,7 @@ def archive_policy(
     """Members to read, and the errors of refused archives (A10).
 
     An archive is refused where any member is encrypted and no password is given,
-    or where its files add up to too much. Directories, unsupported files and
+    or where its files add up to more than a limit that is set. Directories, unsupported files and
     nested archives are passed over. The verdict is joined per block of members, so
     one archive with most of the members does not skew the join.
     """
@@ -124,7 +122,7 @@ def read_members(
     )
     wrong = F.format_string("Wrong password for ZIP file '%s'.", F.col("container_file"))
     bad = read.where(F.col("error_code").isNotNull()).select(
-        "source_file",
+        F.concat("container_file", F.lit(INNER), "source_file").alias("source_file"),
         "error_code",
         F.when(F.col("error_code") == errors.ZIP_WRONG_PASSWORD, wrong)
         .otherwise(errors.invalid_file(F.col("source_file"), F.col("reason")))

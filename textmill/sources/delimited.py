@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import csv
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textmill.functions.charset import differences
 from textmill.operators.row_text import missing_to_null
 
 # Delimiters tried, in order of preference.
@@ -13,6 +16,11 @@ DELIMITERS = (",", ";", "\t", "|")
 
 QUOTED = r'"(?:[^"]|"")*+"'
 
+TURKISH = "windows-1254"
+
+# A record ends at a line break outside quotes.
+RECORD = r'(?:[^"\r\n]++|"(?:[^"]++|"")*+"?+)++'
+
 
 def _unquoted(line: Column) -> Column:
     return F.regexp_replace(line, QUOTED, "")
@@ -78,56 +86,104 @@ def header_names(cells: list[str | None]) -> list[str]:
     return out
 
 
-def sniff_delimiter(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
-    """One delimiter for all files below ``path``."""
-    text = spark.read.option("encoding", encoding).text(path)
-    lines = text.select(F.lit(path).alias("source_file"), F.regexp_replace("value", "\\x00", "").alias("line"))
-    found = delimiter_profile(lines).first()
-    return found["sep"] if found else DELIMITERS[0]
+def _heads(spark: SparkSession, paths: list[str], sep: str | None, encoding: str | None, multi_line: bool) -> list[Row]:
+    """Files by what they have in common: ``sep``, ``encoding``, ``head`` (the header record) and ``files``.
+
+    One pass over the lines counts delimiters and finds the first line of each file; a
+    file whose bytes are not UTF-8 is read as windows-1254 where no encoding is given.
+    Files whose cells may hold line breaks are not splittable, and their text is taken whole.
+    """
+    if multi_line:
+        whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+        text = F.regexp_replace(F.decode("content", encoding or "UTF-8"), "^\uFEFF|\x00", "")
+        lines = whole.select(F.col("path").alias("source_file"), F.explode(F.regexp_extract_all(text, F.lit(RECORD), F.lit(0))).alias("line"), F.lit(0).alias("at"))
+        lines = lines.withColumn("at", F.monotonically_increasing_id())
+    else:
+        text = spark.read.option("encoding", encoding or "UTF-8").option("recursiveFileLookup", "true").text(paths)
+        lines = text.select(
+            F.col("_metadata.file_path").alias("source_file"),
+            F.regexp_replace("value", "\x00|^\uFEFF", "").alias("line"),
+            (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("at"),
+        )
+    filled = lines.where(F.col("line") != "")
+    first = filled.groupBy("source_file").agg(
+        F.min_by("line", "at").alias("head"), F.max(F.col("line").contains("\uFFFD")).alias("_other")
+    )
+    if sep is None:
+        first = first.join(delimiter_profile(filled).select("source_file", "sep"), "source_file")
+    else:
+        first = first.withColumn("sep", F.lit(sep))
+    code = F.lit(encoding) if encoding else F.when(F.col("_other"), TURKISH).otherwise("UTF-8")
+    return (
+        first.withColumn("encoding", code)
+        .groupBy("sep", "encoding", "head")
+        .agg(F.sort_array(F.collect_list("source_file")).alias("files"))
+        .orderBy("head", "sep", "encoding")
+        .collect()  # names of files, which Spark lists on the driver anyhow
+    )
+
+
+def _groups(
+    spark: SparkSession, path: str | list[str], sep: str | None, encoding: str | None, multi_line: bool
+) -> list[tuple[list[str], DataFrame]]:
+    """Column names and rows of the files of each header."""
+    multi_line = multi_line or (encoding or "").upper() in ("UTF-16", "UTF-16LE", "UTF-16BE")
+    found = []
+    for group in _heads(spark, [path] if isinstance(path, str) else path, sep, encoding, multi_line):
+        # The reader knows no windows-1254; its bytes come as Latin-1 and are put right by character.
+        turkish = group.encoding == TURKISH
+        code = "ISO-8859-1" if turkish else group.encoding
+        base = {"sep": group.sep, "encoding": code, "multiLine": str(multi_line).lower(), "quote": '"', "escape": '"'}
+        head = group.head
+        if turkish:
+            raw = spark.read.option("encoding", code).text(group.files[0]).where("value <> ''").first().value
+            head = raw.replace("\x00", "").translate(str.maketrans(*differences("cp1254")))
+        names = header_names(next(csv.reader([head], delimiter=group.sep)))
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("_bad", T.StringType())])
+        reader = spark.read.schema(schema).options(
+            **base, header="true", mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", columnPruning="false", enforceSchema="true"
+        )
+        rows = reader.csv(group.files).select(
+            F.col("_metadata.file_path").alias("source_file"),
+            (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("row_idx"),
+            "*",
+        )
+        fields = _occurrences(_unquoted(F.col("_bad")), group.sep) + 1
+        mended = (lambda c: F.translate(c, *differences("cp1254"))) if turkish else (lambda c: c)
+        kept = rows.where(F.col("_bad").isNull() | (fields <= len(names))).drop("_bad")
+        cleaned = kept.select(
+            "source_file",
+            "row_idx",
+            *[missing_to_null(mended(F.regexp_replace(F.col(f"`{n}`"), "\\x00", ""))).alias(n) for n in names],
+        )
+        found.append((names, cleaned.dropna("all", subset=[f"`{n}`" for n in names])))
+    return found
 
 
 def read_delimited(
-    spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8", multi_line: bool = False
+    spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, multi_line: bool = False
 ) -> DataFrame:
-    """Rows of delimited files that share a header: ``(source_file, row_idx, <cells>)`` (A4).
+    """Rows of delimited files: ``(source_file, row_idx, <cells>)`` (A4, A5).
 
-    Cells stay text. A line with too many fields is skipped, one with too few is
-    padded with nulls; missing-value spellings become null and rows without any
-    value go. Files stay splittable unless cells may hold line breaks.
+    Every file is read by its own header and delimiter and named by its path; a column a
+    file does not have is null. Cells stay text. A line with too many fields is skipped,
+    one with too few is padded with nulls; missing-value spellings become null and rows
+    without any value go. Files stay splittable unless cells may hold line breaks.
 
     ``row_idx`` is the byte offset of the split plus the line number in it, which
     rises along the file and is unique in it, as every line has at least one byte.
     """
-    if encoding.upper() in ("UTF-16", "UTF-16LE", "UTF-16BE"):
-        multi_line = True
-    sep = sep or sniff_delimiter(spark, path, encoding)
-    base = {"sep": sep, "encoding": encoding, "multiLine": str(multi_line).lower(), "quote": '"', "escape": '"'}
-    head = spark.read.options(**base, header="false", inferSchema="false").csv(path).first()
-    if head is None:
-        return spark.createDataFrame([], "source_file string, row_idx bigint")
-    clean = [None if c is None else c.replace("\x00", "").lstrip("﻿") for c in head]
-    names = header_names(clean)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("_bad", T.StringType())])
-    reader = spark.read.schema(schema).options(
-        **base, header="true", mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", columnPruning="false"
-    )
-    rows = reader.csv(path).select(
-        F.col("_metadata.file_name").alias("source_file"),
-        (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("row_idx"),
-        "*",
-    )
-    fields = _occurrences(_unquoted(F.col("_bad")), sep) + 1
-    kept = rows.where(F.col("_bad").isNull() | (fields <= len(names))).drop("_bad")
-    cleaned = kept.select(
-        "source_file",
-        "row_idx",
-        *[missing_to_null(F.regexp_replace(F.col(f"`{n}`"), "\\x00", "")).alias(n) for n in names],
-    )
-    return cleaned.dropna("all", subset=[f"`{n}`" for n in names])
+    out = spark.createDataFrame([], "source_file string, row_idx bigint")
+    for _, rows in _groups(spark, path, sep, encoding, multi_line):
+        out = out.unionByName(rows, allowMissingColumns=True)
+    return out
 
 
-def read_parquet_rows(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table as rows; the file's own row index is the position, at no cost."""
-    return spark.read.parquet(path).select(
-        F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.row_index").alias("row_idx"), "*"
-    )
+def read_delimited_cells(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The same rows as ``(source_file, row_idx, cells)``, each with the columns of its own file."""
+    kind = "array<struct<name:string,val:string>>"
+    out = spark.createDataFrame([], f"source_file string, row_idx bigint, cells {kind}")
+    for names, rows in _groups(spark, paths, None, None, False) if paths else []:
+        cells = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("val")) for n in names])
+        out = out.unionByName(rows.select("source_file", "row_idx", cells.cast(kind).alias("cells")))
+    return out

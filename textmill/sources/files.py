@@ -37,17 +37,21 @@ def route(ext: Column) -> Column:
 def file_error(name: Column, size: Column, limits: Limits) -> Column:
     """Why a file is refused: its size first, then its format."""
     ext = extension(name)
+    most = limits.max_file_bytes
+    large = [] if most is None else [(size > most, errors.FILE_TOO_LARGE, errors.file_too_large(name, most))]
     return errors.first_error(
-        (size > limits.max_file_bytes, errors.FILE_TOO_LARGE, errors.file_too_large(name, limits.max_file_bytes)),
+        *large,
         (~ext.isin(*SUPPORTED), errors.UNSUPPORTED_FORMAT, errors.unsupported_format(name, ext)),
     )
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, source_file, file_ext, length)`` of all files below ``path``, without reading them."""
+    """``(path, source_file, file_ext, length)`` of all files below ``path``, without reading them.
+
+    A file is named by its path everywhere, as base names repeat.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = file_name(F.col("path"))
-    return files.select("path", name.alias("source_file"), extension(F.col("path")).alias("file_ext"), "length")
+    return files.select("path", F.col("path").alias("source_file"), extension(F.col("path")).alias("file_ext"), "length")
 
 
 def discover(spark: SparkSession, path: str, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
@@ -58,8 +62,9 @@ def discover(spark: SparkSession, path: str, limits: Limits = Limits()) -> tuple
 
 
 def read_bytes(spark: SparkSession, path: str, ext: str, limits: Limits = Limits()) -> DataFrame:
-    """``(source_file, file_ext, content)`` of the files of one extension within the size limit.
+    """``(path, source_file, file_ext, content)`` of the files of one extension.
 
+    Where a size limit is set, larger files are left out, which ``discover`` reports.
     Both conditions reach the scan: other files are not opened.
     """
     files = (
@@ -67,9 +72,10 @@ def read_bytes(spark: SparkSession, path: str, ext: str, limits: Limits = Limits
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext))
         .load(path)
-        .where(F.col("length") <= limits.max_file_bytes)
     )
-    return files.select("path", file_name(F.col("path")).alias("source_file"), F.lit(ext).alias("file_ext"), "content")
+    if limits.max_file_bytes is not None:
+        files = files.where(F.col("length") <= limits.max_file_bytes)
+    return files.select("path", F.col("path").alias("source_file"), F.lit(ext).alias("file_ext"), "content")
 
 
 def read_text(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:

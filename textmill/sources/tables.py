@@ -1,9 +1,8 @@
 """Delimited files of any header to rows with a ``cells`` column (A4, A5).
 
 For corpora of many files or archive members with different headers: the file is
-one value, bounded by the file size limit, and is cut into records and fields by
-expressions, so that all files share one plan. Large files that share a header are
-better read by ``delimited.read_delimited``, which splits them.
+one value and is cut into records and fields by expressions, so that all files share
+one plan. Large files are better read by ``delimited.read_delimited``, which splits them.
 """
 
 from __future__ import annotations
@@ -12,14 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions.charset import decode_table
-from textmill.functions.columns import as_column, let
+from textmill.functions.columns import let
 from textmill.operators.row_text import missing_to_null
-from textmill.sources.delimited import DELIMITERS, QUOTED
-
-SNIFF_CHARS = 8192  # Fixed value: how much of a file the delimiter is taken from.
-
-# A record ends at a line break outside quotes.
-RECORD = r'(?:[^"\r\n]++|"(?:[^"]++|"")*+"?+)++'
+from textmill.sources.delimited import DELIMITERS, QUOTED, RECORD
 
 
 def records(text: Column) -> Column:
@@ -28,7 +22,7 @@ def records(text: Column) -> Column:
 
 
 def detect_delimiter(text: Column) -> Column:
-    """The delimiter that cuts the most lines of the file's head into the same number of fields.
+    """The delimiter that cuts the most records of the file into the same number of fields.
 
     Ties go to more fields, then to the order of preference; without any of them
     the file is comma-separated.
@@ -39,13 +33,26 @@ def detect_delimiter(text: Column) -> Column:
         hits = F.transform(lines, lambda x: F.size(F.split(F.regexp_replace(x, QUOTED, ""), sep)) - 1)
 
         def mode(h: Column) -> Column:
-            shares = F.transform(
-                F.array_distinct(F.filter(h, lambda n: n > 0)),
-                lambda n: F.struct(
-                    F.size(F.filter(h, lambda m: m == n)).alias("lines"), n.alias("hits"), F.lit(-rank).alias("rank")
+            """The most frequent count, from the longest run of equal counts once they are sorted."""
+            start = F.struct(F.lit(0).alias("lines"), F.lit(0).alias("hits"), F.lit(0).alias("best"), F.lit(0).alias("most"))
+
+            def step(a: Column, n: Column) -> Column:
+                lines = F.when(n == a["hits"], a["lines"] + 1).otherwise(1)
+                ahead = lines >= a["best"]  # counts rise, so ties go to more fields
+                return F.struct(
+                    lines.alias("lines"),
+                    n.alias("hits"),
+                    F.when(ahead, lines).otherwise(a["best"]).alias("best"),
+                    F.when(ahead, n).otherwise(a["most"]).alias("most"),
+                )
+
+            found = F.aggregate(F.sort_array(F.filter(h, lambda n: n > 0)), start, step)
+            return let(
+                found,
+                lambda f: F.when(
+                    f["best"] > 0, F.struct(f["best"].alias("lines"), f["most"].alias("hits"), F.lit(-rank).alias("rank"))
                 ),
             )
-            return F.array_max(shares)
 
         return let(hits, mode)
 
@@ -53,7 +60,7 @@ def detect_delimiter(text: Column) -> Column:
         best = F.array_max(F.array_compact(F.array(*[vote(lines, rank) for rank in range(len(DELIMITERS))])))
         return F.element_at(F.array(*[F.lit(s) for s in DELIMITERS]), 1 - F.coalesce(best["rank"], F.lit(0)))
 
-    return let(records(F.substring(text, 1, SNIFF_CHARS)), of)
+    return let(records(text), of)
 
 
 def fields(record: Column, sep: Column) -> Column:
@@ -67,17 +74,20 @@ def fields(record: Column, sep: Column) -> Column:
 
 
 def column_names(header: Column) -> Column:
-    """Names from a header record: blanks get their position, repeats a running number."""
-
-    def name(h: Column, i: Column) -> Column:
-        before = F.size(F.filter(F.slice(header, F.lit(1), i), lambda x: x == h))
-        return (
-            F.when(h == "", F.concat(F.lit("Unnamed: "), i.cast("string")))
-            .when(before > 0, F.concat(h, F.lit("."), before.cast("string")))
-            .otherwise(h)
+    """Names from a header record: blanks get their position, repeats the first free running number.
+
+    All names differ, as ``delimited.header_names`` makes them.
+    """
+    blank = lambda h, i: F.when(h == "", F.concat(F.lit("Unnamed: "), i.cast("string"))).otherwise(h)
+
+    def add(out: Column, name: Column) -> Column:
+        numbered = F.transform(
+            F.sequence(F.lit(1), F.size(out) + 1), lambda n: F.concat(name, F.lit("."), n.cast("string"))
         )
+        free = F.filter(numbered, lambda n: ~F.array_contains(out, n))[0]
+        return F.array_append(out, F.when(F.array_contains(out, name), free).otherwise(name))
 
-    return F.transform(header, name)
+    return F.aggregate(F.transform(header, blank), F.array().cast("array<string>"), add)
 
 
 def read_tables(files: DataFrame, *keep: str) -> DataFrame:
@@ -100,9 +110,3 @@ def read_tables(files: DataFrame, *keep: str) -> DataFrame:
         .select("source_file", F.col("row_idx").cast("bigint"), cells.alias("cells"), *keep)
         .where(F.exists("cells", lambda c: c["val"].isNotNull()))
     )
-
-
-def cells_of(df: DataFrame, *columns: str) -> Column:
-    """String columns of a frame as one ``cells`` value."""
-    names = columns or df.columns
-    return F.array(*[F.struct(F.lit(n).alias("name"), as_column(n).cast("string").alias("val")) for n in names])

@@ -10,7 +10,6 @@ from pyspark.sql.streaming import StreamingQuery
 from textmill.functions.charset import decode_text
 from textmill.operators.documents import chunk_documents
 from textmill.options import JobOptions
-from textmill.sources.files import file_name
 
 BINARY_FILE = T.StructType(
     [
@@ -23,16 +22,17 @@ BINARY_FILE = T.StructType(
 
 
 def stream_text(spark: SparkSession, path: str, options: JobOptions = JobOptions()) -> DataFrame:
-    """Documents of the ``.txt`` files that arrive below ``path``."""
+    """Documents of the ``.txt`` files that arrive below ``path``; of any size unless a limit is set."""
     files = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILE)
         .option("pathGlobFilter", "*.[tT][xX][tT]")
         .option("recursiveFileLookup", "true")
         .load(path)
-        .where(F.col("length") <= options.limits.max_file_bytes)
     )
-    return files.select(file_name(F.col("path")).alias("source_file"), decode_text("content").alias("text"))
+    if options.limits.max_file_bytes is not None:
+        files = files.where(F.col("length") <= options.limits.max_file_bytes)
+    return files.select(F.col("path").alias("source_file"), decode_text("content").alias("text"))
 
 
 def ingest(

@@ -332,6 +332,28 @@ docs AS (SELECT doc_id, {normalize('text')} AS t FROM files WHERE source_file NO
 
 RESULT_CHUNKS = pack_from(GOOD_DOCS, 128, 16)
 
+ALL_DOCS = f"""{FILES},
+docs AS (SELECT doc_id, {normalize("CASE WHEN doc_id % 11 <> 5 THEN text ELSE ' ' || chr(10) END")} AS t FROM files)"""
+
+ALL_CHUNKS = pack_from(ALL_DOCS, 128, 16)
+
+
+def float_hex(v: str) -> str:
+    """Bytes of a whole number from 0 to 2 ** 23 as a little-endian 32-bit float, in hex."""
+    e = f"(length(bin({v}::BIGINT)) - 1)"
+    bits = f"(CASE WHEN {v} = 0 THEN 0 ELSE ((127 + {e}) << 23) + (({v}::BIGINT - (1::BIGINT << {e})) << (23 - {e})) END)"
+    return " || ".join(f"format('{{:02X}}', ({bits} >> {8 * i}) & 255)" for i in range(4))
+
+
+# Chunks of each document as a matrix file: magic, version, length of the header, header, rows.
+MATRICES = pack(256, 32) + f""", matrices AS (
+  SELECT doc_id::VARCHAR AS filename, count(*)::INTEGER AS n_chunks, list(text ORDER BY chunk_index) AS texts,
+    '934E554D505901007600'
+    || hex(rpad('{{''descr'': ''<f4'', ''fortran_order'': False, ''shape'': (' || count(*) || ', 2), }}', 117, ' ')) || '0A'
+    || string_agg({float_hex('token_count')} || {float_hex('chunk_index')}, '' ORDER BY chunk_index) AS npy
+  FROM chunks GROUP BY doc_id)
+"""
+
 # --- sources ------------------------------------------------------------------
 
 MEMBERS = """manifest AS (
@@ -501,10 +523,15 @@ SELECT doc_id, chunk_index, token_count, {word_count("'passage: ' || text")} > 5
     "quarantine": f"WITH {FILES} SELECT * FROM bad",
     "route_files": f"""
 WITH {FILES} SELECT doc_id, file_ext, CASE WHEN file_ext IN ('.txt', '.docx', '.pdf') THEN 'text' END AS branch FROM files""",
-    "file_results": RESULT_CHUNKS + """
-SELECT container_file AS filename, source_file AS member, 0 AS part, count(*)::INTEGER AS n_chunks,
-  list(chunks.text ORDER BY chunk_index) AS texts, list(token_count ORDER BY chunk_index) AS token_counts
-FROM chunks JOIN files USING (doc_id) GROUP BY ALL""",
+    "file_results": ALL_CHUNKS + """
+SELECT container_file AS filename, source_file AS member, 0 AS part, count(chunk_index)::INTEGER AS n_chunks,
+  coalesce(list(chunks.text ORDER BY chunk_index) FILTER (WHERE chunk_index IS NOT NULL), []) AS texts,
+  coalesce(list(token_count ORDER BY chunk_index) FILTER (WHERE chunk_index IS NOT NULL), []) AS token_counts,
+  coalesce(list(source_file ORDER BY chunk_index) FILTER (WHERE chunk_index IS NOT NULL), []) AS source_files,
+  coalesce(list(chunk_index ORDER BY chunk_index) FILTER (WHERE chunk_index IS NOT NULL), []) AS chunk_indexes,
+  coalesce(list(true ORDER BY chunk_index) FILTER (WHERE chunk_index IS NOT NULL), []) AS sentence_aware,
+  coalesce(list(false ORDER BY chunk_index) FILTER (WHERE chunk_index IS NOT NULL), []) AS is_tabular
+FROM files LEFT JOIN chunks USING (doc_id) GROUP BY container_file, source_file""",
     "results_with_errors": RESULT_CHUNKS + """
 SELECT source_file AS filename, count(*)::INTEGER AS n_chunks, NULL::VARCHAR AS error_code FROM chunks JOIN files USING (doc_id) GROUP BY source_file
 UNION ALL SELECT source_file, 0, error_code FROM bad""",
@@ -512,13 +539,18 @@ UNION ALL SELECT source_file, 0, error_code FROM bad""",
 SELECT source_file AS filename, count(*) AS total_chunks, sum(token_count)::BIGINT AS total_tokens
 FROM chunks JOIN files USING (doc_id) GROUP BY source_file
 UNION ALL SELECT source_file, 0, 0 FROM bad""",
-    "container_totals": RESULT_CHUNKS + """
-SELECT container_file AS filename, count(*) AS total_chunks, sum(token_count)::BIGINT AS total_tokens
-FROM chunks JOIN files USING (doc_id) GROUP BY container_file""",
-    "grand_total": RESULT_CHUNKS + "SELECT count(*) AS total_chunks, sum(token_count)::BIGINT AS total_tokens FROM chunks",
-    # A matrix has a header of 128 bytes and 64 floats per chunk.
-    "npy_export": pack(256, 32) + """
-SELECT doc_id::VARCHAR AS filename, 0 AS part, count(*)::INTEGER AS n_chunks, (128 + 256 * count(*))::INTEGER AS n_bytes FROM chunks GROUP BY doc_id""",
+    "container_totals": ALL_CHUNKS + """
+SELECT container_file AS filename, count(chunk_index) AS total_chunks, coalesce(sum(token_count), 0)::BIGINT AS total_tokens
+FROM files LEFT JOIN chunks USING (doc_id) GROUP BY container_file""",
+    "member_totals": ALL_CHUNKS + """
+SELECT source_file AS filename, count(chunk_index) AS total_chunks, coalesce(sum(token_count), 0)::BIGINT AS total_tokens
+FROM files LEFT JOIN chunks USING (doc_id) GROUP BY source_file""",
+    "grand_total": ALL_CHUNKS + "SELECT count(*) AS total_chunks, sum(token_count)::BIGINT AS total_tokens FROM chunks",
+    "npy_export": MATRICES + "SELECT filename, 0 AS part, n_chunks, npy FROM matrices",
+    "base64_export": MATRICES + "SELECT filename, 0 AS part, n_chunks, to_base64(unhex(npy)) AS embeddings_base64_npy FROM matrices",
+    "written_results": MATRICES + f""", {FILES}
+SELECT filename, n_chunks, texts, to_base64(unhex(npy)) AS embeddings_base64_npy, NULL::VARCHAR AS error_code FROM matrices
+UNION ALL SELECT source_file, 0, NULL, NULL, error_code FROM bad""",
     "decode_text": r"""
 SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text
   ELSE translate(regexp_replace(text, '[^\x00-\x{ff}]', '?', 'g'), 'ÐÝÞðýþ', 'ĞİŞğış') END AS text FROM documents""",

@@ -25,6 +25,7 @@ from textmill.options import JobOptions, Limits
 from textmill.session import materialize, ship_package, spread, work_dir
 from textmill.sources import archives, delimited
 from textmill.sources.files import extension, file_error, route
+from textmill.sources.sinks import write_results
 from textmill.sources.tables import read_tables
 from textmill.streaming import ingest
 
@@ -374,6 +375,7 @@ def row_map_query(spark, sf_dir):
 
 # --- models and vectors -------------------------------------------------------
 
+# Names as in the model registry, and one that is not in it.
 MODEL_NAMES = [
     "all-MiniLM-L6-v2", "paraphrase-multilingual-MiniLM-L12-v2", "bge-base-en-v1.5", "multilingual-e5-large", "e5-base-v2", "my/own-model",
 ]
@@ -474,9 +476,19 @@ def route_files(spark, sf_dir):
     return d.select("doc_id", ext.alias("file_ext"), route(ext).alias("branch"))
 
 
+def result_files(spark, sf_dir) -> DataFrame:
+    """All documents, every eleventh blank, as members of their sources."""
+    d = named_documents(spark, sf_dir)
+    return d.withColumn("text", F.when(F.col("doc_id") % 11 != 5, F.col("text")).otherwise(F.lit(" \n")))
+
+
+def _names(files: DataFrame) -> DataFrame:
+    return files.select(F.col("container_file").alias("filename"), F.col("source_file").alias("member"))
+
+
 def file_results(spark, sf_dir):
-    good, _ = checked_documents(spark, sf_dir)
-    nested = results.file_results(_result_chunks(good), "container_file")
+    files = result_files(spark, sf_dir)
+    nested = results.file_results(_result_chunks(files), "container_file", files=_names(files))
     return nested.select(
         "filename",
         "member",
@@ -484,6 +496,10 @@ def file_results(spark, sf_dir):
         F.size("chunks").alias("n_chunks"),
         F.col("chunks.text").alias("texts"),
         F.col("chunks.metadata.token_count").alias("token_counts"),
+        F.col("chunks.metadata.source_file").alias("source_files"),
+        F.col("chunks.metadata.chunk_index").alias("chunk_indexes"),
+        F.col("chunks.metadata.sentence_aware").alias("sentence_aware"),
+        F.col("chunks.metadata.is_tabular").alias("is_tabular"),
     )
 
 
@@ -501,21 +517,46 @@ def totals(spark, sf_dir):
 
 
 def container_totals(spark, sf_dir):
-    good, _ = checked_documents(spark, sf_dir)
-    return results.totals(_result_chunks(good), file="container_file")
+    files = result_files(spark, sf_dir)
+    return results.totals(_result_chunks(files), file="container_file", files=_names(files))
+
+
+def member_totals(spark, sf_dir):
+    files = result_files(spark, sf_dir)
+    return results.totals(_result_chunks(files), files=_names(files).select(F.col("member").alias("filename")))
 
 
 def grand_total(spark, sf_dir):
-    good, _ = checked_documents(spark, sf_dir)
-    return results.grand_total(_result_chunks(good))
+    return results.grand_total(_result_chunks(result_files(spark, sf_dir)))
+
+
+def word_vectors(spark, sf_dir) -> DataFrame:
+    """Chunks with whole numbers as vectors, so that files can be compared to the byte."""
+    chunks = chunk_documents(spread_documents(spark, sf_dir), EMBED, "doc_id")
+    return chunks.withColumn("embedding", F.array(F.col("token_count").cast("float"), F.col("chunk_index").cast("float")))
 
 
 def npy_export(spark, sf_dir):
-    return results.npy_matrices(embedded_chunks(spark, sf_dir)).select("filename", "part", "n_chunks", F.length("npy").alias("n_bytes"))
+    return results.npy_matrices(word_vectors(spark, sf_dir)).select("filename", "part", "n_chunks", F.hex("npy").alias("npy"))
 
 
 def base64_export(spark, sf_dir):
-    return results.base64_matrices(embedded_chunks(spark, sf_dir)).select("filename", "part", "n_chunks", "embeddings_base64_npy")
+    return results.base64_matrices(word_vectors(spark, sf_dir)).select("filename", "part", "n_chunks", "embeddings_base64_npy")
+
+
+def written_results(spark, sf_dir):
+    """Results of all documents written as JSON with matrices and read back."""
+    path = f"{work_dir(spark)}/results"
+    _, bad = checked_documents(spark, sf_dir)
+    write_results(word_vectors(spark, sf_dir), bad, path, "json_with_embeddings")
+    back = spark.read.json(path)
+    return back.select(
+        "filename",
+        F.coalesce(F.size("chunks"), F.lit(0)).alias("n_chunks"),
+        F.col("chunks.text").alias("texts"),
+        "embeddings_base64_npy",
+        F.col("error.error_code").alias("error_code"),
+    )
 
 
 # --- sources ------------------------------------------------------------------
@@ -661,7 +702,9 @@ QUERIES = {
     "results_with_errors": results_with_errors,
     "totals": totals,
     "container_totals": container_totals,
+    "member_totals": member_totals,
     "grand_total": grand_total,
+    "written_results": written_results,
     "npy_export": npy_export,
     "base64_export": base64_export,
     "decode_text": decode_text_query,
