@@ -206,7 +206,7 @@ class Tagger:
         sizes = np.array([len(t) for t in texts])
         out = np.zeros((len(texts), len(self.model.labels)))
         flat = [w for t in texts for w in t]
-        if not flat:
+        if not flat or not self.model.labels:
             return out
         owner = np.repeat(np.arange(len(texts)), sizes)
         numbers = self._numbers(flat)

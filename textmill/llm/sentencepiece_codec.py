@@ -13,7 +13,8 @@ Where no piece holds a marker behind another character, texts are cut in front o
 markers, which changes no result and lets the library keep words it has seen.
 
 Texts are encoded batch by batch with the library's threads. ``parity`` runs the original
-library beside it.
+library beside it. Both agree on every text for models of merges; for unigram models, where two
+ways to cut a text have the very same score, either library may take the other one.
 """
 
 from __future__ import annotations
