@@ -248,7 +248,9 @@ def jaccard_classes(docs: DataFrame, id_col: str, text_col: str, k: int = 4, num
         (r.f1, r.f2, r.n): r.rep for r in classes.where(F.col("copies") > max(HEAVY // 20, rows // HEAVY)).collect()
     }  # fewer than HEAVY classes can hold so many rows each, or than 1/50 of a small table's rows
     known = written(
-        prints.join(classes.drop("copies"), ["f1", "f2", "n"], "left").select("id", "n", "rep")
+        prints.join(classes.drop("copies"), ["f1", "f2", "n"], "left").select(
+            "id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep")
+        )
     )
 
     keys = docs.mapInArrow(_keys(k, num, den, heavy), "key bigint, id bigint")
