@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.llm import sql
 from textmill.llm.shared import components, release, ship, written
 from textmill.llm.words import U64, mix, pieces, shingles, words
 
@@ -326,3 +327,4 @@ def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_ngram_jaccard_join": op4_ngram_jaccard_join}
+ORACLE = {"op4_ngram_jaccard_join": sql.JACCARD}

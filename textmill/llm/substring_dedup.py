@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.llm import sql
 from textmill.llm.shared import release, ship, written
 from textmill.llm.words import U64, pieces, windows, words
 
@@ -286,3 +287,4 @@ def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_substring_dedup": op5_substring_dedup}
+ORACLE = {"op5_substring_dedup": sql.REPEATS}

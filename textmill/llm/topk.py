@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.llm import sql
 from textmill.llm.shared import ship, written
 
 QUERY_BATCH = 8192
@@ -206,3 +207,4 @@ def op10_exact_topk(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_exact_topk": op10_exact_topk}
+ORACLE = {"op10_exact_topk": sql.TOP_PRODUCTS}
