@@ -13,8 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.session import materialize
-
 BLOCK_BITS = 12
 BLOCK = 1 << BLOCK_BITS
 BLK = "_blk"
@@ -29,8 +27,8 @@ def block_of(position: Column | str) -> Column:
 def running_totals(blocks: DataFrame, key: str, *counts: str) -> DataFrame:
     """Add ``<count>_before`` and ``<count>_total`` per key to a table of blocks.
 
-    ``blocks`` is read twice and should be a written table.
-    Totals run in two levels, blocks within super-blocks and super-blocks within
+    ``blocks`` is used twice: a written table, or one whose last step is a shuffle
+    that Spark then runs once. Totals run in two levels, blocks within super-blocks and super-blocks within
     the key, so that sparse row ids cannot grow a window either.
     """
     level = blocks.withColumn("_sup", F.shiftright(BLK, BLOCK_BITS))
@@ -60,8 +58,9 @@ def dense_index(df: DataFrame, key: str, order: str, name: str, weight: Column |
     numbers the pieces a row is about to be exploded into.
     """
     weighed = df.withColumn(BLK, block_of(order)).withColumn("_w", F.lit(1) if weight is None else weight)
-    counts = materialize(weighed.groupBy(key, BLK).agg(F.sum("_w").alias("_n")))
-    totals = materialize(running_totals(counts, key, "_n"))
+    # Both uses of the counts share one shuffle, so the rows are read once for them.
+    counts = weighed.groupBy(key, BLK).agg(F.sum("_w").alias("_n"))
+    totals = running_totals(counts, key, "_n")
     local = Window.partitionBy(key, BLK).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         weighed.join(totals.select(key, BLK, "_n_before"), [key, BLK])

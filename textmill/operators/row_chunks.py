@@ -10,11 +10,10 @@ from textmill.functions.text import is_blank, strip
 from textmill.operators.chunk_pack import in_blocks
 from textmill.operators.documents import chunk_columns, chunk_documents, within_limit
 from textmill.operators.layout import Layout, layout_of
-from textmill.operators.ordering import BLK, block_of, running_totals
+from textmill.operators.ordering import BLK, block_of, dense_index, running_totals
 from textmill.operators.row_text import SEPARATOR, row_map, row_text
 from textmill.operators.table_clean import by_block, source_profile, table_gate, table_profile, too_long_tables
 from textmill.options import JobOptions
-from textmill.session import materialize
 
 SAMPLE_SIZE = 100  # Fixed value: rows measured for the ratio of a table.
 FALLBACK_RATIO = 4.0  # Fixed value: characters per token of a table without text.
@@ -71,7 +70,7 @@ def char_token_ratio(rows: DataFrame, options: JobOptions, columns: list[str] |
 
 
 def _sampled_ratio(rows: DataFrame, layout: Layout, options: JobOptions, profile: DataFrame, source: DataFrame) -> DataFrame:
-    wanted = materialize(sample_blocks(profile, source, options))
+    wanted = sample_blocks(profile, source, options)
     local = Window.partitionBy("source_file", BLK).orderBy("row_idx")
     filled = layout.has_text()
     if options.output_text_column:
@@ -210,15 +209,13 @@ def _chunk_profiled(
 ) -> DataFrame:
     ratio = _sampled_ratio(rows, layout, options, profile, source)
     facts = source.select("source_file", "kept").join(ratio, "source_file")
-    blocks = materialize(
-        profile.join(facts, "source_file").select(
-            "source_file",
-            BLK,
-            "kept",
-            "ratio",
-            _by_column(options, "n_single", "n_text").alias("_n"),
-            _by_column(options, "longest_single", "longest_text").alias("_longest"),
-        )
+    blocks = profile.join(facts, "source_file").select(
+        "source_file",
+        BLK,
+        "kept",
+        "ratio",
+        _by_column(options, "n_single", "n_text").alias("_n"),
+        _by_column(options, "longest_single", "longest_text").alias("_longest"),
     )
     blocked = rows.withColumn(BLK, block_of("row_idx")).where(layout.has_text())
     kept_cells = F.filter(layout.cells(), lambda c: F.array_contains(F.col("kept"), c["name"]))
@@ -228,14 +225,15 @@ def _chunk_profiled(
     def cut(known: DataFrame) -> DataFrame:
         return blocked.join(known, ["source_file", BLK]).withColumn("_text", text).withColumn("_segments", pieces)
 
-    # A block without an over-long row has as many segments as rows with text.
+    # A block without an over-long row has as many segments as rows with text; only the rows of
+    # other blocks are cut for counting.
     counts = blocks.select("source_file", BLK, "kept", "ratio", "_n")
     long = blocks.where(~fits_in_one(F.col("_longest"), F.col("ratio"), options.max_tokens))
-    if not long.isEmpty():
-        to_count = materialize(long.select("source_file", BLK, "kept", "ratio"))
-        found = cut(to_count).groupBy("source_file", BLK).agg(F.sum(F.size("_segments")).alias("_cut"))
-        counts = materialize(counts.join(found, ["source_file", BLK], "left").withColumn("_n", F.coalesce("_cut", "_n")).drop("_cut"))
-    numbered = materialize(running_totals(counts, "source_file", "_n").select("source_file", BLK, "kept", "ratio", "_n_before"))
+    found = cut(long.select("source_file", BLK, "kept", "ratio")).groupBy("source_file", BLK).agg(
+        F.sum(F.size("_segments")).alias("_cut")
+    )
+    counts = counts.join(found, ["source_file", BLK], "left").withColumn("_n", F.coalesce("_cut", "_n")).drop("_cut")
+    numbered = running_totals(counts, "source_file", "_n").select("source_file", BLK, "kept", "ratio", "_n_before")
 
     before = Window.partitionBy("source_file", BLK).orderBy("row_idx").rowsBetween(Window.unboundedPreceding, -1)
     attach = options.attach_row_data or options.flatten_row_values_to_root
@@ -284,13 +282,15 @@ def fallback_chunks(rows: DataFrame, layout: Layout, options: JobOptions) -> tup
     )
     fitting, too_big = within_limit(lines, "source_file", "line", options.limits)
     ordered = F.array_sort(F.collect_list(F.struct("row_idx", "line")))
-    texts = fitting.groupBy("source_file", block_of("row_idx").alias(BLK)).agg(
+    # Blocks of positions, as row ids may be sparse.
+    placed = dense_index(fitting, "source_file", "row_idx", "_pos")
+    texts = placed.groupBy("source_file", block_of("_pos").alias(BLK)).agg(
         F.array_join(F.transform(ordered, lambda r: r["line"]), "\n").alias("_lines"), F.any_value("header").alias("_header")
     )
     first = texts.groupBy("source_file").agg(F.min(BLK).alias("_first"))
     headed = F.when(F.col(BLK) == F.col("_first"), F.concat("_header", F.lit("\n"), "_lines")).otherwise(F.col("_lines"))
     whole = texts.join(first, "source_file").select("source_file", BLK, headed.alias("text"))
-    chunks = materialize(chunk_documents(whole, options, BLK))
+    chunks = chunk_documents(whole, options, BLK)
     counts = chunks.groupBy("source_file", BLK).agg(F.count("*").alias("_n"))
     before = running_totals(counts, "source_file", "_n").select("source_file", BLK, "_n_before")
     numbered = chunks.join(before, ["source_file", BLK])
@@ -307,19 +307,14 @@ def chunk_tables(
     whole = source_profile(profile)
     most = options.limits.max_table_rows
     within = whole if most is None else whole.where(F.col("n_rows") <= most)
-    gated = materialize(table_gate(within, options.min_cols_for_table, options.min_rows_for_table))
+    gated = table_gate(within, options.min_cols_for_table, options.min_rows_for_table)
     failed = too_long_tables(whole, options.limits)
     tables = gated.where("is_table")
     # The verdict reaches the rows per block, so a hot table does not skew the join.
-    refused = materialize(by_block(profile, gated.where(~F.col("is_table")).select("source_file")))
-    # Each branch reads the rows again, so one without any table is left out.
-    parts = []
-    if not tables.isEmpty():
-        table_blocks = profile.join(tables.select("source_file"), "source_file", "left_semi")
-        parts.append(_chunk_profiled(rows, layout, options, extension, table_blocks, tables))
-    if not refused.isEmpty() or not parts:
-        loose = rows.withColumn(BLK, block_of("row_idx")).join(refused, ["source_file", BLK], "left_semi").drop(BLK)
-        chunks, too_big = fallback_chunks(loose, layout, options)
-        parts.append(chunks.withColumn("row_idx", F.lit(None).cast("bigint")))
-        failed = failed.unionByName(too_big)
-    return (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])), failed
+    refused = by_block(profile, gated.where(~F.col("is_table")).select("source_file"))
+    table_blocks = profile.join(tables.select("source_file"), "source_file", "left_semi")
+    as_tables = _chunk_profiled(rows, layout, options, extension, table_blocks, tables)
+    loose = rows.withColumn(BLK, block_of("row_idx")).join(refused, ["source_file", BLK], "left_semi").drop(BLK)
+    as_text, too_big = fallback_chunks(loose, layout, options)
+    as_text = as_text.withColumn("row_idx", F.lit(None).cast("bigint"))
+    return as_tables.unionByName(as_text), failed.unionByName(too_big)
