@@ -55,16 +55,19 @@ def _keys(line: Column, size: Column, tau: int) -> Column:
     return F.array(*keys)
 
 
-def _sketch(line: Column, seed: int) -> Column:
-    """Parity of the line's bigrams in 64 bits."""
-    chars = F.split(line, "")
-    bits = F.transform(
-        F.slice(chars, 1, F.greatest(F.size(chars) - 1, F.lit(0))),
-        lambda c, i: F.call_function(
-            "shiftleft", F.lit(1).cast("bigint"), F.pmod(F.hash(F.lit(seed), c, F.get(chars, i + 1)), F.lit(64))
-        ),
-    )
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda s, b: s.bitwiseXOR(b))
+def _sketch(line: Column) -> Column:
+    """Parity of the line's bigrams, its end counted as a character, in 64 bits."""
+
+    def parity(chars: Column) -> Column:
+        bits = F.zip_with(
+            chars,
+            F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))),
+            lambda a, b: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.hash(a, b), F.lit(64))),
+        )
+        return F.aggregate(bits, F.lit(0).cast("bigint"), lambda s, b: s.bitwiseXOR(b))
+
+    # Bound by a lambda, so that the line is cut into characters once.
+    return F.transform(F.array(F.split(line, "")), parity)[0]
 
 
 def edit_distance_within(a: Column, b: Column, tau: int) -> Column:
@@ -137,20 +140,19 @@ def _earlier(pairs: DataFrame, tau: int) -> DataFrame:
 
 
 def _differing(tau: int) -> Column:
-    bits = F.bit_count(F.col("x_s1").bitwiseXOR(F.col("y_s1"))) + F.bit_count(F.col("x_s2").bitwiseXOR(F.col("y_s2")))
-    return (F.abs(F.col("x_size") - F.col("y_size")) <= tau) & (bits <= 8 * tau)
+    bits = F.bit_count(F.col("x_sketch").bitwiseXOR(F.col("y_sketch")))
+    return (F.abs(F.col("x_size") - F.col("y_size")) <= tau) & (bits <= 4 * tau)
 
 
 def removed_lines(docs: DataFrame, id_col: str, text_col: str, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """``(id, removed)``: the numbers, from 0, of the lines that go, for documents that lose any."""
     spark = docs.sparkSession
     lines = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "line"))
-    lines = lines.where(F.trim(F.regexp_replace("line", r"\s", " ")) != "").select(
-        "*", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(tau), F.reverse("line")).alias("check")
-    )
+    lines = lines.where(F.col("line").rlike(r"[^\s\x1c-\x1f]")).withColumn("id", F.xxhash64("line"))
     at = F.struct("doc", "no")
+    occurrences = written(lines.select("doc", "no", "id", F.hash("line").alias("check")))
     firsts = written(
-        lines.groupBy("id", "check").agg(F.min(at).alias("first"), F.count("*").alias("times"))
+        occurrences.groupBy("id", "check").agg(F.min(at).alias("first"), F.count("*").alias("times"))
     )
     total = firsts.agg(F.sum("times")).first()[0] or 0
     heavy = firsts.where(F.col("times") > max(HEAVY // 20, total // HEAVY)).select(
@@ -168,27 +170,28 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, tau: int = TAU, m
     involved = members.select("id").distinct()
     first = firsts.groupBy("id").agg(F.min("first").alias("first"))
     texts = written(
-        sized.join(involved, "id")
+        # Both sides follow the corpus, whatever their sizes in a small one.
+        sized.join(involved.hint("merge"), "id")
         .groupBy("id")
         .agg(F.first("line").alias("line"))
         .join(first, "id")
-        .select("*", F.length("line").alias("size"), _sketch(F.col("line"), 1).alias("s1"), _sketch(F.col("line"), 2).alias("s2"))
+        .select("*", F.length("line").alias("size"), _sketch(F.col("line")).alias("sketch"))
     )
     release(spark)
     members = written(members.join(texts.drop("line"), "id"))
-    x = members.select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "first", "size", "s1", "s2")])
+    x = members.select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "first", "size", "sketch")])
     x_lines = texts.select(F.col("id").alias("x_id"), F.col("line").alias("x_line"))
     y_lines = texts.select(F.col("id").alias("y_id"), F.col("line").alias("y_line"))
     order = Window.partitionBy("key").orderBy("first", "id").rowsBetween(Window.unboundedPreceding, 0)
-    lead = F.first(F.struct("id", "size", "s1", "s2")).over(order)
+    lead = F.first(F.struct("id", "size", "sketch")).over(order)
     star = members.withColumn("lead", lead).where("id <> lead.id").select(
-        *[F.col(f"lead.{c}").alias(f"x_{c}") for c in ("id", "size", "s1", "s2")],
-        *[F.col(c).alias(f"y_{c}") for c in ("id", "size", "s1", "s2")],
+        *[F.col(f"lead.{c}").alias(f"x_{c}") for c in ("id", "size", "sketch")],
+        *[F.col(c).alias(f"y_{c}") for c in ("id", "size", "sketch")],
     )
     star = star.where(_differing(tau)).select("x_id", "y_id").distinct()
     gone = written(_earlier(star.join(x_lines, "x_id").join(y_lines, "y_id"), tau))
     rest = members.join(gone, "id", "left_anti").select(
-        F.col("key").alias("y_key"), *[F.col(c).alias(f"y_{c}") for c in ("id", "first", "size", "s1", "s2")]
+        F.col("key").alias("y_key"), *[F.col(c).alias(f"y_{c}") for c in ("id", "first", "size", "sketch")]
     )
     across = x.join(
         rest, (F.col("key") == F.col("y_key")) & (F.col("x_first") < F.col("y_first")) & _differing(tau)
@@ -196,8 +199,8 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, tau: int = TAU, m
     across = across.distinct().join(x_lines, "x_id").join(y_lines, "y_id")
     close = gone.union(_earlier(across, tau)).withColumn("close", F.lit(True))
     verdict = written(firsts.drop("times").join(close, "id", "left"))
-    occurrences = lines.select("doc", "no", "id", "check").join(verdict, ["id", "check"])
-    out = occurrences.where(F.coalesce("close", F.lit(False)) | ~at.eqNullSafe(F.col("first")))
+    judged = occurrences.join(verdict, ["id", "check"])
+    out = judged.where(F.coalesce("close", F.lit(False)) | ~at.eqNullSafe(F.col("first")))
     return out.groupBy(F.col("doc").alias("id")).agg(F.sort_array(F.collect_set("no")).alias("removed"))
 
 
@@ -213,15 +216,16 @@ def dedup_lines(docs: DataFrame, id_col: str, text_col: str, tau: int = TAU, min
     """
     removed = written(removed_lines(docs, id_col, text_col, tau, min_chars).withColumnRenamed("id", "_doc"))
     release(docs.sparkSession)
-    joined = docs.join(removed, F.col(id_col).eqNullSafe(F.col("_doc")), "left")
+    joined = docs.join(removed.hint("merge"), F.col(id_col).eqNullSafe(F.col("_doc")), "left")
     parts = F.split(F.col(text_col), "\n")
+    breaks = F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
     keep = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("removed"))
     text = F.when(
         F.col("removed").isNull() | F.col(text_col).isNull(), F.col(text_col)
     ).otherwise(F.array_join(F.transform(keep, lambda i: F.get(parts, i)), "\n"))
     return joined.select(
         *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("bigint").alias("n_lines"),
+        F.when(F.col(text_col).isNull(), 0).otherwise(breaks + 1).cast("bigint").alias("n_lines"),
         F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"),
     )
 
