@@ -192,3 +192,50 @@ def test_packing_grows_with_the_text(spark):
 
     seconds(2000)
     assert seconds(40_000) < 8 * seconds(10_000) + 2
+
+
+class Failing:
+    """A counter whose tokenizer fails on some texts."""
+
+    additive = False
+
+    def count(self, c):
+        from pyspark.sql import functions as F
+
+        return F.size(F.split(c, " "))
+
+    def meter(self):
+        def make():
+            def measure(text):
+                if "boom" in text:
+                    raise RuntimeError("boom")
+                return lambda start, stop: len(text[start:stop].split())
+
+            return measure
+
+        return make
+
+
+def test_one_bad_document_does_not_end_the_job(spark):
+    from textmill.operators.documents import chunk_documents_checked
+
+    docs = [("good", "One two three. " * 20), ("bad", "boom two three. " * 20), ("short", "One.")]
+    df = spark.createDataFrame(docs, "source_file string, text string")
+    options = JobOptions(max_tokens=10, overlap=0, chunk_mode="exact", counter=Failing())
+    chunks, bad = chunk_documents_checked(df, options)
+    assert {r.source_file for r in chunks.collect()} == {"good", "short"}
+    assert [(r.source_file, r.error_code) for r in bad.collect()] == [("bad", "PROCESSING_ERROR")]
+    chunks, bad = chunk_documents_checked(df, JobOptions(max_tokens=10, overlap=0))
+    assert {r.source_file for r in chunks.collect()} == {"good", "bad", "short"} and bad.count() == 0
+
+
+def test_sentence_ends_of_many_sentences(spark):
+    from textmill.operators.chunk_exact import sentence_ends
+
+    text = "".join(f"Sentence {i}. " for i in range(1500))
+    got = [r.bound for r in sentence_ends(spark.createDataFrame([("d", text)], "source_file string, text string")).collect()]
+    ends, at = [], 0
+    for i in range(1500):
+        at += len(f"Sentence {i}.") + (i > 0)
+        ends.append(at)
+    assert got == ends

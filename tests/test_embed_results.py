@@ -157,3 +157,29 @@ def test_written_results(spark, tmp_path, shape):
 def test_unknown_shape(spark, tmp_path):
     with pytest.raises(ValueError):
         write_results(chunks_of(spark), failed(spark), str(tmp_path), "xml")
+
+
+def test_a_text_the_model_fails_on_is_an_error(spark):
+    from textmill.operators.embed import embedding_errors
+
+    class Fragile:
+        def make_predict_fn(self, max_length):
+            def make():
+                import numpy as np
+
+                def predict(texts):
+                    return np.array([[np.nan] * 2 if "bad" in t else [3.0, 4.0] for t in texts.reshape(-1)])
+
+                return predict
+
+            return make
+
+    chunks = spark.createDataFrame([("a", 0, "good"), ("b", 0, "bad")], "source_file string, chunk_index int, text string")
+    got = embed(chunks, Fragile(), JobOptions())
+    assert {r.source_file: r.embedding for r in got.collect()} == {"a": [pytest.approx(0.6), pytest.approx(0.8)], "b": None}
+    assert [(r.source_file, r.error_code) for r in embedding_errors(got).collect()] == [("b", "PROCESSING_ERROR")]
+
+
+def test_hash_vectors_need_no_python(spark):
+    got = embed(chunks_of(spark), HashEmbedder(16), JobOptions())
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString() and "truncated" in got.columns

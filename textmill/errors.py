@@ -58,6 +58,16 @@ def archive_too_large(name: Column, total: Column, limit: int) -> Column:
     )
 
 
+def processing_errors(failed: DataFrame, reason: Column) -> DataFrame:
+    """Error records of inputs whose processing failed; one per input and reason."""
+    return failed.select(
+        "source_file",
+        F.lit(PROCESSING_ERROR).alias("error_code"),
+        F.format_string("Cannot process file: '%s'", F.col("source_file")).alias("message"),
+        reason.cast("string").alias("detail"),
+    ).distinct()
+
+
 def first_error(*checks: tuple[Column, str, Column]) -> Column:
     """The first failing check as ``struct<error_code, message, detail>``, else null."""
     chain = None

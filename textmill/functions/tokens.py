@@ -137,8 +137,11 @@ class SubwordCounter:
             tok = load()
 
             def one(text: str, limit: int) -> str:
-                ids = tok.encode(text, add_special_tokens=False).ids
-                return text if len(ids) <= limit else tok.decode(ids[:limit], skip_special_tokens=True)
+                try:
+                    ids = tok.encode(text, add_special_tokens=False).ids
+                    return text if len(ids) <= limit else tok.decode(ids[:limit], skip_special_tokens=True)
+                except Exception:  # counted in words, so cut in words
+                    return " ".join(text.split()[:limit])
 
             return pd.Series([one(t, n) for t, n in zip(texts.fillna(""), limits)], dtype="object")
 

@@ -13,13 +13,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textmill.functions.columns import let
 from textmill.functions.sentences import sentence_lengths
 from textmill.functions.text import strip
 from textmill.functions.tokens import DEFAULT_COUNTER, Meter
+from textmill.operators.chunk_pack import in_blocks
 
 SHRINK, ATTEMPTS = 0.9, 20  # Fixed values: how an over-long guess is reduced.
 FLUSH = 4096  # Chunks handed back to Spark at a time.
@@ -108,27 +110,36 @@ def walk(
         start = max(end - back, start + 1)
 
 
-def chunk_exact(docs: DataFrame, max_tokens: int, overlap: int, counter=DEFAULT_COUNTER, *keep: str) -> DataFrame:
+def chunk_exact(
+    docs: DataFrame, max_tokens: int, overlap: int, counter=DEFAULT_COUNTER, *keep: str, failures: bool = False
+) -> DataFrame:
     """``(source_file, *keep, chunk_index, text, token_count)`` of ``docs(source_file, text)``.
 
-    One pass: sentence lengths are taken only of documents that do not fit, and
-    only those are walked.
+    Documents that fit are one chunk by an expression; only the others go to Python, with
+    their sentence lengths, and are walked. With ``failures`` a document whose walk fails is
+    one row without text that says why in ``failure``; otherwise it ends the job.
     """
     columns = ["source_file", *keep]
     counted = docs.select(*columns, strip("text").alias("text")).withColumn("token_count", counter.count("text").cast("int"))
-    prepared = counted.withColumn("lengths", F.when(F.col("token_count") > max_tokens, sentence_lengths("text")))
+    fitting = counted.where((F.col("token_count") <= max_tokens) & (F.col("text") != ""))
+    whole = fitting.select(*columns, F.lit(0).alias("chunk_index"), "text", "token_count")
+    prepared = counted.where(F.col("token_count") > max_tokens).withColumn("lengths", sentence_lengths("text"))
     make_meter = counter.meter()
-    names = [*columns, "chunk_index", "text", "token_count"]
+    names = [*columns, "chunk_index", "text", "token_count", *(["failure"] if failures else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         meter = make_meter()
+        none = (None,) if failures else ()
         for batch in batches:
-            fits = batch["token_count"] <= max_tokens
-            yield batch[fits & (batch["text"] != "")].assign(chunk_index=0)[names]
             found: list[tuple] = []
-            for *key, text, _, lengths in batch[~fits].itertuples(index=False):
-                bounds = np.cumsum(lengths, dtype=np.int64)
-                found += [(*key, i, *chunk) for i, chunk in enumerate(walk(text, bounds, max_tokens, overlap, meter))]
+            for *key, text, _, lengths in batch.itertuples(index=False):
+                try:
+                    bounds = np.cumsum(lengths, dtype=np.int64)
+                    found += [(*key, i, *chunk, *none) for i, chunk in enumerate(walk(text, bounds, max_tokens, overlap, meter))]
+                except Exception as exc:
+                    if not failures:
+                        raise
+                    found.append((*key, 0, None, 0, f"{type(exc).__name__}: {exc}"))
                 if len(found) > FLUSH:
                     yield pd.DataFrame(found, columns=names)
                     found = []
@@ -136,15 +147,35 @@ def chunk_exact(docs: DataFrame, max_tokens: int, overlap: int, counter=DEFAULT_
                 yield pd.DataFrame(found, columns=names)
 
     produced = [("chunk_index", T.IntegerType()), ("text", T.StringType()), ("token_count", T.IntegerType())]
+    if failures:
+        produced.append(("failure", T.StringType()))
+        whole = whole.withColumn("failure", F.lit(None).cast("string"))
     schema = T.StructType([counted.schema[c] for c in columns] + [T.StructField(n, t) for n, t in produced])
-    return prepared.mapInPandas(run, schema)
+    return whole.unionByName(prepared.mapInPandas(run, schema))
 
 
 def sentence_ends(docs: DataFrame, key: str = "source_file", text: str = "text") -> DataFrame:
     """``(key, bound)``: the end offset of every sentence."""
-    lengths = docs.select(key, F.posexplode(sentence_lengths(text)).alias("_ord", "_len"))
-    running = Window.partitionBy(key).orderBy("_ord").rowsBetween(Window.unboundedPreceding, 0)
-    return lengths.select(key, F.sum("_len").over(running).cast("int").alias("bound"))
+    return docs.select(key, F.explode(running_ends(sentence_lengths(text))).alias("bound"))
+
+
+def running_ends(lengths: Column) -> Column:
+    """Running sums of an array, in blocks, so that no growing array is long."""
+    none, zero = F.array().cast("array<int>"), F.lit(0)
+
+    def run(values: Column) -> Column:
+        grow = lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.array_append(s["all"], s["sum"] + x).alias("all"))
+        return F.aggregate(values, F.struct(zero.alias("sum"), none.alias("all")), grow, lambda s: s["all"])
+
+    def whole(blocks: Column) -> Column:
+        start = F.struct(zero.alias("sum"), F.array().cast("array<int>").alias("all"))
+        add = lambda s, b: F.struct(
+            (s["sum"] + F.aggregate(b, zero, lambda a, x: a + x)).alias("sum"), F.array_append(s["all"], s["sum"]).alias("all")
+        )
+        before = F.aggregate(blocks, start, add, lambda s: s["all"])
+        return F.flatten(F.zip_with(blocks, before, lambda b, n: F.transform(run(b), lambda x: x + n)))
+
+    return let(in_blocks(lengths), whole)
 
 
 def snap_targets(bounds: DataFrame, targets: DataFrame, key: str = "source_file") -> DataFrame:

@@ -59,6 +59,32 @@ def chunk_documents(docs: DataFrame, options: JobOptions = JobOptions(), *keep:
 ERROR = "source_file string, error_code string, message string, detail string"
 
 
+def chunk_documents_checked(docs: DataFrame, options: JobOptions = JobOptions(), *keep: str) -> tuple[DataFrame, DataFrame]:
+    """Chunks as of :func:`chunk_documents`, and the errors of documents that cannot be processed.
+
+    Only exact mode runs Python, where a tokenizer may fail on a text. The walked
+    chunks are written once, as both results read them.
+    """
+    spark = docs.sparkSession
+    if options.chunk_mode != "exact":
+        return chunk_documents(docs, options, *keep), spark.createDataFrame([], ERROR)
+    from textmill.operators.chunk_exact import chunk_exact
+
+    prepared = docs.withColumn("text", normalize("text", options.normalization))
+    walked = materialize(chunk_exact(prepared, options.max_tokens, options.overlap, options.counter, *keep, failures=True))
+    chunks = walked.where(F.col("failure").isNull()).select(
+        *chunk_columns(
+            text=F.col("text"),
+            source_file=F.col("source_file"),
+            chunk_index=F.col("chunk_index"),
+            token_count=F.col("token_count"),
+            sentence_aware=F.lit(True),
+        ),
+        *keep,
+    )
+    return chunks, errors.processing_errors(walked.where(F.col("failure").isNotNull()), F.col("failure"))
+
+
 def within_limit(parts: DataFrame, key: str, text: str, limits: Limits) -> tuple[DataFrame, DataFrame]:
     """Parts of the documents within the file size limit, and the errors of the others.
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textmill import errors
 from textmill.functions.columns import as_column, let
 from textmill.functions.tokens import words
 from textmill.functions.vectors import l2_normalize
@@ -95,7 +96,7 @@ class OnnxEmbedder:
             session = onnxruntime.InferenceSession(model_path, providers=onnxruntime.get_available_providers())
             wanted = [i.name for i in session.get_inputs()]
 
-            def predict(texts: np.ndarray) -> np.ndarray:
+            def vectors(texts: np.ndarray) -> np.ndarray:
                 encoded = tok.encode_batch([str(t) for t in texts.reshape(-1)])
                 mask = np.array([e.attention_mask for e in encoded], dtype=np.int64)
                 feeds = {
@@ -107,6 +108,19 @@ class OnnxEmbedder:
                 weight = mask[..., None].astype(np.float32)
                 return (hidden * weight).sum(axis=1) / np.maximum(weight.sum(axis=1), 1.0)
 
+            def predict(texts: np.ndarray) -> np.ndarray:
+                try:
+                    return vectors(texts)
+                except Exception:  # one text may not end the job: it gets no vector, the others theirs
+                    rows = []
+                    for text in texts.reshape(-1):
+                        try:
+                            rows.append(vectors(np.array([text], dtype=object))[0])
+                        except Exception:
+                            rows.append(None)
+                    size = next((len(r) for r in rows if r is not None), 1)
+                    return np.array([np.full(size, np.nan, np.float32) if r is None else r for r in rows])
+
             return predict
 
         return make
@@ -117,7 +131,8 @@ def embed(chunks: DataFrame, embedder, options: JobOptions = JobOptions()) -> Da
 
     The vector stays with its chunk, so nothing has to be matched by position
     later. ``truncated`` says whether the model was given less than the chunk.
-    ``skip_embedding`` leaves the whole stage out. An embedder gives an ``expression``
+    A text the model fails on keeps its chunk without a vector, see
+    :func:`embedding_errors`. ``skip_embedding`` leaves the whole stage out. An embedder gives an ``expression``
     or, for a model outside the JVM, a ``make_predict_fn``.
     """
     if options.skip_embedding:
@@ -134,7 +149,13 @@ def embed(chunks: DataFrame, embedder, options: JobOptions = JobOptions()) -> Da
     return (
         embedding_inputs(chunks, options)
         .withColumn("embedding", vector)
-        .withColumn("embedding", l2_normalize("embedding"))
+        .withColumn("embedding", F.when(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x)), l2_normalize("embedding")))
         .withColumn("embedding_model_id", F.lit(options.model_name))
         .drop("input_text")
     )
+
+
+def embedding_errors(embedded: DataFrame) -> DataFrame:
+    """Error records of the files with a chunk the model failed on."""
+    failed = embedded.where(F.col("embedding").isNull())
+    return errors.processing_errors(failed, F.format_string("no vector for chunk %d", F.col("chunk_index")))

@@ -51,7 +51,9 @@ def source_profile(profile: DataFrame) -> DataFrame:
     used = profile.select("source_file", F.explode("used").alias("name")).distinct()
     names = used.groupBy("source_file").agg(F.collect_set("name").alias("_names"))
     kept = F.filter("header", lambda h: F.array_contains(F.coalesce("_names", F.array().cast("array<string>")), h))
-    return counts.join(names, "source_file", "left").select("source_file", "n_rows", "n_text", "header", kept.alias("kept"))
+    return materialize(
+        counts.join(names, "source_file", "left").select("source_file", "n_rows", "n_text", "header", kept.alias("kept"))
+    )
 
 
 def drop_null_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from textmill import errors
 from textmill.functions.charset import decode_text
-from textmill.operators.documents import chunk_documents
-from textmill.operators.embed import embed
+from textmill.operators.documents import chunk_documents_checked
+from textmill.operators.embed import embed, embedding_errors
 from textmill.operators.row_chunks import chunk_tables
 from textmill.options import JobOptions
 from textmill.session import materialize, ship_package
@@ -77,12 +77,15 @@ def process_folder(
     # Parsed once; the table passes then read columns instead of parsing files again.
     tables = materialize(cells)
     rows, bad_tables = chunk_tables(tables, options, ".csv")
-    chunks = chunk_documents(texts, options).unionByName(rows.drop("row_idx"))
-    failed.append(bad_tables)
+    of_texts, bad_texts = chunk_documents_checked(texts, options)
+    chunks = of_texts.unionByName(rows.drop("row_idx"))
+    failed += [bad_tables, bad_texts]
 
     named = chunks.withColumn("container_file", F.split("source_file", INNER)[0])
     if embedder is not None and not options.skip_embedding:
-        named = embed(named, embedder, options)
+        # Written once: the vectors are what costs, and chunks, matrices and errors all read them.
+        named = materialize(embed(named, embedder, options))
+        failed.append(embedding_errors(named))
     bad = failed[0]
     for frame in failed[1:]:
         bad = bad.unionByName(frame)
@@ -92,4 +95,4 @@ def process_folder(
 def run(spark: SparkSession, path: str, out: str, options: JobOptions = JobOptions(), embedder=None) -> None:
     """Process a folder and write the results in the chosen shape."""
     chunks, bad = process_folder(spark, path, options, embedder)
-    write_results(chunks, bad, out, options.response_format, "container_file")
+    write_results(chunks, bad, out, options.response_format, "container_file", model_name=options.model_name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.operators.results import base64_matrices, file_results, npy_matrices, with_errors
+from textmill.operators.results import base64_matrices, file_results, npy_matrices, totals, with_errors
 
 
 def write_chunks(chunks: DataFrame, path: str, mode: str = "append") -> None:
@@ -14,16 +14,28 @@ def write_chunks(chunks: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def write_results(
-    chunks: DataFrame, failed: DataFrame, path: str, response_format: str = "json", file: str = "source_file", mode: str = "append"
+    chunks: DataFrame,
+    failed: DataFrame,
+    path: str,
+    response_format: str = "json",
+    file: str = "source_file",
+    mode: str = "append",
+    model_name: str | None = None,
 ) -> None:
     """Nested results in one of the three result shapes.
 
     ``json`` puts the vectors into the records, ``json_with_embeddings`` a base64
     matrix per part, ``zip`` leaves them out of the records and writes the matrices
-    beside them under the full file name.
+    beside them under the full file name. Records carry the totals of their file and
+    the model's name.
     """
+
+    def complete(records: DataFrame) -> DataFrame:
+        counted = records.join(totals(chunks, file=file), "filename", "left")
+        return with_errors(counted.withColumn("model_name", F.lit(model_name)), failed)
+
     if response_format == "json":
-        with_errors(file_results(chunks, file), failed).write.mode(mode).json(path)
+        complete(file_results(chunks, file)).write.mode(mode).json(path)
         return
     if response_format not in ("json_with_embeddings", "zip"):
         raise ValueError(f"unknown response format {response_format!r}")
@@ -33,9 +45,9 @@ def write_results(
         if vectors:
             encoded = base64_matrices(chunks, file).select("filename", "member", "part", "embeddings_base64_npy")
             records = records.join(encoded, ["filename", "member", "part"], "left")
-        with_errors(records, failed).write.mode(mode).json(path)
+        complete(records).write.mode(mode).json(path)
         return
-    with_errors(records, failed).write.mode(mode).json(f"{path}/results")
+    complete(records).write.mode(mode).json(f"{path}/results")
     if vectors:
         npy_matrices(chunks, file).withColumn("npy_name", F.format_string("%s.%05d.npy", "member", "part")).write.mode(mode).parquet(
             f"{path}/matrices"
