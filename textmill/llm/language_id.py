@@ -297,19 +297,19 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: in
     return fit([words_of(r.text) for r in picked], [at[r.lang] for r in picked], labels, lexicon)
 
 
-def _tagged(parts):
+def _tagged(parts, at_column: int):
     def run(batches):
         tagger = Tagger(Chain(*parts.value))
         for batch in batches:
             names, scores = [], []
-            column = batch.column(batch.num_columns - 1)
+            column = batch.column(at_column)
             for at in range(0, len(batch), 512):
                 n, s = tagger.label(column.slice(at, 512).to_pylist())
                 names += n
                 scores += s
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                [*batch.schema.names[:-1], "lang_pred", "score"],
+                [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                [*batch.schema.names, "lang_pred", "score"],
             )
 
     return run
@@ -323,10 +323,10 @@ def identify(docs: DataFrame, model: Chain, text_col: str) -> DataFrame:
     pass through, an empty table gives an empty one.
     """
     ship()
-    own = docs.withColumn("_text", F.col(text_col))
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     parts = (model.labels, model.weights, model.lexicon, model.trust, model.moves, model.start)
-    return own.mapInArrow(_tagged(docs.sparkSession.sparkContext.broadcast(parts)), schema)
+    shared = docs.sparkSession.sparkContext.broadcast(parts)
+    return docs.mapInArrow(_tagged(shared, docs.columns.index(text_col)), schema)
 
 
 def held_out(id_col: str):
