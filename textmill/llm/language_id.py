@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from textmill.llm.shared import ship
+from textmill.llm.words import BASE, U64, mix
 
 SAMPLE = 400
 CHAIN = 64
@@ -44,21 +45,55 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def bucket(word: str) -> int:
-    return zlib.crc32(word.encode()) % LEXICON
-
-
-def features(word: str) -> list[int]:
-    """Hashed features of a word; every word has at least three."""
-    marked = f"^{word}$"
-    found = [f"w{word}"]
-    found += [f"p{word[:n]}" for n in range(1, min(4, len(word) + 1))]
-    found += [f"s{word[-n:]}" for n in range(1, min(5, len(word) + 1))]
-    found += [f"2{marked[i : i + 2]}" for i in range(len(marked) - 1)]
-    found += [f"3{marked[i : i + 3]}" for i in range(len(marked) - 2)]
-    # A long run of letters is told by its ends as well as by all of it.
-    found = found if len(found) <= 64 else found[:48] + found[-16:]
-    return [zlib.crc32(f.encode()) % FEATURES for f in found]
+def _hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all words, each between marks, their word, place in it, and the words' sizes."""
+    codes = np.frombuffer(("^" + "$^".join(words) + "$").encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
+    sizes = np.array([len(w) for w in words]) + 2
+    owner = np.repeat(np.arange(len(words)), sizes)
+    return codes, owner, np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes), sizes
+
+
+def _whole(codes: np.ndarray, place: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hash of each word."""
+    power = np.full(int(sizes.max(initial=1)), BASE, U64)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    return mix(np.add.reduceat(codes * power[place], np.cumsum(sizes) - sizes))
+
+
+def buckets(words: list[str]) -> np.ndarray:
+    """Place of each word in the lexicon."""
+    if not words:
+        return np.zeros(0, np.int64)
+    codes, _, place, sizes = _hashed(words)
+    return (_whole(codes, place, sizes) % U64(LEXICON)).astype(np.int64)
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of all words and the word each belongs to: word, affixes, letter bigrams and trigrams."""
+    codes, owner, place, sizes = _hashed(words)
+    end = np.cumsum(sizes)
+    value, of = [mix(_whole(codes, place, sizes) + U64(1))], [np.arange(len(words))]
+
+    def add(kind: int, at: np.ndarray, n: int, who: np.ndarray) -> None:
+        total = np.full(len(at), kind * 7919 + n, U64)
+        for j in range(n):
+            total += codes[at + j] * U64(pow(BASE, 2 * j + 1, 1 << 64))
+        value.append(mix(total))
+        of.append(who)
+
+    for n in (1, 2, 3):
+        own = np.flatnonzero(sizes >= n + 2)
+        add(2, end[own] - sizes[own] + 1, n, own)
+    for n in (1, 2, 3, 4):
+        own = np.flatnonzero(sizes >= n + 2)
+        add(3, end[own] - 1 - n, n, own)
+    for n in (2, 3):
+        at = np.flatnonzero(place <= (sizes[owner] - n))
+        add(4, at, n, owner[at])
+    owner = np.concatenate(of)
+    order = np.argsort(owner, kind="stable")
+    return (np.concatenate(value)[order] % U64(FEATURES)).astype(np.int64), owner[order]
 
 
 @dataclass
@@ -83,9 +118,7 @@ class Vocabulary(dict):
 
 def _sparse(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of all words, the word each belongs to, and lexicon buckets."""
-    rows = [features(w) for w in words]
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    return np.array([f for r in rows for f in r], np.int64), owner, np.array([bucket(w) for w in words], np.int64)
+    return (*features(words), buckets(words))
 
 
 def _scores(model: Chain, flat: np.ndarray, owner: np.ndarray, buckets: np.ndarray) -> np.ndarray:
@@ -249,13 +282,19 @@ def _counted(labels: list[str]):
     def run(batches):
         counts = np.zeros((LEXICON, len(labels)), np.int64)
         for batch in batches:
+            group, tags, size = [], [], 0
             for i in range(len(batch)):
-                words = words_of(batch.column(0)[i].as_py())
-                if words:
+                group.append(words_of(batch.column(0)[i].as_py()))
+                tags.append(at[batch.column(1)[i].as_py()])
+                size += len(group[-1])
+                if size >= GROUP_WORDS or i == len(batch) - 1:
                     known = Vocabulary()
-                    numbers = np.bincount(np.array([known[w] for w in words]))
-                    places = np.array([bucket(w) for w in known])
-                    np.add.at(counts[:, at[batch.column(1)[i].as_py()]], places, numbers)
+                    numbers = np.array([known[w] for words in group for w in words], np.int64)
+                    label = np.repeat(np.array(tags, np.int64), [len(words) for words in group])
+                    if len(known):
+                        each = np.bincount(numbers * len(labels) + label, minlength=len(known) * len(labels))
+                        np.add.at(counts, buckets(list(known)), each.reshape(len(known), len(labels)))
+                    group, tags, size = [], [], 0
         b, y = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array(b.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(counts[b, y])], ["b", "y", "n"]
