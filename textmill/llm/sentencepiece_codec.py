@@ -9,8 +9,9 @@ kinds and the flags of trainer and normaliser. They are rebuilt as a ``Tokenizer
   splits of a piece into two pieces, best score first;
 - byte fallback, and a decoder that undoes all of it.
 
-Where no piece holds a marker behind another character, texts are cut in front of runs of
-markers, which changes no result and lets the library keep words it has seen.
+Where no piece holds a marker behind another character, no token crosses the place in front of
+a run of markers. Texts are then cut there, and a word is encoded by the library once and
+looked up afterwards; the words kept are bounded by ``KEPT_WORDS``.
 
 Texts are encoded batch by batch with the library's threads. ``parity`` runs the original
 library beside it. Both agree on every text for models of merges; for unigram models, where two
@@ -21,9 +22,11 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,8 @@ MARKER = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 GROUP_BYTES = 1 << 20
+KEPT_WORDS = 500_000
+WORD = re.compile(f"{MARKER}+[^{MARKER}]*|[^{MARKER}]+")
 
 
 def fields(message: bytes) -> Iterator[tuple[int, int | bytes | float]]:
@@ -112,9 +117,10 @@ class Model:
         )
 
 
-def build(model: Model):
-    """The ``Tokenizer`` that encodes and decodes as the model file says."""
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+def build(model: Model, normalized: bool = False):
+    """The ``Tokenizer`` that encodes and decodes as the model file says; without its
+    normaliser for texts that are ``normalized`` already."""
+    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
     if model.kind == UNIGRAM:
         core = models.Unigram([(p, s) for p, s, _ in model.pieces], model.unknown, model.byte_fallback)
@@ -147,10 +153,8 @@ def build(model: Model):
         steps.append(normalizers.Prepend(space))
     if model.escape:
         steps.append(normalizers.Replace(" ", MARKER))
-    if steps:
+    if steps and not normalized:
         tokenizer.normalizer = normalizers.Sequence(steps)
-    if model.escape and not any(MARKER in p.lstrip(MARKER) for p, _, k in model.pieces if k in (NORMAL, USER)):
-        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARKER}+[^{MARKER}]*"), "isolated")
     undo = [decoders.Replace(MARKER, " ")] if model.escape else []
     undo += [decoders.ByteFallback(), decoders.Fuse()]
     if model.dummy_prefix:
@@ -159,17 +163,84 @@ def build(model: Model):
     return tokenizer
 
 
-_READY: dict[bytes, object] = {}
-
-
-def _tokenizer(data: bytes):
+class Codec:
+    """A model's tokenizer with the words it has met."""
+
+    def __init__(self, data: bytes) -> None:
+        self.model = Model.parse(data)
+        self._tokenizer = None
+        usable = {p for p, _, k in self.model.pieces if k in (NORMAL, USER)}
+        self.cuts = self.model.escape and MARKER in usable and not any(MARKER in p.lstrip(MARKER) for p in usable)
+        self.words = build(self.model, normalized=True)
+        self.plain = self.model.dummy_prefix and not self.model.charsmap and not self.model.squeeze
+        self.known: dict[str, bytes] = {}
+        self.surface = [self._bytes(p, k) for p, _, k in self.model.pieces]
+
+    @property
+    def tokenizer(self):
+        """The whole tokenizer, built when it is needed: most texts do without its normaliser and decoder."""
+        if self._tokenizer is None:
+            self._tokenizer = build(self.model)
+        return self._tokenizer
+
+    def _bytes(self, piece: str, kind: int) -> bytes | None:
+        """What a piece stands for in a decoded text, where that does not hang on its neighbours."""
+        if kind == BYTE:
+            return bytes([int(piece[3:-1], 16)])
+        if kind in (NORMAL, USER):
+            return (piece.replace(MARKER, " ") if self.model.escape else piece).encode()
+        return None
+
+    def _normal(self, text: str) -> str:
+        if self.plain:
+            return MARKER + text.replace(" ", MARKER) if text else ""
+        return self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
+
+    def _cut(self, text: str) -> list[str]:
+        """The words of a text, each with the markers in front of it."""
+        if self.plain and MARKER not in text:
+            words = text.split(" ")
+            if "" not in words:  # no run of spaces and none at an end
+                return [MARKER + w for w in words]
+        return WORD.findall(self._normal(text))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.cuts:
+            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            return [np.array(e.ids, np.int32) for e in found]
+        if len(self.known) > KEPT_WORDS:
+            self.known = {}
+        cut = [self._cut(t) for t in texts]
+        new = list(set(chain.from_iterable(cut)).difference(self.known))
+        for word, found in zip(new, self.words.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.known[word] = np.array(found.ids, np.int32).tobytes()
+        look = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(look, words)), np.int32) for words in cut]
+
+    def decode(self, rows: list) -> list[str]:
+        """Texts of token ids; ids of special tokens, or of bytes that form no text, go through the library."""
+        out = []
+        for row in rows:
+            row = row.tolist() if isinstance(row, np.ndarray) else list(row)
+            try:
+                text = b"".join(map(self.surface.__getitem__, row)).decode()
+                out.append(text[1:] if self.model.dummy_prefix and text.startswith(" ") else text)
+            except (TypeError, UnicodeDecodeError):
+                out.append(self.tokenizer.decode(row, skip_special_tokens=False))
+        return out
+
+
+_READY: dict[bytes, Codec] = {}
+
+
+def _codec(data: bytes) -> Codec:
     key = hashlib.sha256(data).digest()
     if key not in _READY:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         # As many threads as the task's share of the machine, where Spark says so.
         os.environ.setdefault("RAYON_NUM_THREADS", os.environ.get("OMP_NUM_THREADS", "1"))
         _READY.clear()
-        _READY[key] = build(Model.parse(data))
+        _READY[key] = Codec(data)
     return _READY[key]
 
 
@@ -187,35 +258,34 @@ def _groups(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield first, texts
 
 
-def encoded(tokenizer, texts: list[str]) -> list[list[int]]:
-    return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-
-def _encode(data: bytes):
+def _encode(data: bytes, at: int, names: list[str]):
     def run(batches):
-        tokenizer = _tokenizer(data)
+        codec = _codec(data)
         for batch in batches:
-            for first, texts in _groups(batch.column(batch.num_columns - 1)):
-                rows = encoded(tokenizer, texts)
+            for first, texts in _groups(batch.column(at)):
+                rows = codec.encode(texts)
                 ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-                flat = pa.array(np.concatenate([np.array(r, np.int32) for r in rows]))
+                flat = pa.array(np.concatenate(rows))
                 ids = pa.ListArray.from_arrays(pa.array(ends), flat)
                 part = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "_ids"])
+                added = [ids]
+                if len(names) > 1:
+                    added.append(pa.array([a == b for a, b in zip(texts, codec.decode(rows), strict=True)]))
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], [*part.schema.names, *names])
 
     return run
 
 
-def _decode(data: bytes):
+def _decode(data: bytes, place: int, name: str):
     def run(batches):
-        tokenizer = _tokenizer(data)
+        codec = _codec(data)
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
+            column = batch.column(place)
             out = []
             for at in range(0, len(batch), 256):
                 rows = [r or [] for r in column.slice(at, 256).to_pylist()]
-                out += tokenizer.decode_batch(rows, skip_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "_text"])
+                out += codec.decode(rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, name])
 
     return run
 
@@ -226,19 +296,24 @@ def _model_bytes(path: str) -> bytes:
         return file.read()
 
 
-def encode(docs: DataFrame, text_col: str, ids_col: str = "ids", model_path: str = MODEL) -> DataFrame:
+def encode(
+    docs: DataFrame, text_col: str, ids_col: str = "ids", model_path: str = MODEL, round_trip_col: str | None = None
+) -> DataFrame:
     """``docs`` with the token ids of its text, ``array<int>``.
 
-    A null or empty text has no tokens; there is no limit on length. All other columns pass
-    through; ``ids_col`` must be a new name. An empty table gives an empty one.
+    With ``round_trip_col`` the ids are decoded again, and that column says whether they gave
+    the text. A null or empty text has no tokens; there is no limit on length. All other
+    columns pass through; the added names must be new. An empty table gives an empty one.
     """
-    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+    from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
     ship()
-    own = docs.withColumn("_in", F.col(text_col))
-    schema = StructType([*own.schema.fields, StructField("_ids", ArrayType(IntegerType()))])
-    out = own.mapInArrow(_encode(_model_bytes(model_path)), schema)
-    return out.drop("_in").withColumnRenamed("_ids", ids_col)
+    added = [StructField(ids_col, ArrayType(IntegerType()))]
+    if round_trip_col:
+        added.append(StructField(round_trip_col, BooleanType()))
+    names = [f.name for f in added]
+    run = _encode(_model_bytes(model_path), docs.columns.index(text_col), names)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))
 
 
 def decode(docs: DataFrame, ids_col: str, text_col: str, model_path: str = MODEL) -> DataFrame:
@@ -246,10 +321,9 @@ def decode(docs: DataFrame, ids_col: str, text_col: str, model_path: str = MODEL
     from pyspark.sql.types import StringType, StructField, StructType
 
     ship()
-    own = docs.withColumn("_in", F.col(ids_col).cast("array<int>"))
-    schema = StructType([*own.schema.fields, StructField("_text", StringType())])
-    out = own.mapInArrow(_decode(_model_bytes(model_path)), schema)
-    return out.drop("_in").withColumnRenamed("_text", text_col)
+    own = docs.withColumn(ids_col, F.col(ids_col).cast("array<int>"))
+    schema = StructType([*own.schema.fields, StructField(text_col, StringType())])
+    return own.mapInArrow(_decode(_model_bytes(model_path), own.columns.index(ids_col), text_col), schema)
 
 
 def parity(texts: list[str], model_path: str = MODEL) -> list[int]:
@@ -257,11 +331,11 @@ def parity(texts: list[str], model_path: str = MODEL) -> list[int]:
     import sentencepiece
 
     data = _model_bytes(model_path)
-    own, original = _tokenizer(data), sentencepiece.SentencePieceProcessor(model_proto=data)
-    ids = encoded(own, texts)
-    back = own.decode_batch(ids, skip_special_tokens=False)
+    own, original = _codec(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    ids = own.encode(texts)
+    back = own.decode(ids)
     theirs = original.encode(texts)
-    return [i for i in range(len(texts)) if ids[i] != theirs[i] or back[i] != original.decode(theirs[i])]
+    return [i for i in range(len(texts)) if ids[i].tolist() != theirs[i] or back[i] != original.decode(theirs[i])]
 
 
 def _round(data: bytes):
@@ -270,22 +344,21 @@ def _round(data: bytes):
     def run(batches):
         import sentencepiece
 
-        tokenizer = _tokenizer(data)
+        codec = _codec(data)
         original = sentencepiece.SentencePieceProcessor(model_proto=data)
         for batch in batches:
             for first, texts in _groups(batch.column(1)):
-                ids = encoded(tokenizer, texts)
-                back = tokenizer.decode_batch(ids, skip_special_tokens=False)
+                ids = codec.encode(texts)
+                back = codec.decode(ids)
                 theirs = original.encode(texts, num_threads=1)
-                rows = [np.array(r, np.int32) for r in ids]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(texts)),
-                        pa.array([len(r) for r in rows], pa.int64()),
-                        pa.array([hashlib.sha256(r.astype("<i4").tobytes()).hexdigest() for r in rows]),
+                        pa.array([len(r) for r in ids], pa.int64()),
+                        pa.array([hashlib.sha256(r.astype("<i4").tobytes()).hexdigest() for r in ids]),
                         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]),
                         pa.array([t == b for t, b in zip(texts, back, strict=True)]),
-                        pa.array([a == b for a, b in zip(ids, theirs, strict=True)]),
+                        pa.array([np.array_equal(a, b) for a, b in zip(ids, theirs, strict=True)]),
                     ],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "parity"],
                 )
