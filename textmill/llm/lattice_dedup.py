@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.llm import sql
 from textmill.llm.shared import components, ship, written
 from textmill.llm.words import U64, mix
 
@@ -34,8 +35,17 @@ CHUNK = 512
 SEED = 8
 
 
+_KNOWN: dict[object, np.ndarray] = {}
+
+
 def roots() -> np.ndarray:
     """The 240 shortest points of E8."""
+    if "roots" not in _KNOWN:
+        _KNOWN["roots"] = _roots()
+    return _KNOWN["roots"]
+
+
+def _roots() -> np.ndarray:
     whole = [
         np.bincount([i, j], weights=[a, b], minlength=8)
         for i, j in itertools.combinations(range(8), 2)
@@ -64,9 +74,11 @@ def decode(x: np.ndarray) -> np.ndarray:
 
 
 def _projection(dim: int, table: int, blocks: int) -> np.ndarray:
-    wide = max(dim, 8 * blocks)
-    basis = np.linalg.qr(np.random.default_rng([SEED, table, dim]).normal(size=(wide, 8 * blocks)))[0]
-    return basis[:dim]
+    if (dim, table, blocks) not in _KNOWN:
+        wide = max(dim, 8 * blocks)
+        basis = np.linalg.qr(np.random.default_rng([SEED, table, dim]).normal(size=(wide, 8 * blocks)))[0]
+        _KNOWN[dim, table, blocks] = basis[:dim]
+    return _KNOWN[dim, table, blocks]
 
 
 def cells(unit: np.ndarray, labels: np.ndarray, blocks: int) -> np.ndarray:
@@ -132,16 +144,21 @@ def _placed(blocks: int):
 def _linked(cid, label, copies, x, own, left, right, key, least, blocks):
     """Sums and spanning links of one group: ``left`` and ``right`` are its two chunks."""
     unit = _unit(x)
-    keys = cells(unit, label, blocks)
-    spans = [np.flatnonzero(left), np.flatnonzero(right)]
-    cosine = unit[spans[0]] @ unit[spans[1]].T
+    cosine = unit[left] @ unit[right].T
     a, b = np.nonzero(cosine >= least)
-    a, b = spans[0][a], spans[1][b]
+    a, b = left[a], right[b]
     use = own[a] | own[b]
-    if spans[0][0] == spans[1][0]:
+    if left[0] == right[0]:
         use &= cid[a] < cid[b]
     a, b = a[use], b[use]
-    kept = []
+    if not len(a):
+        return None
+    # Only vectors with a link need their cells in all tables.
+    rows, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = place[: len(a)], place[len(a) :]
+    cid, copies = cid[rows], copies[rows]
+    keys = cells(unit[rows], label[rows], blocks)
+    here = np.zeros(len(a), bool)
     for at in range(0, len(a), 50_000):
         p, q = a[at : at + 50_000], b[at : at + 50_000]
         small, large = np.where(cid[p] < cid[q], p, q), np.where(cid[p] < cid[q], q, p)
@@ -150,10 +167,8 @@ def _linked(cid, label, copies, x, own, left, right, key, least, blocks):
         table = (to_large | to_small).argmax(axis=1)
         row = np.arange(len(p))
         home = np.where(to_large[row, table], keys[large, table, 0], keys[small, table, 0])
-        kept.append((p[home == key], q[home == key]))
-    if not kept:
-        return None
-    a, b = (np.concatenate(v) for v in zip(*kept, strict=True))
+        here[at : at + 50_000] = home == key
+    a, b = a[here], b[here]
     if not len(a):
         return None
     links = np.bincount(a, copies[b], len(cid)) + np.bincount(b, copies[a], len(cid))
@@ -170,40 +185,46 @@ def _linked(cid, label, copies, x, own, left, right, key, least, blocks):
 
 
 def _compared(least: float, blocks: int):
-    """Streams rows sorted by (key, i, j); holds one group at a time."""
+    """Streams rows sorted by (key, i, j); holds one batch and the group at its end."""
     names = ["key", "i", "j", "chunk", "own", "cid", "label", "copies", "v"]
 
-    def groups(batches):
+    def groups(table: pa.Table, last: bool):
+        """Results of the complete groups of a table, and the rows of the one that may go on."""
+        column = {n: table.column(n).combine_chunks() for n in names}
+        column = {n: c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for n, c in column.items()}
+        key, i, j, chunk, own, cid, label, copies = (column[n].to_numpy(zero_copy_only=False) for n in names[:8])
+        new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        edges = np.concatenate(([0], new, [len(key)] if last else []))
+        size, place, vectors = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64), {}
+        for rows, x in _matrix(column["v"]):
+            vectors[x.shape[1]] = x
+            size[rows], place[rows] = x.shape[1], np.arange(len(rows))
+        found = []
+        for lo, hi in zip(edges[:-1].astype(int), edges[1:].astype(int), strict=True):
+            for length in np.unique(size[lo:hi]) if hi - lo > 1 else ():
+                rows = lo + np.flatnonzero(size[lo:hi] == length)
+                left, right = np.flatnonzero(chunk[rows] == i[lo]), np.flatnonzero(chunk[rows] == j[lo])
+                if len(rows) > 1 and len(left) and len(right):
+                    x = vectors[length][place[rows]]
+                    part = _linked(cid[rows], label[rows], copies[rows], x, own[rows], left, right, key[lo], least, blocks)
+                    if part:
+                        found.append(part)
+        return found, table.slice(int(edges[-1]))
+
+    def run(batches):
         rest = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            if rest is not None:
-                table = pa.concat_tables([rest, table])
-            key, i, j = (table.column(n).to_numpy() for n in names[:3])
-            new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            edges = np.concatenate(([0], new))
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if hi - lo > 1:
-                    yield table.slice(lo, hi - lo)
-            rest = table.slice(edges[-1])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            if not len(table):
+                continue
+            found, rest = groups(table, False)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["cid", "links", "lead"])
         if rest is not None and len(rest) > 1:
-            yield rest
-
-    def run(batches):
-        for group in groups(batches):
-            group = group.combine_chunks()
-            column = {n: group.column(n).chunk(0) for n in names}
-            key, i, j = (column[n][0].as_py() for n in names[:3])
-            chunk, own = column["chunk"].to_numpy(), column["own"].to_numpy(zero_copy_only=False)
-            cid, label, copies = (column[n].to_numpy() for n in ("cid", "label", "copies"))
-            for rows, x in _matrix(column["v"]):
-                left, right = chunk[rows] == i, chunk[rows] == j
-                if left.any() and right.any():
-                    found = _linked(
-                        cid[rows], label[rows], copies[rows], x, own[rows], left, right, key, least, blocks
-                    )
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["cid", "links", "lead"])
+            found, _ = groups(rest, True)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["cid", "links", "lead"])
 
     return run
 
@@ -271,3 +292,4 @@ def op3_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_embedding_near_dedup": op3_embedding_near_dedup}
+ORACLE = {"op3_embedding_near_dedup": sql.NEAR_VECTORS}
