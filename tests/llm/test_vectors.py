@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from conftest import SMALL
 from llm.conftest import components_of
+from pyspark.sql import functions as F
 
 from textmill.llm import lattice_dedup, topk
 from textmill.llm.lattice_dedup import decode, roots, similar_vectors
@@ -118,6 +119,34 @@ def test_top_products(spark, monkeypatch):
     assert sorted(map(tuple, got)) == best(rows)
 
 
+def test_files_of_one_task_come_in_any_order(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(topk, "SEEDS", 1)  # too few to start from, so that a task's own rows set the floor
+    monkeypatch.setattr(topk, "ROWS", 100)
+    rng = np.random.default_rng(6)
+    scale = [1.0] * 1600 + [0.05] * 1000 + [8.0] * 30
+    rows = [(i, (rng.normal(size=16) * x).astype(np.float32).tolist(), 0) for i, x in enumerate(scale)]
+    real = topk.written
+
+    def in_files(df):
+        """Files that Spark reads by falling size: middling vectors, short ones, then the longest."""
+        if "length" not in df.columns:
+            return real(df)
+        path = str(tmp_path / "files")
+        for low, high in ((1_000, 15_000), (0, 1_000), (15_000, 1e9)):
+            part = df.where(f"length >= {low} and length < {high}").coalesce(1)
+            part.sort(F.col("length").desc(), "id").write.mode("append").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    monkeypatch.setattr(topk, "written", in_files)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        frame = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
+        got = top_products(frame, "vec_id", "embedding", every=100).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert sorted(map(tuple, got)) == best(rows)
+
+
 def test_few_candidates_and_large_numbers(spark):
     rows = [(0, [3.0, -1e9], 0), (1, [1e9, 1e9], 0), (100, [2.0, 1e9], 0)]
     got = top_products(table(spark, rows), "vec_id", "embedding").collect()

@@ -2,12 +2,13 @@
 
 Candidates are sorted by descending length over the whole table and rotated by the
 eigenvectors of their Gram matrix (the right singular vectors of the table), so that the
-first coordinates carry most of a product. A task walks its candidates in order. A query
-whose k-th score exceeds its length times the candidate's leaves the walk for good
-(Cauchy-Schwarz); of the others, the partial product over the first coordinates plus the
-product of the remaining lengths bounds the score, and only pairs whose bound reaches the
-query's k-th score are scored, in exact integers. Every query starts from its k-th score
-among the longest candidates.
+first coordinates carry most of a product. A task walks its candidates in blocks. A query
+whose k-th score exceeds its length times that of the block's longest candidate skips the
+block (Cauchy-Schwarz); a later block may hold longer candidates, as a task reads several
+files and not in their order. Of the others, the partial product over the first coordinates
+plus the product of the remaining lengths bounds the score, and only pairs whose bound
+reaches the query's k-th score are scored, in exact integers. Every query starts from its
+k-th score among the longest candidates.
 
 Queries travel in batches of about ``QUERY_BATCH``, a bounded broadcast; a task returns at
 most k rows per query, and a window picks the best k of all tasks.
@@ -101,17 +102,16 @@ def _walked(shared, k: int, rotation: np.ndarray):
         length = np.sqrt((q * q).sum(axis=1))
         tail = np.sqrt((turned[:, head:] ** 2).sum(axis=1))
         best = _Best(len(q), k, floor)
-        active = np.arange(len(q))
         for batch in batches:
             for low in range(0, len(batch), ROWS):
                 part = batch.slice(low, ROWS)
                 ids, c = part.column(0).to_numpy(), _padded(part.column(1), dim)
                 long = np.sqrt((c * c).sum(axis=1))
                 slack = 1e-6 * (1 + length * long.max(initial=0))
-                # Rows come by descending length: who cannot reach the longest here is done.
-                active = active[(length * long.max(initial=0) + slack >= best.floor)[active]]
+                # Lengths fall within a file only: who cannot reach the longest here may reach a later one.
+                active = np.flatnonzero(length * long.max(initial=0) + slack >= best.floor)
                 if not len(active):
-                    break
+                    continue
                 spin = c @ rotation
                 rest = np.sqrt((spin[:, head:] ** 2).sum(axis=1))
                 for at in range(0, len(active), 256):
@@ -126,8 +126,6 @@ def _walked(shared, k: int, rotation: np.ndarray):
                     for r, query in enumerate(some):
                         if may[r].any():
                             best.add(query, scores[r][may[r]], ids[need][may[r]])
-            if not len(active):
-                break
         rows = [(int(serial[i]), int(number[i]), b, -a) for i, f in enumerate(best.found) for a, b in f]
         if rows:
             yield pa.RecordBatch.from_arrays(
