@@ -28,6 +28,36 @@ def test_layouts(name):
     assert main_text(CASES[name]) == BODY
 
 
+WRAPPED = {
+    "layout": f"<div class='layout has-sidebar'><article>{ARTICLE}</article><div class='sidebar'>Side notes</div></div>",
+    "page": f"<div id=page class='menu-open'><div class=menu>Menu</div>{ARTICLE}</div><footer>end</footer>",
+    "section": f"<section class='social science'>{ARTICLE}</section><p>Imprint</p>",
+    "inner": f"<main><div class='post share-bar'>{ARTICLE}</div><div class='comments'>{'<p>I agree.</p>' * 60}</div></main>",
+    "open": f"<div class='single comments-open'>{ARTICLE}<ol id=comments><li>Nice text!</li></ol></div>",
+    "long": f"<div class=has-sidebar><article>{ARTICLE}</article><div class=sidebar>{'<p>Side notes</p>' * 60}</div></div>",
+    "related": f"<article>{ARTICLE}</article><section class='related'><article>One</article><article>Two</article></section>",
+    "parts": "".join(f"<div class='widget widget-text'>{x}</div>" for x in ARTICLE.split("\n")),
+}
+
+
+@pytest.mark.parametrize("name", sorted(WRAPPED))
+def test_names_of_wrappers(name):
+    got = main_text(WRAPPED[name])
+    assert BODY in got and "Side" not in got and "Menu" not in got and "agree" not in got and "One" not in got
+
+
+def test_teasers_do_not_replace_the_text():
+    cards = "".join(f"<article><h3>Teaser {i}</h3></article>" for i in range(3))
+    assert BODY in main_text(f"<div id=content>{ARTICLE}</div><div>{cards}</div>")
+    assert BODY in main_text(f"<div id=content>{ARTICLE}</div><div class='related'>{cards}</div>")
+
+
+def test_a_long_block_does_not_hide_later_runs():
+    gap = "<nav>a</nav>" * 4
+    page = f"<div><p>{'long block ' * 2000}</p>{gap}{ARTICLE}{gap}<p>tiny</p></div>"
+    assert main_text(page).endswith(BODY)
+
+
 def test_references_and_white_space():
     page = "<article><p>a &amp; b&nbsp;&lt;c&gt; &eacute;&#233;&#x1F600;\n\t  d &bogus; <b>e</b>f</p><p> \n </p></article>"
     assert main_text(page) == "a & b <c> éé😀 d &bogus; ef"

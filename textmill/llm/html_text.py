@@ -3,12 +3,13 @@
 Markup is stripped to lines, one per block of the page, in page order. A line's weight is
 the length of its text outside links; lines of menus, headers, footers, sidebars, notices,
 adverts, forms and comments, known by their element, role or class, weigh nothing, and
-neither do lines that are mostly links. Weights are summed over sliding windows of
-``WINDOW`` lines. Text begins where the sums surge from zero and ends where they dive back
-to it; what stands between a surge and its dive is a run. If the page marks its article
-(``article``, ``main``), runs are sought inside it and all count; otherwise runs count
-whose highest window reaches ``SHARE`` of the page's highest. The weighing lines of these
-runs are the text.
+neither do lines that are mostly links. Words of a class or id say nothing about an element
+that encloses the article or the larger part of the text around it. Weights are summed over
+sliding windows of ``WINDOW`` lines. Text begins where the sums surge from zero and ends
+where they dive back to it; what stands between a surge and its dive is a run. If the page
+marks its article (``article``, ``main``) and no more text stands outside, runs are sought
+inside it and all count; otherwise runs count whose highest window holds ``ENOUGH``
+characters or ``SHARE`` of the page's highest. The weighing lines of these runs are the text.
 
 One pass over a page in a Python task; pages are independent and nothing is shuffled.
 """
@@ -27,6 +28,7 @@ from textmill.llm.shared import ship
 
 WINDOW = 3
 SHARE = 0.2
+ENOUGH = 100
 LINK_SHARE = 0.6
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,6 +51,7 @@ NOISE_NAMES = frozenset(
     "pagination popup promo promoted promotion related reply replies search share sharing sidebar signup social sponsor "
     "sponsored subscribe toolbar widget widgets".split()
 )
+COMMENT_NAMES = frozenset("comment comments disqus reply replies".split())
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 PARTS = re.compile(r"[^a-z0-9]+")
@@ -122,18 +125,96 @@ def _noisy(tag: str, rest: str, in_article: bool) -> bool:
             return True
         if key == "role" and value in NOISE_ROLES:
             return True
-        if key in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            if NOISE_NAMES.intersection(PARTS.split(value)):
-                return True
         if key in ("class", "id") and tag == "article" and {"comment", "comments", "reply"}.intersection(PARTS.split(value)):
             return True
     return False
 
 
+def _named(tag: str, rest: str) -> tuple[frozenset[str], bool]:
+    """Noise words in the class and id of an element, and whether one stands alone."""
+    if tag in ("html", "body", "article", "main") or not rest.strip(" /"):
+        return frozenset(), False
+    values = [v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(rest) if k.lower() in ("class", "id")]
+    names = NOISE_NAMES.intersection(part for v in values for part in PARTS.split(v))
+    return names, any(part in names for v in values for part in v.split())
+
+
+class _Named:
+    """Elements with noise words, and the articles, of a page; parents come before what they enclose."""
+
+    def __init__(self) -> None:
+        self.parent: list[int] = []  # enclosing named element, or -1
+        self.scope: list[int] = []  # enclosing article, or -1
+        self.comment: list[bool] = []
+        self.whole: list[bool] = []  # named by a word that stands alone, not by a part such as menu-open
+        self.articles: list[tuple[str, int, int]] = []  # element, enclosing article, enclosing named element
+
+    def noise(self, found: list[tuple[int, int, int]]) -> list[bool]:
+        """Whether each named element is noise, from ``(weight, named element, article)`` of the lines."""
+        count = len(self.parent)
+        talk: list[bool] = []
+        for i in range(count):
+            talk.append(self.comment[i] or (self.parent[i] >= 0 and talk[self.parent[i]]))
+        total = sum(w for w, _, _ in found)
+        own = sum(w for w, i, _ in found if i < 0 or not talk[i])
+        if own < 0.1 * total:  # a word such as comments-open on all of the page
+            talk = [False] * count
+        held, scope, single = [0] * count, [0] * len(self.articles), [0] * count
+        page = 0
+        for weight, i, a in found:
+            if i >= 0 and talk[i]:
+                continue
+            page += weight
+            if i >= 0:
+                held[i] += weight
+            if a >= 0:
+                scope[a] += weight
+        for a in range(len(self.articles) - 1, -1, -1):
+            if self.articles[a][1] >= 0:
+                scope[self.articles[a][1]] += scope[a]
+        spared = [False] * count
+        inside: list[bool] = []  # another article, not only main
+        for tag, outer, _ in self.articles:
+            inside.append(outer >= 0 and (inside[outer] or self.articles[outer][0] == "article"))
+        tops = [a for a, x in enumerate(self.articles) if x[0] == "article" and not inside[a]]
+        for a in tops:
+            if self.articles[a][2] >= 0:
+                single[self.articles[a][2]] += 1
+        for i in range(count - 1, -1, -1):
+            if self.parent[i] >= 0:
+                held[self.parent[i]] += held[i]
+                single[self.parent[i]] += single[i]
+        for a in [*[a for a, x in enumerate(self.articles) if x[0] == "main" and not inside[a]], *sorted(tops, key=lambda a: -scope[a])[:1]]:
+            i = self.articles[a][2]
+            while i >= 0:
+                spared[i] |= scope[a] > 0 and (self.articles[a][0] == "main" or single[i] == 1)
+                i = self.parent[i]
+        clear: list[bool] = []
+        for i in range(count):
+            clear.append(spared[i] and (self.parent[i] < 0 or clear[self.parent[i]]))
+        beside = any(w and a >= 0 and (i < 0 or clear[i]) for w, i, a in found)  # an article outside
+        out: list[bool] = []
+        for i in range(count):
+            around = scope[self.scope[i]] if self.scope[i] >= 0 else page
+            may = not talk[i] and (self.scope[i] >= 0 or not beside or not self.whole[i])
+            plain = spared[i] or (may and 2 * held[i] > around)
+            out.append(not plain or (self.parent[i] >= 0 and out[self.parent[i]]))
+        if not any(w and (i < 0 or not out[i]) for w, i, _ in found):
+            return talk  # nothing else is left: layouts that name every part of the page
+        return out
+
+
 def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     """``(text, linked characters, noise, marked)`` of every block of the page in order."""
+    return _blocks(page)[0]
+
+
+def _blocks(page: str) -> tuple[list[tuple[str, int, bool, bool]], int]:
+    """The lines of the page, and the weight of its heaviest article."""
     out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool]] = []  # open elements and whether they are noise
+    places: list[tuple[int, int]] = []  # innermost named element and article of each line
+    named, open_named, open_articles = _Named(), [-1], [-1]
+    stack: list[tuple[str, bool, bool]] = []  # open elements, whether they are noise, whether named
     text: list[str] = []
     linked: list[str] = []
     state = [0, 0, 0, 0]  # open: noise, article or main, links, headers of an article
@@ -149,15 +230,21 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
                 in_links = len(" ".join(html.unescape("".join(linked)).split()))
-                heading = any(t in HEADINGS for t, _ in stack[-6:])
+                heading = any(t in HEADINGS for t, _, _ in stack[-6:])
                 noise = state[0] > 0 or (state[3] > 0 and not heading)
                 out.append((whole, in_links, noise, state[1] > 0))
+                places.append((open_named[-1], open_articles[-1]))
             text.clear()
             linked.clear()
 
     def pop(upto: int) -> None:
         while len(stack) > upto:
-            count(*stack.pop(), -1)
+            tag, noise, has_name = stack.pop()
+            count(tag, noise, -1)
+            if has_name:
+                open_named.pop()
+            if tag in ("article", "main") and not noise:
+                open_articles.pop()
 
     for kind, tag, rest in tokens(page):
         if kind == "text":
@@ -180,7 +267,17 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                         break
             if tag not in VOID and not rest.endswith("/"):
                 noise = _noisy(tag, rest, state[1] > 0)
-                stack.append((tag, noise))
+                names, whole = _named(tag, rest)
+                if names:
+                    named.parent.append(open_named[-1])
+                    named.scope.append(open_articles[-1])
+                    named.comment.append(not COMMENT_NAMES.isdisjoint(names))
+                    named.whole.append(whole)
+                    open_named.append(len(named.parent) - 1)
+                if tag in ("article", "main") and not noise:
+                    named.articles.append((tag, open_articles[-1], open_named[-1]))
+                    open_articles.append(len(named.articles) - 1)
+                stack.append((tag, noise, bool(names)))
                 count(tag, noise, 1)
         else:
             for depth in range(len(stack) - 1, -1, -1):
@@ -188,7 +285,17 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                     pop(depth)
                     break
     flush()
-    return out
+    clean = [0 if noise or in_links > LINK_SHARE * len(whole) else len(whole) for whole, in_links, noise, _ in out]
+    drop = named.noise([(w, *at) for w, at in zip(clean, places, strict=True)])
+    out = [(*x[:2], x[2] or (i >= 0 and drop[i]), x[3]) for x, (i, _) in zip(out, places, strict=True)]
+    weight = [0] * len(named.articles)
+    for (whole, _, noise, _), (_, a) in zip(out, places, strict=True):
+        if a >= 0 and not noise:
+            weight[a] += len(whole)
+    for a in range(len(weight) - 1, -1, -1):
+        if named.articles[a][1] >= 0:
+            weight[named.articles[a][1]] += weight[a]
+    return out, max(weight, default=0)
 
 
 def runs(weights: list[int], width: int = WINDOW) -> list[tuple[int, int, int]]:
@@ -214,8 +321,9 @@ def main_text(page: str | None) -> str:
     """The text of the page's article, blocks joined by line feeds; empty if there is none."""
     if not page:
         return ""
-    every = lines(page)
-    marked = any(m and not n for _, _, n, m in every)
+    every, heaviest = _blocks(page)
+    outside = sum(len(t) for t, in_links, n, m in every if not m and not n and in_links <= LINK_SHARE * len(t))
+    marked = heaviest > 0 and heaviest >= outside
     use = [x for x in every if x[3]] if marked else every
     # Inside a marked article links are part of the text.
     weights = [
@@ -224,7 +332,7 @@ def main_text(page: str | None) -> str:
     found = runs(weights)
     if not found:
         return ""
-    edge = 0 if marked else SHARE * max(peak for _, _, peak in found)
+    edge = 0 if marked else min(ENOUGH, SHARE * max(peak for _, _, peak in found))
     return "\n".join(
         use[i][0] for begin, end, peak in found if peak >= edge for i in range(begin, end) if weights[i]
     )
