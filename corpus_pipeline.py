@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textmill.llm.jaccard_join import jaccard_classes
 from textmill.llm.language_id import UNKNOWN, identify, train
-from textmill.llm.line_dedup import dedup_lines
+from textmill.llm.line_dedup import ALL_LINES, dedup_lines
 from textmill.llm.mixing import mixed_documents
 from textmill.llm.sentencepiece_codec import encode
 from textmill.llm.shared import release, shared_folder
@@ -33,8 +33,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out lines within two edits of an earlier one; documents of which nothing is left go."""
-    done = dedup_lines(docs, "doc_id", "text")
+    """Takes out lines, of whatever length, within two edits of an earlier one; documents of which nothing is left go."""
+    done = dedup_lines(docs, "doc_id", "text", min_chars=ALL_LINES)
     left = (F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
     return done.where(left).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 

@@ -198,6 +198,24 @@ def test_lines(spark, monkeypatch, seed):
     assert sum(r.n_removed for r in got) > 50
 
 
+def test_short_lines_of_query_and_stage(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    docs = [(-3, "Page 1 of 9\na line of 23 characters."), (-2, "Page 12 of 9\na line of 24 characterss."), (-1, "x\nkeep it")]
+    for i in range(60):
+        lines = ["".join(rng.choice("abcdef ") for _ in range(rng.choice([1, 2, 3, 4, 7, 9, 11, 14, 23, 25]))) for _ in range(4)]
+        docs.append((i, "\n".join([*lines, lines[0] + "x", lines[1][1:]])))
+    want = kept_lines(docs, least=1)
+    assert want[-2] == ""
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "length(text) n_chars").write.parquet(path)
+    got = line_dedup.op8_line_dedup(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.kept_sha256 for r in got} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+    left = corpus_pipeline.lines(spark, spark.read.parquet(path), "").collect()
+    assert {r.doc_id: r.text for r in left} == {i: t for i, t in want.items() if t.strip()}
+
+
 def test_line_edges(spark):
     line = "a line of more than two dozen characters"
     rows = [(1, None), (2, ""), (3, line), (3, line), (4, "\n" + line + "\n\n" + line), (5, "tiny\ntiny"), (6, "x" * 50_000)]

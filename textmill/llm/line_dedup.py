@@ -1,9 +1,10 @@
 """Line dedup by a segment-partition edit join.
 
-Lines equal to the letter fall together by hash. Lines of at least ``MIN_CHARS`` code
-points are also compared within an edit distance of ``tau``: a line is cut into tau + 1
-segments, one of which must stand unchanged, shifted by at most tau, in any line within
-that distance. The substring indexes are aware of length and position: a line probes, for
+Lines equal to the letter fall together by hash. Lines of at least ``min_chars`` code
+points, in the query and the pipeline all that are not blank, are also compared within an
+edit distance of ``tau``: a line is cut into tau + 1 segments, one of which must stand
+unchanged, shifted by at most tau, in any line within that distance; segments of lines of
+fewer than tau + 1 code points may be empty, and then all of that length meet. The substring indexes are aware of length and position: a line probes, for
 each length from its own down by tau, only the shifts at which the edits left and right
 of the segment can still add up to tau. Keys are hashes of (length, segment, substring).
 
@@ -28,6 +29,7 @@ from textmill.llm.shared import release, written
 
 TAU = 2
 MIN_CHARS = 24
+ALL_LINES = 1
 HEAVY = 1000
 
 
@@ -231,9 +233,9 @@ def dedup_lines(docs: DataFrame, id_col: str, text_col: str, tau: int = TAU, min
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """All documents: lines within two edits of an earlier line go."""
+    """All documents: lines, of whatever length, within two edits of an earlier line go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    done = dedup_lines(docs, "doc_id", "text")
+    done = dedup_lines(docs, "doc_id", "text", min_chars=ALL_LINES)
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
