@@ -85,6 +85,22 @@ def test_added_spans(spark):
             assert got[i] == "", t
 
 
+def test_long_credentials_and_national_numbers_are_candidates(spark):
+    rng = random.Random(7)
+    code = "".join(rng.choice("0123456789abcdefXYZ_") for _ in range(3000))
+    secrets = [code[:n] for n in (16, 64, 65, 86, 93, 3000)] + ["x" * 70 + "1" + "y" * 20]
+    phones = [
+        "030 12345678", "(0171) 123 45 67", "0171/1234567", "07071 29-12345", "01 23 45 67 89", "06-12-34-56-78",
+        "612 34 56 78", "912 345 678", "91 234 56 78", "020 7946 0958", "988-555-2485", "(988) 555-2485",
+    ]
+    rows = [(i, f'x = "{v}"; {v}', "secret", v) for i, v in enumerate(secrets)]
+    rows += [(100 + i, f"Tel. {v}. Or {v}, {v}", "phone", v) for i, v in enumerate(phones)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kind string, value string")
+    for r in pd_.candidates(df, F.col("text")).collect():
+        found = [r.text[s.start : s.end] for s in r._spans if pd_.KINDS[s.kind] == r.kind]
+        assert found == [r.value] * (2 if r.kind == "secret" else 3), r.text
+
+
 def test_reliabilities_tell_good_labelers_from_bad():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.4

@@ -1,7 +1,8 @@
 """Personal data by weak supervision.
 
 Candidate spans come from patterns: the base patterns, whose matches always stay, and
-looser ones for telephone numbers in national form and for credentials. Labelers vote on
+looser ones for telephone numbers in the grouped forms of several countries and for
+credentials of any length. Labelers vote on
 every candidate: a strict pattern, a checksum or shape, a gazetteer of words around it, a
 gazetteer of endings and prefixes, and the characters next to it; each says yes, no, or
 nothing. Candidates are counted by kind, votes and length class, a table whose size is
@@ -34,10 +35,19 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-LOOSE = {
-    "phone": r"(?<![0-9+.,-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.,-])",
-    "secret": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,63}[0-9])[A-Za-z0-9_+/-]{16,64}+(?![A-Za-z0-9_+/-])",
-}
+APART = r"(?:\x20?[./-]\x20?|\x20)"
+ALONE = r"(?<![0-9+])(?<![0-9][.,/-])"
+GROUPS = rf"[0-9]{{2,8}}+(?:{APART}[0-9]{{2,8}}+){{0,5}}+(?![0-9]|[.,/-][0-9])"
+#: With the numbers of digits that count, where they matter; what an earlier one found is no candidate of a later one.
+LOOSE = (
+    ("phone", rf"{ALONE}\(?[0-9]{{3}}\)?[\x20.-][0-9]{{3}}[\x20.-][0-9]{{4}}(?![0-9]|[.,-][0-9])", None),
+    # Groups of digits behind a trunk zero, as in German, French or British numbers.
+    ("phone", rf"{ALONE}(?:\(0[1-9][0-9]{{0,4}}+\)\x20?[./-]?\x20?|0[1-9][0-9]{{0,4}}+{APART}){GROUPS}", (7, 15)),
+    # Spanish numbers have no trunk zero, nine digits, and begin with 5 to 9.
+    ("phone", rf"{ALONE}(?:\([5-9][0-9]{{1,2}}+\)\x20?[./-]?\x20?|[5-9][0-9]{{1,3}}+{APART}){GROUPS}", (9, 9)),
+    ("secret", r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+", None),
+)
+DATE = r"^(?:[0-9]{1,2}([./ -])[0-9]{1,2}\1[0-9]{2,4}|[0-9]{4}([./ -])[0-9]{2}\2[0-9]{2})$"
 #: What must occur for a pattern to match at all; spares most texts the pattern.
 NEEDED = {"email": "@", "phone": "+"}
 NEAR = 24
@@ -135,13 +145,15 @@ def _votes(kind: str, m: Column, base: bool) -> list[Column]:
         strict = yes if base else nothing
         shape = {
             "card": F.when(F.call_function("luhn_check", _digits(value)), yes).otherwise(no),
-            "phone": F.when(F.length(_digits(value)).between(10, 15), yes).otherwise(no),
+            "phone": F.when(
+                F.length(_digits(value)).between(10 if base else 9, 15) & (F.lit(base) | ~value.rlike(DATE)), yes
+            ).otherwise(no),
             "ip": F.when(value.rlike(r"(?:^|\.)0[0-9]"), no).otherwise(yes),
             "email": F.when(F.length(value) <= 254, yes).otherwise(no),
         }[kind]
         ending = {
             "card": F.when(_digits(value).rlike("^(?:3[47]|4|5[1-5]|6)"), yes).otherwise(no),
-            "phone": F.when(value.rlike(r"^(?:\+|\(?[2-9])"), yes).otherwise(no),
+            "phone": F.when(value.rlike(r"^(?:\+|\(?(?:0[1-9]|[2-9]))"), yes).otherwise(no),
             "ip": F.when(value.rlike(r"^(?:10|127|172|192)\."), yes).otherwise(nothing),
             "email": F.when(F.lower(value).rlike(r"\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$"), yes).otherwise(nothing),
         }[kind]
@@ -154,11 +166,15 @@ def _votes(kind: str, m: Column, base: bool) -> list[Column]:
 SPAN = "array<struct<kind:int,start:bigint,end:bigint,base:boolean,votes:array<int>,size:int>>"
 
 
-def _candidates(kind: str, pattern: str, text: Column, base: bool, taken: Column | None = None) -> Column:
+def _candidates(
+    kind: str, pattern: str, text: Column, base: bool, taken: Column | None = None, digits: tuple[int, int] | None = None
+) -> Column:
     found = matches(text, pattern, NEEDED.get(kind) if base else None)
     if base and kind != "email":
         found = F.filter(found, lambda m: _valid(kind, m["value"]))
-    if taken is not None:  # what a base span covers is no candidate
+    if digits:
+        found = F.filter(found, lambda m: F.length(_digits(m["value"])).between(*digits))
+    if taken is not None:  # what a base or earlier span covers is no candidate
         found = F.filter(
             found, lambda m: ~F.exists(taken, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
         )
@@ -181,11 +197,15 @@ def candidates(docs: DataFrame, text: Column) -> DataFrame:
     """``docs`` with its candidate spans in ``_spans``."""
     base = docs.withColumns({f"_{k}": _candidates(k, p, text, True) for k, p in BASE.items()})
     every = F.concat(*[F.col(f"_{k}") for k in BASE])
-    loose = base.withColumn("_base", every).withColumns(
-        {f"_loose_{k}": _candidates(k, p, text, False, F.col("_base")) for k, p in LOOSE.items()}
-    )
-    spans = F.array_sort(F.concat("_base", *[F.col(f"_loose_{k}") for k in LOOSE]))
-    return loose.withColumn("_spans", spans).drop("_base", *[f"_{k}" for k in BASE], *[f"_loose_{k}" for k in LOOSE])
+    loose = base.withColumn("_base", every)
+    own: dict[str, list[str]] = {}
+    for i, (kind, pattern, digits) in enumerate(LOOSE):
+        taken = F.concat("_base", *[F.col(c) for c in own.get(kind, [])])
+        loose = loose.withColumn(f"_loose_{i}", _candidates(kind, pattern, text, False, taken, digits))
+        own.setdefault(kind, []).append(f"_loose_{i}")
+    added = [f"_loose_{i}" for i in range(len(LOOSE))]
+    spans = F.array_sort(F.concat("_base", *added))
+    return loose.withColumn("_spans", spans).drop("_base", *[f"_{k}" for k in BASE], *added)
 
 
 def _estimate(kind: np.ndarray, votes: np.ndarray, known: np.ndarray, n: np.ndarray, steps: int = 60) -> np.ndarray:
