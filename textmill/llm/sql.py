@@ -60,3 +60,65 @@ scores AS (
   FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def secrets(base: list[tuple[str, str, str]], further: list[tuple[str, str, str]]) -> str:
+    """Spans of the kinds ``(kind, expression, condition on hit)``, counted and joined."""
+    parts = []
+    for number, (kind, pattern, condition) in enumerate(base + further):
+        parts.append(f"""
+  SELECT doc_id, {number} AS k, '{kind}' AS kind, start, start + length(hit) AS stop FROM (
+    SELECT doc_id, hits[i] AS hit, (list_sum(list_transform(between[1 : i], lambda x: length(x)))
+      + coalesce(list_sum(list_transform(hits[1 : i - 1], lambda x: length(x))), 0))::BIGINT AS start
+    FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
+      SELECT doc_id, regexp_extract_all(text, {_quoted(pattern)}) AS hits, string_split_regex(text, {_quoted(pattern)}) AS between FROM documents WHERE text IS NOT NULL)))
+  WHERE {condition}""")
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind, _, _ in base)
+    zero = ", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, _, _ in base)
+    one = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k)"
+    return f"""
+WITH spans AS MATERIALIZED ({" UNION ALL ".join(parts)}),
+sums AS (SELECT doc_id, {counts}, {one} FILTER (k < {len(base)}) AS base, {one} AS spans FROM spans GROUP BY doc_id)
+SELECT doc_id, {zero}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN sums USING (doc_id)"""
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+RANKED = f"""
+WITH words AS MATERIALIZED (SELECT doc_id, regexp_extract_all({LOWER}, '{TERM}') AS w FROM documents WHERE text IS NOT NULL),
+sized AS MATERIALIZED (SELECT doc_id, w, len(w)::BIGINT AS n FROM words WHERE len(w) > 0),
+totals AS MATERIALIZED (SELECT count(*) AS docs, sum(n)::BIGINT AS length FROM sized),
+asked AS MATERIALIZED (
+  SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all({LOWER}, '{TERM}')) AS term FROM benchmark WHERE text IS NOT NULL)),
+counted AS MATERIALIZED (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM sized) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS MATERIALIZED (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM counted GROUP BY term), totals),
+scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // length)))))::BIGINT AS score
+  FROM asked JOIN counted USING (term) JOIN weights USING (term), totals GROUP BY item_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50"""
+
+
+def _unsigned(group: int) -> str:
+    return f"('0x' || substr(h, {8 * group + 1}, 8))::UBIGINT::BIGINT"
+
+
+INFILL = f"""
+WITH seeds AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (
+  SELECT *, length(t)::BIGINT AS n, {_unsigned(0)} AS h1, {_unsigned(1)} AS h2,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {_unsigned(2)} % 100 >= 90 THEN 'plain'
+         WHEN {_unsigned(3)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM seeds),
+cut AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM drawn),
+parts AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts"""
