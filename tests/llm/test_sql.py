@@ -10,7 +10,7 @@ from textmill import llm
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     rel = con.execute(llm.oracle_sql()[name])
     names = [d[0] for d in rel.description]
@@ -22,4 +22,4 @@ def test_query_equals_sql(spark, name):
 
 def test_every_operator_is_registered():
     found = {int(n[2:].split("_")[0]) for n in llm.queries()}
-    assert found == set(range(1, 11)) and set(llm.oracle_sql()) <= set(llm.queries())
+    assert found == set(range(1, 14)) and set(llm.oracle_sql()) <= set(llm.queries())

@@ -13,6 +13,9 @@ MODULES = (
     "line_dedup",
     "language_id",
     "topk",
+    "secret_scan",
+    "lexical_scan",
+    "infilling",
 )
 
 
