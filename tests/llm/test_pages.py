@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -46,6 +47,79 @@ def test_names_of_wrappers(name):
     assert BODY in got and "Side" not in got and "Menu" not in got and "agree" not in got and "One" not in got
 
 
+COMMENT = "<div class='comment'><p>" + "I have much to say about this. " * 14 + "</p></div>"
+TALKED = {
+    "long": f"<div class=post><p>A short post on one thing.</p></div><div class=comments>{COMMENT * 10}</div>",
+    "list": f"<div class=post><p>A short post on one thing.</p></div><ol class=commentlist><li>{COMMENT}</li></ol>",
+    "status": f"<div class='single comments-open'><p>A short post on one thing.</p><div id=comments-area>{COMMENT}</div></div>",
+    "ids": f"<div><p>A short post on one thing.</p></div><section id=disqus_thread>{COMMENT}</section>",
+}
+
+
+@pytest.mark.parametrize("name", sorted(TALKED))
+def test_comments_longer_than_the_post(name):
+    assert main_text(TALKED[name]) == "A short post on one thing."
+
+
+def test_commentary_is_text():
+    assert main_text(f"<div class=commentary>{ARTICLE}</div><p>Imprint</p>").startswith(BODY)
+    assert main_text("<div class=comments><p>Nothing but comments here.</p></div>") == "Nothing but comments here."
+
+
+def test_short_closing_remarks_and_link_paragraphs():
+    items = "".join(f"<li><a href={i}>Link {i}</a></li>" for i in range(5))
+    page = f"<div>{ARTICLE}<ul>{items}</ul><p>A short closing remark.</p></div><ul>{items}</ul><p>(c) 2020 by us.</p>"
+    assert main_text(page) == f"{BODY}\nA short closing remark."
+    page = f"<div>{ARTICLE}<p><a href=r>See the full report of the study here.</a></p><p>And one more thing.</p></div>"
+    assert main_text(page) == f"{BODY}\nSee the full report of the study here.\nAnd one more thing."
+    teasers = "".join(f"<li><a href={i}>This is one more headline to click on.</a></li>" for i in range(5))
+    assert main_text(f"<div>{ARTICLE}</div><ul>{teasers}</ul>") == BODY
+
+
+def test_unbalanced_markup_takes_linear_time():
+    import time
+
+    for page in ("<b>" * 150_000 + "x" + "</i>" * 150_000, "<div><i>" * 60_000 + "x" + "</b></p>" * 60_000):
+        start = time.perf_counter()
+        assert main_text(page) == "x"
+        assert time.perf_counter() - start < 5
+
+
+def made_page(rng):
+    """A page put together from known text and noise, and the text it must give."""
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    blocks = [words(rng.randint(12, 60)) + "." for _ in range(rng.randint(2, 9))]
+    title = words(5)
+    inner, want = [f"<h1>{title}</h1>"], [title]
+    for b in blocks:
+        cut = b.split(" ", 3)
+        inner.append(f"<p>{cut[0]} <b>{cut[1]}</b>\n <a href=x>{cut[2]}</a> {cut[3]}" + rng.choice(["</p>", "", "</p>\n"]))
+        want.append(b)
+        if rng.random() < 0.3:
+            inner.append(rng.choice([
+                f"<script>{words(9)}</script>", f"<div class='ad-box'>{words(9)}</div>", f"<aside>{words(30)}</aside>",
+                f"<form><label>{words(4)}</label><input></form>", f"<!-- {words(5)} -->", f"<style>p {{ {words(2)} }}</style>",
+                f"<div class='share'><a href=y>{words(2)}</a></div>", f"<div role=alert>{words(12)}</div>",
+            ]))
+    around = rng.choice(["<article>{}</article>", "<main>{}</main>", "<div id=content>{}</div>", "<div class='post has-sidebar'>{}</div>"])
+    links = "".join(f"<li><a href={i}>{words(2)}</a></li>" for i in range(rng.randint(2, 9)))
+    before = rng.choice([f"<nav><ul>{links}</ul></nav>", f"<header><div>{words(3)}</div><ul>{links}</ul></header>", f"<ul class=menu>{links}</ul>"])
+    after = [
+        f"<footer><p>{words(20)}.</p></footer>", f"<div class='sidebar'><p>{words(25)}.</p></div>",
+        f"<div id=comments><div class=comment><p>{words(rng.randint(5, 200))}.</p></div></div>",
+        f"<div class='cookie-notice'>{words(15)}.</div>", f"<div class='related'><ul>{links}</ul></div>", f"<ul>{links}</ul>",
+    ]
+    rng.shuffle(after)
+    return f"<html><body>{before}{around.format(''.join(inner))}{''.join(after[: rng.randint(0, 6)])}</body></html>", "\n".join(want)
+
+
+def test_pages_of_known_text():
+    rng = random.Random(11)
+    for _ in range(400):
+        page, want = made_page(rng)
+        assert main_text(page) == want, page
+
+
 def test_teasers_do_not_replace_the_text():
     cards = "".join(f"<article><h3>Teaser {i}</h3></article>" for i in range(3))
     assert BODY in main_text(f"<div id=content>{ARTICLE}</div><div>{cards}</div>")

@@ -9,7 +9,8 @@ sliding windows of ``WINDOW`` lines. Text begins where the sums surge from zero
 where they dive back to it; what stands between a surge and its dive is a run. If the page
 marks its article (``article``, ``main``) and no more text stands outside, runs are sought
 inside it and all count; otherwise runs count whose highest window holds ``ENOUGH``
-characters or ``SHARE`` of the page's highest. The weighing lines of these runs are the text.
+characters or ``SHARE`` of the page's highest, or in which a line reads as a sentence. The
+weighing lines of these runs are the text.
 
 One pass over a page in a Python task; pages are independent and nothing is shuffled.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,7 +53,12 @@ NOISE_NAMES = frozenset(
     "pagination popup promo promoted promotion related reply replies search share sharing sidebar signup social sponsor "
     "sponsored subscribe toolbar widget widgets".split()
 )
-COMMENT_NAMES = frozenset("comment comments disqus reply replies".split())
+COMMENT_NAMES = ("comment", "disqus", "replies", "reply")
+NOT_COMMENTS = ("commentar", "commentat")
+#: Names that say how a part of the page stands, mostly of an element around all of it.
+STATUS = re.compile(r"^(?:has|no|with)[-_]|[-_](?:open|closed|enabled|disabled|allowed)$")
+SENTENCE = re.compile(r"\S+\s+\S+\s+\S.*[.!?…:;][\"'”’»)\]]*$", re.S)
+RIGHTS = re.compile(r"©|\(c\) ?[0-9]|copyright|all rights|alle rechte|tous droits|derechos reservados", re.I)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 PARTS = re.compile(r"[^a-z0-9]+")
@@ -125,18 +132,25 @@ def _noisy(tag: str, rest: str, in_article: bool) -> bool:
             return True
         if key == "role" and value in NOISE_ROLES:
             return True
-        if key in ("class", "id") and tag == "article" and {"comment", "comments", "reply"}.intersection(PARTS.split(value)):
+        if key in ("class", "id") and tag == "article" and any(_comments(v) for v in value.split()):
             return True
     return False
 
 
-def _named(tag: str, rest: str) -> tuple[frozenset[str], bool]:
-    """Noise words in the class and id of an element, and whether one stands alone."""
+def _comments(name: str) -> bool:
+    """Whether a class or id is one of reader comments: a part of it begins with a word for them."""
+    return not STATUS.search(name) and any(p.startswith(COMMENT_NAMES) and not p.startswith(NOT_COMMENTS) for p in PARTS.split(name))
+
+
+def _named(tag: str, rest: str) -> tuple[bool, bool, bool]:
+    """Whether class and id of an element hold a noise word, whether one stands alone, and whether it is one of comments."""
     if tag in ("html", "body", "article", "main") or not rest.strip(" /"):
-        return frozenset(), False
+        return False, False, False
     values = [v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(rest) if k.lower() in ("class", "id")]
-    names = NOISE_NAMES.intersection(part for v in values for part in PARTS.split(v))
-    return names, any(part in names for v in values for part in v.split())
+    names = [name for v in values for name in v.split()]
+    talk = any(map(_comments, names))
+    found = talk or any(not STATUS.search(name) and not NOISE_NAMES.isdisjoint(PARTS.split(name)) for name in names)
+    return found, any(name in NOISE_NAMES or (talk and _comments(name)) for name in names), talk
 
 
 class _Named:
@@ -155,9 +169,7 @@ class _Named:
         talk: list[bool] = []
         for i in range(count):
             talk.append(self.comment[i] or (self.parent[i] >= 0 and talk[self.parent[i]]))
-        total = sum(w for w, _, _ in found)
-        own = sum(w for w, i, _ in found if i < 0 or not talk[i])
-        if own < 0.1 * total:  # a word such as comments-open on all of the page
+        if not any(w for w, i, _ in found if i < 0 or not talk[i]):  # all of the page is named so
             talk = [False] * count
         held, scope, single = [0] * count, [0] * len(self.articles), [0] * count
         page = 0
@@ -214,6 +226,7 @@ def _blocks(page: str) -> tuple[list[tuple[str, int, bool, bool]], int]:
     out: list[tuple[str, int, bool, bool]] = []
     places: list[tuple[int, int]] = []  # innermost named element and article of each line
     named, open_named, open_articles = _Named(), [-1], [-1]
+    opened: Counter[str] = Counter()
     stack: list[tuple[str, bool, bool]] = []  # open elements, whether they are noise, whether named
     text: list[str] = []
     linked: list[str] = []
@@ -240,6 +253,7 @@ def _blocks(page: str) -> tuple[list[tuple[str, int, bool, bool]], int]:
     def pop(upto: int) -> None:
         while len(stack) > upto:
             tag, noise, has_name = stack.pop()
+            opened[tag] -= 1
             count(tag, noise, -1)
             if has_name:
                 open_named.pop()
@@ -267,19 +281,20 @@ def _blocks(page: str) -> tuple[list[tuple[str, int, bool, bool]], int]:
                         break
             if tag not in VOID and not rest.endswith("/"):
                 noise = _noisy(tag, rest, state[1] > 0)
-                names, whole = _named(tag, rest)
-                if names:
+                has_name, whole, talk = _named(tag, rest)
+                if has_name:
                     named.parent.append(open_named[-1])
                     named.scope.append(open_articles[-1])
-                    named.comment.append(not COMMENT_NAMES.isdisjoint(names))
+                    named.comment.append(talk)
                     named.whole.append(whole)
                     open_named.append(len(named.parent) - 1)
                 if tag in ("article", "main") and not noise:
                     named.articles.append((tag, open_articles[-1], open_named[-1]))
                     open_articles.append(len(named.articles) - 1)
-                stack.append((tag, noise, bool(names)))
+                stack.append((tag, noise, has_name))
+                opened[tag] += 1
                 count(tag, noise, 1)
-        else:
+        elif opened[tag]:  # an end tag of nothing open is passed over at once
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
                     pop(depth)
@@ -317,6 +332,27 @@ def runs(weights: list[int], width: int = WINDOW) -> list[tuple[int, int, int]]:
     return found
 
 
+def _reads(text: str) -> bool:
+    """Whether a line reads as a sentence and not as a label or a notice of rights."""
+    return bool(SENTENCE.match(text)) and not RIGHTS.search(text)
+
+
+def _weights(use: list[tuple[str, int, bool, bool]]) -> list[int]:
+    """Weights of the lines of a page without a marked article.
+
+    A line that is mostly links weighs nothing, but for a sentence that stands alone beside
+    other text: a paragraph that is one link.
+    """
+    links = [in_links > LINK_SHARE * len(text) for text, in_links, _, _ in use]
+    own = [0 if noise or link else len(text) for (text, _, noise, _), link in zip(use, links, strict=True)]
+    out = list(own)
+    for i, (text, _, noise, _) in enumerate(use):
+        beside = [j for j in (i - 1, i + 1) if 0 <= j < len(use)]
+        if links[i] and not noise and _reads(text) and any(own[j] for j in beside) and not any(links[j] for j in beside):
+            out[i] = len(text)
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The text of the page's article, blocks joined by line feeds; empty if there is none."""
     if not page:
@@ -326,16 +362,16 @@ def main_text(page: str | None) -> str:
     marked = heaviest > 0 and heaviest >= outside
     use = [x for x in every if x[3]] if marked else every
     # Inside a marked article links are part of the text.
-    weights = [
-        0 if noise or (not marked and in_links > LINK_SHARE * len(text)) else len(text) for text, in_links, noise, _ in use
-    ]
+    weights = [0 if noise else len(text) for text, _, noise, _ in use] if marked else _weights(use)
     found = runs(weights)
     if not found:
         return ""
     edge = 0 if marked else min(ENOUGH, SHARE * max(peak for _, _, peak in found))
-    return "\n".join(
-        use[i][0] for begin, end, peak in found if peak >= edge for i in range(begin, end) if weights[i]
-    )
+    kept = []
+    for begin, end, peak in found:
+        if peak >= edge or any(weights[i] and _reads(use[i][0]) for i in range(begin, end)):
+            kept += [use[i][0] for i in range(begin, end) if weights[i]]
+    return "\n".join(kept)
 
 
 def _extract(batches):
