@@ -39,10 +39,10 @@ PACKED = "bucket int, kind int, hash binary, ids binary, counts binary, pos bina
 def _spans(hashes: np.ndarray, texts: np.ndarray, rows: int, k: int) -> tuple[np.ndarray, ...]:
     """Hash, text and position of every window of ``k`` words that lies in one text."""
     value = windows(hashes, k)
-    begin = np.searchsorted(texts, np.arange(rows))
-    owner = texts[: len(value)]
+    begin = np.searchsorted(texts, np.arange(rows)).astype(np.int32)
+    owner = texts[: len(value)].astype(np.int32)
     inside = owner == texts[k - 1 :] if len(value) else np.zeros(0, bool)
-    at = np.flatnonzero(inside)
+    at = np.flatnonzero(inside).astype(np.int32)
     return value[at], owner[at], at - begin[owner[at]]
 
 
@@ -76,9 +76,11 @@ def _anchors(block: int, buckets: int):
                 use = real[owner]
                 value, owner, pos = value[use], owner[use], pos[use]
                 bucket = ((value >> U64(32)) % U64(buckets)).astype(np.int32)
+                remainder = value.astype(np.uint32)
+                del hashes, texts, value, use
                 order = np.argsort(bucket, kind="stable")
-                bucket, owner, pos = bucket[order], owner[order], pos[order]
-                remainder = (value[order] & U64(0xFFFFFFFF)).astype(np.uint32)
+                bucket, owner, pos, remainder = bucket[order], owner[order], pos[order], remainder[order]
+                del order
                 own = pos % block == 0
                 rows = _packed(bucket, remainder, owner, pos, number, PROBE)
                 rows += _packed(bucket[own], remainder[own], owner[own], pos[own], number, NOTICE)
@@ -92,12 +94,12 @@ def _anchors(block: int, buckets: int):
                     order = np.lexsort((o, b))
                     b, r, o = b[order], r[order], o[order]
                     rows += _packed(b, r, o, np.zeros(len(b), np.int64), number, INDEX)
+                del bucket, owner, pos, remainder, own, b, r, o
                 if rows:
                     kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)],
-                        ["bucket", "kind", "hash", "ids", "counts", "pos"],
-                    )
+                    columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    del rows
+                    yield pa.RecordBatch.from_arrays(columns, ["bucket", "kind", "hash", "ids", "counts", "pos"])
 
     return run
 

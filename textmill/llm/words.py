@@ -95,24 +95,42 @@ def _slice(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, hashes
 
 
+def _long(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of one long text, hashed in slices that end behind a space."""
+    space, *_ = _constants(1)
+    found, at = [], 0
+    while at < len(data):
+        to = min(len(data), at + PIECE_BYTES)
+        while to < len(data) and not space[data[to - 1]]:
+            ahead = np.flatnonzero(space[data[to : to + PIECE_BYTES]])
+            to = to + int(ahead[0]) + 1 if len(ahead) else min(len(data), to + PIECE_BYTES)
+        part = _slice(data[at:to], np.array([0, to - at]))
+        found.append((part[0] + at, part[1] + at, part[2]))
+        at = to
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, ...]:
-    """Start, end, hash and text number of every word of a piece."""
-    space, low, *_ = _constants(1)
-    if lower:
-        data = low[data]
-    if len(offsets) > 2 or len(data) <= 2 * PIECE_BYTES:
-        starts, ends, hashes = _slice(data, offsets)
-    else:  # one long text, cut where it has a space
-        found, at = [], 0
-        while at < len(data):
-            to = min(len(data), at + PIECE_BYTES)
-            while to < len(data) and not space[data[to - 1]]:
-                ahead = np.flatnonzero(space[data[to : to + PIECE_BYTES]])
-                to = to + int(ahead[0]) + 1 if len(ahead) else min(len(data), to + PIECE_BYTES)
-            part = _slice(data[at:to], np.array([0, to - at]))
-            found.append((part[0] + at, part[1] + at, part[2]))
-            at = to
-        starts, ends, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
+    """Start, end, hash and text number of every word of a piece.
+
+    Texts are hashed about ``PIECE_BYTES`` at a time, whatever the size of the piece.
+    """
+    _, low, *_ = _constants(1)
+    found, first, texts = [], 0, len(offsets) - 1
+    while first < texts or not found:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PIECE_BYTES, side="right")) - 1)
+        last = min(last, texts)
+        begin, end = int(offsets[first]), int(offsets[last])
+        part = low[data[begin:end]] if lower else data[begin:end]
+        if len(part) > 2 * PIECE_BYTES:
+            starts, ends, hashes = _long(part)
+        else:
+            starts, ends, hashes = _slice(part, offsets[first : last + 1] - begin)
+        found.append((starts + begin, ends + begin, hashes))
+        first = last
+        if first >= texts:
+            break
+    starts, ends, hashes = (np.concatenate(x) for x in zip(*found, strict=True)) if len(found) > 1 else found[0]
     return starts, ends, hashes, np.searchsorted(offsets, starts, side="right") - 1
 
 
