@@ -14,10 +14,12 @@ bit-parallel edit distance: the 2 * tau + 1 diagonals around the main one are th
 a word, a column costs a handful of word operations.
 
 A line goes if an equal or close line occurs before it, in order of document id and line
-number. Groups of a key are not expanded: members meet the earliest of their group first;
-only lines that remain are compared with all earlier ones of their groups. Lines that
-make up over a thousandth of all lines, fewer than a thousand, send keys once. Everything
-is DataFrame functions.
+number. A key counts only where it is some line's index entry. Groups of a key are not
+expanded: members meet the earliest of their group first; only lines that remain are held
+against the earlier ones of their groups, by a semi join that lets a line go at its first hit,
+in chunks of ``CHUNK`` members, each pair of chunks a group of its own. Lines that make up over
+a thousandth of all lines, fewer than a thousand, send keys once. Everything is DataFrame
+functions.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ TAU = 2
 MIN_CHARS = 24
 ALL_LINES = 1
 HEAVY = 1000
+CHUNK = 256
 
 
 def _probes(tau: int) -> list[tuple[int, int, int]]:
@@ -43,18 +46,17 @@ def _probes(tau: int) -> list[tuple[int, int, int]]:
     return found
 
 
-def _keys(line: Column, size: Column, tau: int) -> Column:
-    """Join keys of a line; those of shift 0 at its own length are its index entries."""
-    keys = []
+def _keys(line: Column, size: Column, tau: int) -> tuple[Column, Column]:
+    """Index entries of a line, its own segments, and the substrings with which it probes besides."""
+    own, other = [], []
     for delta, i, shift in _probes(tau):
         length = size - delta
-        longer = length % (tau + 1)
-        extra = F.greatest(F.lit(0), F.lit(i - (tau + 1)) + longer)
-        start = F.floor(length / (tau + 1)) * i + extra + shift
-        width = F.floor(length / (tau + 1)) + F.when(F.lit(i) >= F.lit(tau + 1) - longer, 1).otherwise(0)
-        part = F.substr(line, (start + 1).cast("int"), width.cast("int"))
-        keys.append(F.xxhash64(length.cast("int"), F.lit(i), part))
-    return F.array(*keys)
+        longer = F.pmod(length, F.lit(tau + 1))
+        width = ((length - longer) / (tau + 1)).cast("int")
+        start = width * i + F.greatest(F.lit(0), longer + (i - (tau + 1))) + shift
+        part = F.substr(line, (start + 1).cast("int"), (width + F.when(longer >= tau + 1 - i, 1).otherwise(0)).cast("int"))
+        (other if delta or shift else own).append(F.xxhash64(length, F.lit(i), part))
+    return F.array(*own), F.array(*other)
 
 
 def _sketch(line: Column) -> Column:
@@ -135,17 +137,32 @@ def edit_distance_within(a: Column, b: Column, tau: int) -> Column:
     return F.transform(both, lambda s: run(s["p"], s["t"]))[0]
 
 
-def _earlier(pairs: DataFrame, tau: int) -> DataFrame:
-    """Ids of the later lines among pairs within ``tau``."""
-    near = pairs.where(edit_distance_within(F.col("x_line"), F.col("y_line"), tau) <= tau)
-    return near.select(F.col("y_id").alias("id")).distinct()
-
-
 def _differing(tau: int) -> Column:
     bits = F.bit_count(F.col("x_sketch").bitwiseXOR(F.col("y_sketch")))
     return (F.abs(F.col("x_size") - F.col("y_size")) <= tau) & (bits <= 4 * tau)
 
 
+def _close(tau: int) -> Column:
+    return edit_distance_within(F.col("x_line"), F.col("y_line"), tau) <= tau
+
+
+def _sides(placed: DataFrame, gone: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Earlier lines ``x_`` and later ones ``y_`` that are not gone yet, of every key that has any.
+
+    The members of a key, by their order, fall into chunks of ``CHUNK``; every pair of chunks
+    is a group ``(key, i, j)`` of its own, so that no task compares all of a hot key.
+    """
+    left = placed.where("id <> lead.id").join(gone, "id", "left_anti")  # none comes before the first of a key
+    last = left.groupBy("key").agg(F.max("chunk").alias("last"))
+    x = placed.join(last, "key").withColumn("j", F.explode(F.sequence("chunk", F.greatest("chunk", "last"))))
+    y = left.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("chunk")))).withColumnRenamed("chunk", "j")
+    sides = []
+    for name, side in (("x", x.withColumnRenamed("chunk", "i")), ("y", y)):
+        lined = side.drop("lead").join(texts.select("id", "line"), "id")
+        sides.append(lined.select(*[F.col(c).alias(f"{name}_{c}") for c in ("key", "i", "j", "id", "first", "own", "size", "sketch", "line")]))
+    return sides[0], sides[1]
+
+
 def removed_lines(docs: DataFrame, id_col: str, text_col: str, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """``(id, removed)``: the numbers, from 0, of the lines that go, for documents that lose any."""
     spark = docs.sparkSession
@@ -164,11 +181,19 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, tau: int = TAU, m
     sent = sized.join(F.broadcast(heavy), F.col("id") == F.col("h_id"), "left").where(
         F.col("h_first").isNull() | at.eqNullSafe(F.col("h_first"))
     )
-    keys = sent.select("id", F.explode(_keys(F.col("line"), F.col("size"), tau)).alias("key"))
-    run = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    shared = written(keys.withColumn("lead", F.first("id").over(run)).where("id <> lead").distinct())
+    index, probes = _keys(F.col("line"), F.col("size"), tau)
+    # Worked out in a projection, where what the keys share is computed once, and then spread.
+    keyed = sent.select("id", index.alias("index"), probes.alias("probes"))
+    entry = F.transform(F.concat("index", "probes"), lambda k, i: F.struct(k.alias("key"), (i <= tau).alias("own")))
+    keys = keyed.select("id", F.explode(entry).alias("k")).select("id", "k.*")
+    # Index entries first: a group counts if it has one. Two lines close to each other always
+    # meet where one of them, the shorter, has an index entry.
+    run = Window.partitionBy("key").orderBy(F.desc("own"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    led = keys.withColumn("lead", F.first(F.struct("id", "own")).over(run)).where("lead.own and id <> lead.id")
+    shared = written(led.groupBy("key", "id").agg(F.max("own").alias("own"), F.min("lead.id").alias("lead")))
     release(spark)
-    members = shared.select("key", "id").union(shared.select("key", F.col("lead").alias("id"))).distinct()
+    leads = shared.select("key", F.col("lead").alias("id"), F.lit(True).alias("own")).distinct()
+    members = shared.select("key", "id", "own").union(leads)
     involved = members.select("id").distinct()
     first = firsts.groupBy("id").agg(F.min("first").alias("first"))
     texts = written(
@@ -180,26 +205,25 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, tau: int = TAU, m
         .select("*", F.length("line").alias("size"), _sketch(F.col("line")).alias("sketch"))
     )
     release(spark)
-    members = written(members.join(texts.drop("line"), "id"))
-    x = members.select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "first", "size", "sketch")])
     x_lines = texts.select(F.col("id").alias("x_id"), F.col("line").alias("x_line"))
     y_lines = texts.select(F.col("id").alias("y_id"), F.col("line").alias("y_line"))
-    order = Window.partitionBy("key").orderBy("first", "id").rowsBetween(Window.unboundedPreceding, 0)
-    lead = F.first(F.struct("id", "size", "sketch")).over(order)
-    star = members.withColumn("lead", lead).where("id <> lead.id").select(
+    order = Window.partitionBy("key").orderBy("first", "id")
+    lead = F.first(F.struct("id", "own", "size", "sketch")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    chunk = F.floor((F.row_number().over(order) - 1) / CHUNK).cast("int")
+    placed = written(members.join(texts.drop("line"), "id").withColumn("lead", lead).withColumn("chunk", chunk))
+    star = placed.where("id <> lead.id and (own or lead.own)").select(
         *[F.col(f"lead.{c}").alias(f"x_{c}") for c in ("id", "size", "sketch")],
         *[F.col(c).alias(f"y_{c}") for c in ("id", "size", "sketch")],
     )
     star = star.where(_differing(tau)).select("x_id", "y_id").distinct()
-    gone = written(_earlier(star.join(x_lines, "x_id").join(y_lines, "y_id"), tau))
-    rest = members.join(gone, "id", "left_anti").select(
-        F.col("key").alias("y_key"), *[F.col(c).alias(f"y_{c}") for c in ("id", "first", "size", "sketch")]
-    )
-    across = x.join(
-        rest, (F.col("key") == F.col("y_key")) & (F.col("x_first") < F.col("y_first")) & _differing(tau)
-    ).select("x_id", "y_id")
-    across = across.distinct().join(x_lines, "x_id").join(y_lines, "y_id")
-    close = gone.union(_earlier(across, tau)).withColumn("close", F.lit(True))
+    star = star.join(x_lines, "x_id").join(y_lines, "y_id").where(_close(tau))
+    gone = written(star.select(F.col("y_id").alias("id")).distinct())
+    # The others are held against all earlier members of their groups, and go at the first hit.
+    x, y = _sides(placed, gone, texts)
+    meets = (F.col("x_first") < F.col("y_first")) & (F.col("x_own") | F.col("y_own")) & _differing(tau)
+    group = [F.col(f"x_{c}") == F.col(f"y_{c}") for c in ("key", "i", "j")]
+    later = y.join(x.hint("merge"), [*group, meets & _close(tau)], "left_semi")
+    close = gone.union(later.select(F.col("y_id").alias("id"))).distinct().withColumn("close", F.lit(True))
     verdict = written(firsts.drop("times").join(close, "id", "left"))
     judged = occurrences.join(verdict, ["id", "check"])
     out = judged.where(F.coalesce("close", F.lit(False)) | ~at.eqNullSafe(F.col("first")))
