@@ -22,6 +22,28 @@ def test_parity_on_random_texts():
     assert sp.parity(["".join(rng.choice(letters) for _ in range(rng.randint(0, 200))) for _ in range(500)]) == []
 
 
+def test_words_are_held_against_the_original_library():
+    import sentencepiece
+
+    data = sp._model_bytes(sp.MODEL)
+    original = sentencepiece.SentencePieceProcessor(model_proto=data)
+    codec = sp.Codec(data)
+    codec.original = original
+    texts = [*SPECIAL, "one two three", "two more words", "x" * 300]
+    assert [codec.agrees(t, r) for t, r in zip(texts, codec.encode(texts), strict=True)] == [True] * len(texts)
+    assert codec.odd == set()
+
+    class Other:
+        def encode(self, texts, num_threads=1):
+            found = original.encode(texts)
+            return found if isinstance(texts, str) else [[*ids, 5] if t == "two" else ids for t, ids in zip(texts, found, strict=True)]
+
+    codec = sp.Codec(data)
+    codec.original = Other()
+    texts = ["one two three", "one three", "two", " two "]
+    assert [codec.agrees(t, r) for t, r in zip(texts, codec.encode(texts), strict=True)] == [False, True, False, True]
+
+
 def test_ids_in_any_order_decode_like_the_library():
     codec, rng = sp._codec(sp._model_bytes(sp.MODEL)), random.Random(8)
     rows = [[rng.randrange(3, 32_000) if rng.random() < 0.7 else rng.randrange(0, 259) for _ in range(rng.randint(0, 9))] for _ in range(500)]
