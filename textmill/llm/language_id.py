@@ -11,13 +11,15 @@ The lexicon counts every labelled training text, in one aggregation. Weights and
 transitions are fitted by gradient steps on the likelihood of a sample of about
 ``SAMPLE`` whole training texts per language, picked by a hash of their id; they are chained
 one after another, so that changes of language occur in training too. Chains are cut every
-``CHAIN`` words, which bounds memory and lets forward-backward run over all chains at once.
+``CHAIN`` words, and forward-backward runs over ``BLOCK_CHAINS`` of them at once, which bounds
+memory beside the sample's own words.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +33,7 @@ from textmill.llm.words import BASE, U64, mix
 
 SAMPLE = 400
 CHAIN = 64
+BLOCK_CHAINS = 2048
 FEATURES = 1 << 15
 LEXICON = 1 << 14
 STEPS = 30
@@ -175,38 +178,63 @@ def _chained(numbers: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nd
     return chain, place, np.bincount(chain)
 
 
-def fit(texts: list[list[str]], tags: list[int], labels: list[str], lexicon: np.ndarray) -> Chain:
+def _numbered(texts: Iterable[list[str]], tags: list[int]) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
+    """The words of all texts by number, and the label of each; texts may come from a generator and are not kept."""
+    known = Vocabulary()
+    numbers, sizes = [np.zeros(0, np.int32)], []
+    for words in texts:
+        numbers.append(np.array([known[w] for w in words], np.int32))
+        sizes.append(len(words))
+    return known, np.concatenate(numbers), np.repeat(np.array(tags, np.int16), sizes)
+
+
+def _expected(model: Chain, emission: np.ndarray, numbers: np.ndarray, gold: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
+    """What the labels have over what the model expects: by word and label, by transition, by first label.
+
+    The run of words is cut into chains of CHAIN words; a block of chains is worked on at a
+    time, so that memory follows the block and not the sample.
+    """
+    labels = len(model.labels)
+    by_word = np.zeros(words * labels)
+    pairs, first = np.zeros((labels, labels)), np.zeros(labels)
+    for low in range(0, len(numbers), BLOCK_CHAINS * CHAIN):
+        own, tag = numbers[low : low + BLOCK_CHAINS * CHAIN], gold[low : low + BLOCK_CHAINS * CHAIN]
+        chain, place, lengths = _chained(own, np.array([0]))
+        score = np.zeros((len(lengths), int(lengths.max()), labels))
+        score[chain, place] = emission[own]
+        marginal, expected, _ = forward_backward(score, lengths, model.moves, model.start)
+        off = -marginal[chain, place]
+        off[np.arange(len(own)), tag] += 1
+        cells = (own.astype(np.int64)[:, None] * labels + np.arange(labels)).reshape(-1)
+        by_word += np.bincount(cells, off.reshape(-1), words * labels)
+        same = chain[1:] == chain[:-1]
+        pairs += np.bincount(tag[:-1][same].astype(np.int64) * labels + tag[1:][same], minlength=labels * labels).reshape(labels, labels)
+        pairs -= expected
+        first += off[place == 0].sum(axis=0)
+    return by_word.reshape(words, labels), pairs, first
+
+
+def fit(texts: Iterable[list[str]], tags: list[int], labels: list[str], lexicon: np.ndarray) -> Chain:
     """Fit weights and transitions to texts of one language each, chained in their order."""
     model = Chain(
         labels, np.zeros((FEATURES, len(labels))), lexicon, 0.1, np.zeros((len(labels),) * 2), np.zeros(len(labels))
     )
-    known = Vocabulary()
-    numbers = np.array([known[w] for t in texts for w in t], np.int64)
-    gold = np.repeat(np.array(tags), [len(t) for t in texts])
+    known, numbers, gold = _numbered(texts, tags)
     if not len(numbers) or len(labels) < 2:
         return model
     flat, owner, buckets = _sparse(list(known))
-    chain, place, lengths = _chained(numbers, np.array([0]))
-    score = np.zeros((len(lengths), min(CHAIN, int(lengths.max())), len(labels)))
-    truth = np.zeros_like(score)
-    truth[chain, place, gold] = 1
-    same = chain[1:] == chain[:-1]
-    seen = np.zeros_like(model.moves)
-    np.add.at(seen, (gold[:-1][same], gold[1:][same]), 1)
-    first = truth[:, 0].sum(axis=0)
+    size, total = len(known), len(numbers)
+    del known
     squares = [np.full_like(x, 1e-8) for x in (model.weights, model.moves, model.start)]
-    trust_square, total = 1e-8, len(numbers)
+    trust_square = 1e-8
     for _ in range(STEPS):
         emission = _scores(model, flat, owner, buckets)
-        score[chain, place] = emission[numbers]
-        marginal, pairs, _ = forward_backward(score, lengths, model.moves, model.start)
-        off = (truth - marginal)[chain, place]
-        by_word = np.stack([np.bincount(numbers, off[:, y], len(known)) for y in range(len(labels))], axis=1)
+        by_word, pairs, first = _expected(model, emission, numbers, gold, size)
         slope = np.stack(
             [np.bincount(flat, by_word[owner, y], FEATURES) for y in range(len(labels))], axis=1
         ) / total - 1e-7 * model.weights
         trust = float((by_word * lexicon[buckets]).sum()) / total
-        slopes = (slope, (seen - pairs) / total - 1e-5 * model.moves, (first - marginal[:, 0].sum(axis=0)) / total)
+        slopes = (slope, pairs / total - 1e-5 * model.moves, first / total)
         for value, by, square, rate in zip(
             (model.weights, model.moves, model.start), slopes, squares, (0.2, 0.5, 0.2), strict=True
         ):
@@ -330,10 +358,12 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: in
         share = F.col("lang") == label
         share = share & (spread < sample / sizes[label])
         chosen = share if chosen is None else chosen | share
-    picked = rows.where(chosen).select("id", "text", "lang").collect() if labels else []
-    picked.sort(key=lambda r: (zlib.crc32(str(r.id).encode()), str(r.id), r.lang, r.text))
+    picked = rows.where(chosen).select("id", "text", "lang").toArrow().to_pylist() if labels else []
+    # The last comes first, so that texts can be dropped from the end as they are numbered.
+    picked.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), str(r["id"]), r["lang"], r["text"]), reverse=True)
     at = {label: y for y, label in enumerate(labels)}
-    return fit([words_of(r.text) for r in picked], [at[r.lang] for r in picked], labels, lexicon)
+    tags = [at[r["lang"]] for r in reversed(picked)]
+    return fit((words_of(picked.pop()["text"]) for _ in tags), tags, labels, lexicon)
 
 
 def _tagged(parts, at_column: int):
