@@ -1,3 +1,4 @@
+import random
 import zipfile
 
 import pytest
@@ -8,7 +9,8 @@ from textmill.operators.embed import HashEmbedder
 from textmill.options import JobOptions, Limits
 from textmill.plans.corpus import process_folder, run
 from textmill.sources.archives import archive_policy, read_manifest, read_members
-from textmill.sources.delimited import delimiter_profile, header_names, read_delimited, read_delimited_cells
+from textmill.sources.delimited import delimiter_profile, read_delimited, read_delimited_cells
+from textmill.sources.fields import records
 from textmill.sources.files import discover, extension, read_bytes, read_text, route
 from textmill.sources.tables import read_tables
 from textmill.streaming.ingest import ingest, stream_text
@@ -84,6 +86,99 @@ def test_delimited(spark, tmp_path):
     assert header_names(["a", None, "a", "a"]) == ["a", "Unnamed: 1", "a.1", "a.2"]
 
 
+def header_names(cells):
+    """Blanks get their position, repeats the first free running number."""
+    out = []
+    for i, cell in enumerate(cells):
+        name, n = cell or f"Unnamed: {i}", 0
+        while (f"{name}.{n}" if n else name) in out:
+            n += 1
+        out.append(f"{name}.{n}" if n else name)
+    return out
+
+
+@pytest.fixture
+def tiny_splits(spark, tiny_blocks):
+    """Splits of about a hundred bytes, blocks of four lines."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def parsed(text):
+    """Rows of a table by the rules, a character at a time."""
+    text = text.replace("\x00", "").removeprefix("\ufeff")
+    quotes, total, rows, record = 0, text.count('"'), [], ""
+    for char in text:
+        quotes += char == '"'
+        if char in "\r\n" and (quotes % 2 == 0 or quotes == total):
+            rows.append(record)
+            record = ""
+        else:
+            record += char
+    return [r for r in [*rows, record] if r]
+
+
+def cells_by_place(rows, name):
+    """Cells of a file's rows in order, whatever their numbers are."""
+    return [[(c.name, c.val) for c in r.cells] for r in sorted(rows, key=lambda r: r.row_idx) if r.source_file.endswith(name)]
+
+
+def odd_tables(rng, count):
+    alphabet = ["a", "bb", '"', '""', "\n", "\r\n", "\r", ",", ",", ";", "ş", " ", '"x\ny"', '"p,q\r\n"', "1", "NA", "\x00"]
+    tables = {}
+    for i in range(count):
+        head = rng.choice(["a,b\n", "x;y;z\r\n", '"h\nx",k\r', "one\n", ""])
+        body = "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 3, 40, 300])))
+        rows = "".join(rng.choice(['1,"two\nlines"\n', "3,4\r\n", '"a""b",c\r', ";;\n", '"never closed,\n']) for _ in range(rng.choice([0, 2, 30])))
+        code = rng.choice(["utf-8", "utf-8", "utf-8-sig", "cp1254", "utf-16"])
+        tables[f"{rng.choice(['t', 'a b', 'p%20q', 'x+y', 'ü', '[z]'])}-{i}.csv"] = (head + body + rows).encode(code)
+    return tables
+
+
+def test_split_files_give_the_rows_of_whole_values(spark, tmp_path, tiny_splits):
+    tables = odd_tables(random.Random(4), 60)
+    tables["marks.csv"] = b"\xff\xfe" + "a,b\n1,\u0a41\u3000x\n".encode("utf-16-le")
+    tables["latin9.csv"] = b"a,b\n\xdd\x81,1\nplain,2\n"
+    for name, content in tables.items():
+        (tmp_path / name).write_bytes(content)
+    got = read_delimited_cells(spark, str(tmp_path)).collect()
+    values = spark.createDataFrame(list(tables.items()), "source_file string, content binary")
+    want = read_tables(values).collect()
+    assert len({(r.source_file, r.row_idx) for r in got}) == len(got)
+    for name in tables:
+        assert cells_by_place(got, "/" + name) == cells_by_place(want, name), name
+    assert len(got) > 300
+
+
+def test_records_end_outside_quotes(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice('ab"\n\r,') for _ in range(rng.randint(0, 25))) for _ in range(800)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.select("i", records(F.col("t")).alias("got")).collect():
+        assert r.got == parsed(texts[r.i]), texts[r.i]
+
+
+def test_long_cells_cross_many_splits(spark, tmp_path, tiny_splits):
+    cell = "\n".join(f"line {i}, still the cell" for i in range(400))
+    quoted = cell.replace('"', '""')
+    (tmp_path / "t.csv").write_text(f'id,text\n1,"{quoted}"\n2,short\n3,"{quoted}"\n4,"open {quoted}\n')
+    rows = read_delimited(spark, str(tmp_path)).orderBy("row_idx").collect()
+    assert [(r.id, r.text) for r in rows][:3] == [("1", cell), ("2", "short"), ("3", cell)]
+    assert rows[3].id == "4" and rows[3].text.startswith('open line 0') and len(rows) == 4 + 399
+
+
+def test_many_headers_are_one_plan(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"{i}.csv").write_text(f"c{i},d{i};e\n{i},x\n" if i % 2 else f"c{i};d{i}\n{i};y\n")
+    rows = read_delimited_cells(spark, str(tmp_path))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Relation") < 6
+    got = {r.cells[0].name: r.cells[0].val for r in rows.collect()}
+    assert got == {f"c{i}": str(i) for i in range(300)}
+
+
 def test_row_order_of_split_files(spark, tmp_path):
     path = tmp_path / "n.csv"
     path.write_text("n,m\n" + "".join(f"{i},x\n" for i in range(20000)), encoding="utf-8")
@@ -165,16 +260,6 @@ def test_members_of_equal_names_stay_apart(spark, tmp_path):
     assert len({r.source_file for r in bad.collect()}) == 2
 
 
-def test_large_tables_are_read_in_splits(spark, tmp_path, monkeypatch):
-    from textmill.plans import corpus
-
-    (tmp_path / "t.csv").write_text("id,name\n" + "".join(f"{i},n{i}\n" for i in range(300)))
-    want = {r.text for r in process_folder(spark, str(tmp_path))[0].collect()}
-    monkeypatch.setattr(corpus, "SPLIT_BYTES", 1)
-    got = process_folder(spark, str(tmp_path))[0].collect()
-    assert {r.text for r in got} == want and sorted(r.chunk_index for r in got) == list(range(300))
-
-
 def test_delimiter_profile(spark):
     lines = [("a", "1;2;3"), ("a", "4;5;6"), ("a", '"x,y";7;8,9'), ("b", "one"), ("c", "a|b,c"), ("c", "d|e")]
     got = {r.source_file: (r.sep, r.n_fields) for r in delimiter_profile(spark.createDataFrame(lines, "source_file string, line string")).collect()}

@@ -23,7 +23,7 @@ def differences(codec: str) -> tuple[str, str]:
 
 
 # Bytes windows-1254 does not define; a text with one of them is read as iso-8859-9.
-_UNDEFINED_1254 = r"[\x81\x8d\x8e\x8f\x90\x9d\x9e]"
+UNDEFINED_1254 = r"[\x81\x8d\x8e\x8f\x90\x9d\x9e]"
 
 
 def decode_text(content: Column | str) -> Column:
@@ -33,7 +33,7 @@ def decode_text(content: Column | str) -> Column:
     latin = F.decode(raw, "ISO-8859-1")
     return (
         F.when(F.is_valid_utf8(as_utf8), as_utf8)
-        .when(latin.rlike(_UNDEFINED_1254), F.translate(latin, *differences("iso8859_9")))
+        .when(latin.rlike(UNDEFINED_1254), F.translate(latin, *differences("iso8859_9")))
         .otherwise(F.translate(latin, *differences("cp1254")))
     )
 

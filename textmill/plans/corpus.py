@@ -20,9 +20,6 @@ from textmill.sources.tables import read_tables
 
 READABLE = (".txt", ".csv")
 
-#: From this size on a table is read in splits. A file handled as one value cannot exceed 2 GB.
-SPLIT_BYTES = 64 * 1024 * 1024
-
 
 def _no_reader(files: DataFrame) -> DataFrame:
     """Accepted formats this library does not parse are errors, not silently left out."""
@@ -70,10 +67,9 @@ def process_folder(
         return own.unionByName(members.where(F.col("file_ext") == ext).select("source_file", "content"))
 
     texts = files(".txt").select("source_file", decode_text("content").alias("text"))
-    # Large tables are cut at their lines; of the others every file is one value.
-    large = [r.path for r in found.where((F.col("file_ext") == ".csv") & (F.col("length") >= SPLIT_BYTES)).select("path").collect()]
-    small = files(".csv").where(~F.col("source_file").isin(large)) if large else files(".csv")
-    cells = read_tables(small).unionByName(read_delimited_cells(spark, large))
+    # Tables on storage are cut at their records, whatever their size; members are values.
+    own = read_delimited_cells(spark, path, glob="*.[cC][sS][vV]", max_bytes=options.limits.max_file_bytes)
+    cells = own.unionByName(read_tables(members.where(F.col("file_ext") == ".csv").select("source_file", "content")))
     # Parsed once; the table passes then read columns instead of parsing files again.
     tables = materialize(cells)
     rows, bad_tables = chunk_tables(tables, options, ".csv")

@@ -1,8 +1,8 @@
 """Delimited files of any header to rows with a ``cells`` column (A4, A5).
 
-For corpora of many files or archive members with different headers: the file is
-one value and is cut into records and fields by expressions, so that all files share
-one plan. Large files are better read by ``delimited.read_delimited``, which splits them.
+For files that are values anyway, such as members of archives: a file is cut into records
+and fields by expressions. ``delimited.read_delimited_cells`` gives the same rows of files
+on storage, which it splits.
 """
 
 from __future__ import annotations
@@ -12,13 +12,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions.charset import decode_table
 from textmill.functions.columns import let
-from textmill.operators.row_text import missing_to_null
-from textmill.sources.delimited import DELIMITERS, QUOTED, RECORD
-
-
-def records(text: Column) -> Column:
-    """Non-empty records of a delimited text."""
-    return F.regexp_extract_all(text, F.lit(RECORD), F.lit(0))
+from textmill.sources.fields import DELIMITERS, QUOTED, column_names, cut_rows, fields, records
 
 
 def detect_delimiter(text: Column) -> Column:
@@ -63,33 +57,6 @@ def detect_delimiter(text: Column) -> Column:
     return let(records(text), of)
 
 
-def fields(record: Column, sep: Column) -> Column:
-    """Fields of a record without their quotes; an empty one is the empty string."""
-    s = F.concat(F.lit(r"\Q"), sep, F.lit(r"\E"))
-    pattern = F.concat(F.lit('"(?:[^"]++|"")*+"?+(?:(?!'), s, F.lit(").)*+|(?:(?!"), s, F.lit(").)*+"))
-    # With a separator in front every field is introduced by one, also an empty one.
-    found = F.regexp_extract_all(F.concat(sep, record), F.concat(s, F.lit("((?s:"), pattern, F.lit("))")), F.lit(1))
-    plain = lambda f: F.replace(F.regexp_replace(f, r'(?s)\A"(.*?)"?\z', "$1"), F.lit('""'), F.lit('"'))
-    return F.transform(found, lambda f: F.when(f.startswith('"'), plain(f)).otherwise(f))
-
-
-def column_names(header: Column) -> Column:
-    """Names from a header record: blanks get their position, repeats the first free running number.
-
-    All names differ, as ``delimited.header_names`` makes them.
-    """
-    blank = lambda h, i: F.when(h == "", F.concat(F.lit("Unnamed: "), i.cast("string"))).otherwise(h)
-
-    def add(out: Column, name: Column) -> Column:
-        numbered = F.transform(
-            F.sequence(F.lit(1), F.size(out) + 1), lambda n: F.concat(name, F.lit("."), n.cast("string"))
-        )
-        free = F.filter(numbered, lambda n: ~F.array_contains(out, n))[0]
-        return F.array_append(out, F.when(F.array_contains(out, name), free).otherwise(name))
-
-    return F.aggregate(F.transform(header, blank), F.array().cast("array<string>"), add)
-
-
 def read_tables(files: DataFrame, *keep: str) -> DataFrame:
     """``(source_file, row_idx, cells)`` of ``files(source_file, content)``.
 
@@ -101,12 +68,5 @@ def read_tables(files: DataFrame, *keep: str) -> DataFrame:
     head = cut.withColumn("_names", let(fields(F.get("_records", F.lit(0)), F.col("_sep")), column_names))
     rows = head.select(
         "source_file", *keep, "_sep", "_names", F.posexplode(F.slice("_records", 2, F.greatest(F.size("_records"), F.lit(1)))).alias("row_idx", "_record")
-    ).withColumn("_fields", fields(F.col("_record"), F.col("_sep")))
-    cells = F.transform(
-        "_names", lambda n, i: F.struct(n.alias("name"), missing_to_null(F.get(F.col("_fields"), i)).alias("val"))
-    )
-    return (
-        rows.where(F.size("_fields") <= F.size("_names"))
-        .select("source_file", F.col("row_idx").cast("bigint"), cells.alias("cells"), *keep)
-        .where(F.exists("cells", lambda c: c["val"].isNotNull()))
     )
+    return cut_rows(rows, *keep)

@@ -554,6 +554,7 @@ UNION ALL SELECT source_file, 0, NULL, NULL, error_code FROM bad""",
     "decode_text": r"""
 SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text
   ELSE translate(regexp_replace(text, '[^\x00-\x{ff}]', '?', 'g'), 'ÐÝÞðýþ', 'ĞİŞğış') END AS text FROM documents""",
+    "spanning_cells": """SELECT doc_id::VARCHAR AS doc_id, text, lang || ', "' || source || '"' AS origin FROM documents""",
     "delimiter_profile": """
 SELECT o_orderpriority AS source_file, ([',', ';', chr(9), '|', ','])[substr(o_orderpriority, 1, 1)::INTEGER] AS sep, 3 AS n_fields,
   1.0::DOUBLE AS share FROM orders GROUP BY o_orderpriority""",

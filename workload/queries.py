@@ -638,6 +638,14 @@ def delimited_round_trip(spark, sf_dir):
     return rows.select("p_partkey", "p_label", "p_type", "p_size")
 
 
+def spanning_cells(spark, sf_dir):
+    """Documents written as delimited text, line breaks in their cells, and read back in splits."""
+    path = f"{work_dir(spark)}/documents.csv"
+    d = documents(spark, sf_dir).select("doc_id", "text", F.concat("lang", F.lit(', "'), "source", F.lit('"')).alias("origin"))
+    d.write.options(header="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+    return delimited.read_delimited(spark, path).select("doc_id", "text", "origin")
+
+
 def incremental_ingest(spark, sf_dir):
     """The documents as a stream of files, chunked by the batch plan."""
     out = work_dir(spark)
@@ -709,6 +717,7 @@ QUERIES = {
     "base64_export": base64_export,
     "decode_text": decode_text_query,
     "delimiter_profile": delimiter_profile,
+    "spanning_cells": spanning_cells,
     "archive_policy": archive_policy,
     "archive_errors": archive_errors,
     "page_concat": page_concat,
