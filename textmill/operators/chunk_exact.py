@@ -2,7 +2,7 @@
 
 Each chunk's end depends on where the one before ended and on token counts of
 arbitrary slices, so one document is a sequential walk. Spark finds the sentence
-boundaries and keeps the documents that fit away from Python; the walk runs per
+boundaries and counts the documents that fit; the walk of the others runs per
 document in Arrow batches and any number of documents runs side by side.
 """
 
@@ -115,15 +115,15 @@ def chunk_exact(
 ) -> DataFrame:
     """``(source_file, *keep, chunk_index, text, token_count)`` of ``docs(source_file, text)``.
 
-    Documents that fit are one chunk by an expression; only the others go to Python, with
-    their sentence lengths, and are walked. With ``failures`` a document whose walk fails is
-    one row without text that says why in ``failure``; otherwise it ends the job.
+    Documents that fit are one chunk by an expression and only pass through Python; the others
+    come with their sentence lengths and are walked. With ``failures`` a document whose walk
+    fails is one row without text that says why in ``failure``; otherwise it ends the job.
     """
     columns = ["source_file", *keep]
     counted = docs.select(*columns, strip("text").alias("text")).withColumn("token_count", counter.count("text").cast("int"))
-    fitting = counted.where((F.col("token_count") <= max_tokens) & (F.col("text") != ""))
-    whole = fitting.select(*columns, F.lit(0).alias("chunk_index"), "text", "token_count")
-    prepared = counted.where(F.col("token_count") > max_tokens).withColumn("lengths", sentence_lengths("text"))
+    over = F.col("token_count") > max_tokens
+    # One pass for both kinds: a union of two branches would read and count every document twice.
+    prepared = counted.where(F.col("text") != "").withColumn("lengths", F.when(over, sentence_lengths("text")))
     make_meter = counter.meter()
     names = [*columns, "chunk_index", "text", "token_count", *(["failure"] if failures else [])]
 
@@ -131,8 +131,14 @@ def chunk_exact(
         meter = make_meter()
         none = (None,) if failures else ()
         for batch in batches:
+            fits = batch["token_count"] <= max_tokens
+            whole = batch[fits].drop(columns="lengths").assign(chunk_index=0)
+            if failures:
+                whole["failure"] = None
+            if len(whole):
+                yield whole[names]
             found: list[tuple] = []
-            for *key, text, _, lengths in batch.itertuples(index=False):
+            for *key, text, _, lengths in batch[~fits].itertuples(index=False):
                 try:
                     bounds = np.cumsum(lengths, dtype=np.int64)
                     found += [(*key, i, *chunk, *none) for i, chunk in enumerate(walk(text, bounds, max_tokens, overlap, meter))]
@@ -149,9 +155,8 @@ def chunk_exact(
     produced = [("chunk_index", T.IntegerType()), ("text", T.StringType()), ("token_count", T.IntegerType())]
     if failures:
         produced.append(("failure", T.StringType()))
-        whole = whole.withColumn("failure", F.lit(None).cast("string"))
     schema = T.StructType([counted.schema[c] for c in columns] + [T.StructField(n, t) for n, t in produced])
-    return whole.unionByName(prepared.mapInPandas(run, schema))
+    return prepared.mapInPandas(run, schema)
 
 
 def sentence_ends(docs: DataFrame, key: str = "source_file", text: str = "text") -> DataFrame:

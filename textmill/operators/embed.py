@@ -58,15 +58,19 @@ class HashEmbedder:
     dimension: int = 64
 
     def expression(self, text: Column | str, max_length: int | None = None) -> Column:
+        # A letter per slot: a text becomes a string of them, whose letters are counted.
+        letters = "".join(chr(0x100 + k) for k in range(self.dimension))
+
         def slot(word: Column) -> Column:
             number = F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("bigint")
-            return (number % self.dimension).cast("int")
+            return F.substr(F.lit(letters), (number % self.dimension + 1).cast("int"), F.lit(1))
 
         def counts(slots: Column) -> Column:
-            rest = lambda k: F.size(slots) - F.size(F.array_remove(slots, k))
-            return F.transform(F.sequence(F.lit(0), F.lit(self.dimension - 1)), lambda k: rest(k).cast("float"))
+            size = F.length(slots)
+            rest = lambda c: F.length(F.replace(slots, F.lit(c), F.lit("")))
+            return F.array(*[(size - rest(c)).cast("float") for c in letters])
 
-        return let(F.transform(words(as_column(text)), slot), counts)
+        return let(F.array_join(F.transform(words(as_column(text)), slot), ""), counts)
 
 
 @dataclass(frozen=True)

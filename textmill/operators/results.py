@@ -42,24 +42,15 @@ def file_results(
     """
     keys = [F.col(file).alias("filename"), F.col("source_file").alias("member"), part_of(size=size)]
     vectors = "embedding" in chunks.columns
-    entry = [F.col("chunk_index"), chunk_result().alias("chunk"), *([F.col("embedding")] if vectors else [])]
-    grouped = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*entry)), by_index).alias("_rows"))
+    entry = F.struct("chunk_index", chunk_result().alias("chunk"), *(["embedding"] if vectors else []))
+    entries = chunks.select(*keys, entry.alias("_entry"))
+    if files is not None:
+        # Names join the grouping without an entry, which leaves the chunks to be made once.
+        kind = entries.schema["_entry"].dataType
+        entries = entries.union(files.select("filename", "member", F.lit(0).alias("part"), F.lit(None).cast(kind).alias("_entry")))
+    grouped = entries.groupBy("filename", "member", "part").agg(F.array_sort(F.collect_list("_entry"), by_index).alias("_rows"))
     embeddings = F.col("_rows.embedding") if vectors else F.lit(None).cast("array<array<float>>")
-    nested = grouped.select("filename", "member", "part", F.col("_rows.chunk").alias("chunks"), embeddings.alias("embeddings"))
-    if files is None:
-        return nested
-    # Only the names of files with chunks are joined, a row per part.
-    empty = files.select("filename", "member").distinct().join(nested.select("filename", "member").distinct(), ["filename", "member"], "left_anti")
-    kinds = dict(nested.dtypes)
-    return nested.unionByName(
-        empty.select(
-            "filename",
-            "member",
-            F.lit(0).alias("part"),
-            F.array().cast(kinds["chunks"]).alias("chunks"),
-            (F.array() if vectors else F.lit(None)).cast(kinds["embeddings"]).alias("embeddings"),
-        )
-    )
+    return grouped.select("filename", "member", "part", F.col("_rows.chunk").alias("chunks"), embeddings.alias("embeddings"))
 
 
 def by_index(a: Column, b: Column) -> Column:
