@@ -13,7 +13,8 @@ from textmill.sources.delimited import delimiter_profile, read_delimited, read_d
 from textmill.sources.fields import records
 from textmill.sources.files import discover, extension, read_bytes, read_text, route
 from textmill.sources.tables import read_tables
-from textmill.streaming.ingest import ingest, stream_text
+from textmill.streaming import ingest as streaming
+from textmill.streaming.ingest import ingest, ingest_folder, stream_text
 
 
 def test_extension_and_route(spark):
@@ -354,3 +355,32 @@ def test_stream_equals_batch(spark, tmp_path):
         got = spark.read.parquet(out)
         assert got.select("source_file").distinct().count() == 3 * (round_no + 1)
     assert got.count() == 12 and got.where("chunk_index = 1 and text = 'Three four five. Six.'").count() == 6
+
+
+def test_folder_stream_equals_the_batch_job_after_a_broken_batch(spark, folder, tmp_path, monkeypatch):
+    from textmill.plans import corpus
+
+    out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+    options = JobOptions(limits=Limits(max_file_bytes=4000))
+    (folder / "odd [1] {2}%20+.csv").write_text('a,b\n1,"two\nlines"\n3,4\n')
+    real, calls = corpus.process_folder, []
+
+    def breaks(session, names, *rest):
+        chunks, bad = real(session, names, *rest)
+        calls.append(names)
+        # The second batch is broken off after its chunks are written.
+        return chunks, (bad if len(calls) != 2 else bad.select(F.raise_error(F.lit("lost")).alias("source_file")))
+
+    monkeypatch.setattr(corpus, "process_folder", breaks)
+    with pytest.raises(Exception, match="lost"):
+        ingest_folder(spark, str(folder), out, mark, options, max_files=5).awaitTermination()
+    ingest_folder(spark, str(folder), out, mark, options, max_files=5).awaitTermination()
+    assert sorted(calls[1]) == sorted(calls[2])  # the broken batch came again
+    (folder / "later.txt").write_text("Comes later.")
+    ingest_folder(spark, str(folder), out, mark, options, max_files=5).awaitTermination()
+    chunks, bad = real(spark, str(folder), options)
+    columns = ["source_file", "chunk_index", "text", "token_count", "is_tabular", "container_file"]
+    for kind, want, by in (("chunks", chunks, columns), ("errors", bad, ["source_file", "error_code"])):
+        got = sorted(map(tuple, spark.read.parquet(f"{out}/{kind}").select(*by).collect()))
+        assert got == sorted(map(tuple, want.select(*by).collect())) and got
+    assert streaming._unglobbed("a[1]*") == "a\\[1\\]\\*"

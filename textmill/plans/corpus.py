@@ -31,7 +31,7 @@ def _no_reader(files: DataFrame) -> DataFrame:
     )
 
 
-def _members(spark: SparkSession, path: str, options: JobOptions) -> tuple[DataFrame, list[DataFrame]]:
+def _members(spark: SparkSession, path: str | list[str], options: JobOptions) -> tuple[DataFrame, list[DataFrame]]:
     """Members of the archives as files of their own."""
     archives = read_bytes(spark, path, ".zip", options.limits).select(F.col("path").alias("source_file"), "content")
     listed, broken = read_manifest(archives)
@@ -48,9 +48,9 @@ def _members(spark: SparkSession, path: str, options: JobOptions) -> tuple[DataF
 
 
 def process_folder(
-    spark: SparkSession, path: str, options: JobOptions = JobOptions(), embedder=None
+    spark: SparkSession, path: str | list[str], options: JobOptions = JobOptions(), embedder=None
 ) -> tuple[DataFrame, DataFrame]:
-    """Chunks of all files below ``path``, and the errors of those that failed.
+    """Chunks of all files below ``path`` (a folder, or several folders or files), and the errors of those that failed.
 
     Chunks carry the path of the file they came from as ``container_file``; their
     ``source_file``, like that of an error, is this path, or for an archive member the

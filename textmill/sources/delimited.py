@@ -266,7 +266,7 @@ def read_delimited_cells(
     become null and rows without any value go. ``glob`` and ``max_bytes`` leave files out by name
     and size. ``row_idx`` rises along a file and is unique in it.
     """
-    if isinstance(path, list) and not path:
+    if not path:
         return spark.createDataFrame([], f"source_file string, row_idx bigint, cells {CELLS}")
     rows, _ = _read(spark, path, sep, encoding, glob, max_bytes)
     return rows.withColumn("cells", F.col("cells").cast(CELLS))

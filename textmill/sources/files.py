@@ -45,7 +45,7 @@ def file_error(name: Column, size: Column, limits: Limits) -> Column:
     )
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
+def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(path, source_file, file_ext, length)`` of all files below ``path``, without reading them.
 
     A file is named by its path everywhere, as base names repeat.
@@ -54,14 +54,14 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("path").alias("source_file"), extension(F.col("path")).alias("file_ext"), "length")
 
 
-def discover(spark: SparkSession, path: str, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
+def discover(spark: SparkSession, path: str | list[str], limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """Accepted files with their branch, and the errors of the refused ones."""
     files = list_files(spark, path)
     good, bad = errors.split_errors(files, file_error(F.col("source_file"), F.col("length"), limits))
     return good.withColumn("branch", route(F.col("file_ext"))), bad
 
 
-def read_bytes(spark: SparkSession, path: str, ext: str, limits: Limits = Limits()) -> DataFrame:
+def read_bytes(spark: SparkSession, path: str | list[str], ext: str, limits: Limits = Limits()) -> DataFrame:
     """``(path, source_file, file_ext, content)`` of the files of one extension.
 
     Where a size limit is set, larger files are left out, which ``discover`` reports.
@@ -78,6 +78,6 @@ def read_bytes(spark: SparkSession, path: str, ext: str, limits: Limits = Limits
     return files.select("path", F.col("path").alias("source_file"), F.lit(ext).alias("file_ext"), "content")
 
 
-def read_text(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
+def read_text(spark: SparkSession, path: str | list[str], limits: Limits = Limits()) -> DataFrame:
     """Documents of the ``.txt`` files: ``(source_file, text, file_ext)``."""
     return read_bytes(spark, path, ".txt", limits).select("source_file", decode_text("content").alias("text"), "file_ext")

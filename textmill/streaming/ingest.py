@@ -1,7 +1,14 @@
-"""Incremental ingest (A12): the batch plans over a file stream."""
+"""Incremental ingest (A12): the batch plans over a file stream.
+
+``ingest`` appends the chunks of a stream of documents. ``ingest_folder`` takes files of all
+kinds: every micro-batch runs the folder job over its own files, tables and archives included,
+as a table's plan needs all of the table at once.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,3 +59,49 @@ def ingest(
         .option("checkpointLocation", checkpoint)
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def _unglobbed(path: str) -> str:
+    """A path that readers take as it is, whatever characters its name has."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def ingest_folder(
+    spark: SparkSession,
+    path: str,
+    out: str,
+    checkpoint: str,
+    options: JobOptions = JobOptions(),
+    embedder=None,
+    available_now: bool = True,
+    max_files: int = 1000,
+) -> StreamingQuery:
+    """Chunks and errors of all files that arrive below ``path``, as parquet in ``out/chunks`` and ``out/errors``.
+
+    The stream hands on names, of at most ``max_files`` files a batch; the batch reads them as
+    ``plans.corpus.process_folder`` does, large tables in splits. A batch writes to a folder of
+    its own number and replaces what is there. A batch broken off after any of its writes runs
+    again over the same files, which the checkpoint holds, and leaves every row once. A file is
+    taken when it appears; one that changes later is not taken again.
+    """
+    from textmill.plans.corpus import process_folder
+
+    files = (
+        spark.readStream.format("binaryFile")
+        .schema(BINARY_FILE)
+        .option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", max_files)
+        .load(path)
+        .select("path")
+    )
+
+    def write(batch: DataFrame, number: int) -> None:
+        names = [_unglobbed(r.path) for r in batch.collect()]  # at most max_files
+        if not names:
+            return
+        chunks, bad = process_folder(batch.sparkSession, names, options, embedder)
+        chunks.write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
+        bad.write.mode("overwrite").parquet(f"{out}/errors/batch={number}")
+
+    writer = files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
