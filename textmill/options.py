@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from textmill import errors
 from textmill.functions.tokens import DEFAULT_COUNTER
 
 NORMALIZATIONS = ("none", "lowercase", "uppercase")
@@ -11,6 +15,37 @@ RESULT_FORMATS = ("json", "json_with_embeddings", "zip")
 PREFIX_MODES = ("passage", "query")
 
 
+# Least and greatest values of the options that have a range.
+RANGES: dict[str, tuple[int, int | None]] = {
+    "max_tokens": (1, 32768),
+    "overlap": (0, None),
+    "embedding_batch_size": (1, 512),
+    "values_only_threshold": (0, 10),
+    "min_cols_for_table": (1, None),
+    "min_rows_for_table": (1, None),
+}
+CHOICES = {"normalization": NORMALIZATIONS, "response_format": RESULT_FORMATS, "prefix_mode": PREFIX_MODES}
+
+
+def option_error(columns: list[str]) -> Column:
+    """What is wrong with the options in ``columns`` of a table of job requests, as an error column; null where nothing is.
+
+    The same rules as of :class:`JobOptions`, in the same order; a null stands for the default.
+    """
+    checks = []
+    for name, allowed in CHOICES.items():
+        if name in columns:
+            checks.append((~F.col(name).isin(*allowed), F.format_string(f"{name} must be one of {', '.join(allowed)}, got '%s'", F.col(name))))
+    for name, (low, high) in RANGES.items():
+        if name in columns:
+            wrong = F.col(name) < low if high is None else ~F.col(name).between(low, high)
+            bound = f"at least {low}" if high is None else f"between {low} and {high}"
+            checks.append((wrong, F.format_string(f"{name} must be an integer {bound}, got %d", F.col(name))))
+    if {"max_tokens", "overlap"} <= set(columns):
+        checks.append((F.col("overlap") >= F.col("max_tokens"), F.lit("overlap must be below max_tokens")))
+    return errors.first_error(*[(wrong, errors.INVALID_PARAMETER, message) for wrong, message in checks])
+
+
 def _in_range(name: str, value: int | None, low: int, high: int | None = None) -> None:
     if value is None:
         return
@@ -67,16 +102,11 @@ class JobOptions:
     limits: Limits = field(default_factory=Limits)
 
     def __post_init__(self) -> None:
-        _one_of("normalization", self.normalization, NORMALIZATIONS)
-        _one_of("response_format", self.response_format, RESULT_FORMATS)
-        _one_of("prefix_mode", self.prefix_mode, PREFIX_MODES)
+        for name, allowed in CHOICES.items():
+            _one_of(name, getattr(self, name), allowed)
         _one_of("chunk_mode", self.chunk_mode, ("pack", "exact"))
-        _in_range("max_tokens", self.max_tokens, 1, 32768)
-        _in_range("overlap", self.overlap, 0)
-        _in_range("embedding_batch_size", self.embedding_batch_size, 1, 512)
-        _in_range("values_only_threshold", self.values_only_threshold, 0, 10)
-        _in_range("min_cols_for_table", self.min_cols_for_table, 1)
-        _in_range("min_rows_for_table", self.min_rows_for_table, 1)
+        for name, (low, high) in RANGES.items():
+            _in_range(name, getattr(self, name), low, high)
         if self.overlap >= self.max_tokens:
             raise ValueError("INVALID_PARAMETER: overlap must be below max_tokens")
         if self.chunk_mode == "pack" and not self.counter.additive:

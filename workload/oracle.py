@@ -346,12 +346,21 @@ def float_hex(v: str) -> str:
 
 
 # Chunks of each document as a matrix file: magic, version, length of the header, header, rows.
-MATRICES = pack(256, 32) + f""", matrices AS (
+MATRICES = pack(256, 32) + f""",
+tokens AS (
+  SELECT doc_id, chunk_index, unnest({words("'passage: ' || text")}) AS w FROM chunks),
+slots AS (
+  SELECT doc_id, chunk_index, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS slot, count(*) AS n FROM tokens GROUP BY ALL),
+cells AS (SELECT doc_id, chunk_index, text, unnest(range(64)) AS slot FROM chunks),
+vectors AS (
+  SELECT doc_id, chunk_index, any_value(text) AS text, string_agg({float_hex('coalesce(n, 0)')}, '' ORDER BY slot) AS digits
+  FROM cells LEFT JOIN slots USING (doc_id, chunk_index, slot) GROUP BY doc_id, chunk_index),
+matrices AS (
   SELECT doc_id::VARCHAR AS filename, count(*)::INTEGER AS n_chunks, list(text ORDER BY chunk_index) AS texts,
     '934E554D505901007600'
-    || hex(rpad('{{''descr'': ''<f4'', ''fortran_order'': False, ''shape'': (' || count(*) || ', 2), }}', 117, ' ')) || '0A'
-    || string_agg({float_hex('token_count')} || {float_hex('chunk_index')}, '' ORDER BY chunk_index) AS npy
-  FROM chunks GROUP BY doc_id)
+    || hex(rpad('{{''descr'': ''<f4'', ''fortran_order'': False, ''shape'': (' || count(*) || ', 64), }}', 117, ' ')) || '0A'
+    || string_agg(digits, '' ORDER BY chunk_index) AS npy
+  FROM vectors GROUP BY doc_id)
 """
 
 # --- sources ------------------------------------------------------------------
@@ -554,6 +563,22 @@ UNION ALL SELECT source_file, 0, NULL, NULL, error_code FROM bad""",
     "decode_text": r"""
 SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text
   ELSE translate(regexp_replace(text, '[^\x00-\x{ff}]', '?', 'g'), 'ÐÝÞðýþ', 'ĞİŞğış') END AS text FROM documents""",
+    "archive_members": """
+SELECT 'pack-' || doc_id // 64 || '.zip' AS container_file, 'in/doc-' || doc_id || '.txt' AS member, text FROM documents WHERE doc_id % 9 <> 4""",
+    "empty_tables": """
+SELECT 'region-' || n_regionkey || '.csv' AS source_file, count(*) AS n_chunks, list_sort(list(n_nationkey || ' | ' || n_name)) AS texts
+FROM nation WHERE n_regionkey % 2 = 0 GROUP BY n_regionkey""",
+    "empty_embedding": """
+SELECT doc_id, 0 AS chunk_index, 'e5-base-v2' AS embedding_model_id, []::FLOAT[] AS embedding FROM documents WHERE false""",
+    "rejected_options": """
+WITH asked AS (
+  SELECT 'part-' || p_partkey AS source_file, p_size - 3 AS m, p_partkey % 40 AS o, p_partkey % 13 - 1 AS v, p_partkey % 7 = 0 AS odd FROM part)
+SELECT source_file, 'INVALID_PARAMETER' AS error_code, NULL::VARCHAR AS detail,
+  CASE WHEN odd THEN 'normalization must be one of none, lowercase, uppercase, got ' || chr(39) || 'titlecase' || chr(39)
+       WHEN m < 1 THEN 'max_tokens must be an integer between 1 and 32768, got ' || m
+       WHEN v < 0 OR v > 10 THEN 'values_only_threshold must be an integer between 0 and 10, got ' || v
+       ELSE 'overlap must be below max_tokens' END AS message
+FROM asked WHERE odd OR m < 1 OR v < 0 OR v > 10 OR o >= m""",
     "spanning_cells": """SELECT doc_id::VARCHAR AS doc_id, text, lang || ', "' || source || '"' AS origin FROM documents""",
     "delimiter_profile": """
 SELECT o_orderpriority AS source_file, ([',', ';', chr(9), '|', ','])[substr(o_orderpriority, 1, 1)::INTEGER] AS sep, 3 AS n_fields,

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +25,7 @@ from textmill.operators.layout import Columns, layout_of
 from textmill.operators.models import model_listing, with_model
 from textmill.operators.ordering import dense_index
 from textmill.operators.row_text import row_map, row_text
-from textmill.options import JobOptions, Limits
+from textmill.options import JobOptions, Limits, option_error
 from textmill.session import materialize, ship_package, spread, work_dir
 from textmill.sources import archives, delimited
 from textmill.sources.files import extension, file_error, route
@@ -531,9 +535,9 @@ def grand_total(spark, sf_dir):
 
 
 def word_vectors(spark, sf_dir) -> DataFrame:
-    """Chunks with whole numbers as vectors, so that files can be compared to the byte."""
+    """Chunks with the embedder's vectors before they are normalized: whole numbers, so that files can be compared to the byte."""
     chunks = chunk_documents(spread_documents(spark, sf_dir), EMBED, "doc_id")
-    return chunks.withColumn("embedding", F.array(F.col("token_count").cast("float"), F.col("chunk_index").cast("float")))
+    return embedding_inputs(chunks, EMBED).withColumn("embedding", HashEmbedder().expression("input_text")).drop("input_text")
 
 
 def npy_export(spark, sf_dir):
@@ -607,6 +611,58 @@ def archive_errors(spark, sf_dir):
     return archives.archive_policy(archive_manifest(spark, sf_dir), limits=ARCHIVE_LIMIT)[1]
 
 
+def archive_members(spark, sf_dir):
+    """Documents packed into archives and read out of them again: members by name, each a document of its own."""
+    d = spread_documents(spark, sf_dir)
+
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+            for name, text in zip(rows["member"], rows["text"], strict=True):
+                archive.writestr(name, text)
+        return pd.DataFrame({"source_file": rows["archive"].iloc[:1], "content": [buffer.getvalue()]})
+
+    named = d.select(
+        F.concat(F.lit("pack-"), F.floor(F.col("doc_id") / 64), F.lit(".zip")).alias("archive"),
+        F.concat(F.lit("in/doc-"), "doc_id", F.when(F.col("doc_id") % 9 == 4, ".log").otherwise(".txt")).alias("member"),
+        "text",
+    )
+    files = materialize(named.groupBy("archive").applyInPandas(packed, "source_file string, content binary"))
+    manifest, _ = archives.read_manifest(files)
+    wanted, _ = archives.archive_policy(materialize(manifest))
+    members, _ = archives.read_members(files, wanted)
+    return members.select("container_file", F.col("source_file").alias("member"), decode_text("content").alias("text"))
+
+
+def empty_tables(spark, sf_dir):
+    """Delimited files of the nations of a region; every other file has a header alone and gives no chunk."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("r"), F.concat_ws(",", "n_nationkey", "n_name").alias("line"))
+    grouped = n.groupBy("r").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("lines"))
+    text = F.concat(F.lit("key,name\n"), F.when(F.col("r") % 2 == 0, F.col("lines")).otherwise(""))
+    files = grouped.select(F.concat(F.lit("region-"), "r", F.lit(".csv")).alias("source_file"), F.encode(text, "UTF-8").alias("content"))
+    chunks, _ = row_chunks.chunk_tables(materialize(read_tables(files)), JobOptions())
+    return chunks.groupBy("source_file").agg(F.count("*").alias("n_chunks"), F.sort_array(F.collect_list("text")).alias("texts"))
+
+
+def empty_embedding(spark, sf_dir):
+    """Documents without a character, of which the tables have none: no chunk, no vector, the same columns."""
+    d = documents(spark, sf_dir).where(F.length(F.trim("text")) == 0)
+    return embed(chunk_documents(d, EMBED, "doc_id"), HashEmbedder(), EMBED).select("doc_id", "chunk_index", "embedding_model_id", "embedding")
+
+
+def rejected_options(spark, sf_dir):
+    """Options of a job per part, some out of their range, checked as a column."""
+    p = table(spark, sf_dir, "part")
+    asked = p.select(
+        F.concat(F.lit("part-"), "p_partkey").alias("source_file"),
+        (F.col("p_size") - 3).alias("max_tokens"),
+        (F.col("p_partkey") % 40).cast("int").alias("overlap"),
+        (F.col("p_partkey") % 13 - 1).cast("int").alias("values_only_threshold"),
+        F.when(F.col("p_partkey") % 7 == 0, "titlecase").otherwise("lowercase").alias("normalization"),
+    )
+    return errors.split_errors(asked, option_error(asked.columns))[1]
+
+
 def page_concat(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("string").alias("doc"), F.col("turn").alias("page_no"), F.when(F.col("turn") % 4 != 3, F.col("text")).otherwise("").alias("text")
@@ -718,6 +774,10 @@ QUERIES = {
     "decode_text": decode_text_query,
     "delimiter_profile": delimiter_profile,
     "spanning_cells": spanning_cells,
+    "archive_members": archive_members,
+    "empty_tables": empty_tables,
+    "empty_embedding": empty_embedding,
+    "rejected_options": rejected_options,
     "archive_policy": archive_policy,
     "archive_errors": archive_errors,
     "page_concat": page_concat,
