@@ -46,7 +46,7 @@ def _probes(tau: int) -> list[tuple[int, int, int]]:
     return found
 
 
-def _keys(line: Column, size: Column, tau: int) -> tuple[Column, Column]:
+def _keys(line: Column, size: Column, tau: int) -> tuple[list[Column], list[Column]]:
     """Index entries of a line, its own segments, and the substrings with which it probes besides."""
     own, other = [], []
     for delta, i, shift in _probes(tau):
@@ -56,7 +56,7 @@ def _keys(line: Column, size: Column, tau: int) -> tuple[Column, Column]:
         start = width * i + F.greatest(F.lit(0), longer + (i - (tau + 1))) + shift
         part = F.substr(line, (start + 1).cast("int"), (width + F.when(longer >= tau + 1 - i, 1).otherwise(0)).cast("int"))
         (other if delta or shift else own).append(F.xxhash64(length, F.lit(i), part))
-    return F.array(*own), F.array(*other)
+    return own, other
 
 
 def _sketch(line: Column) -> Column:
@@ -167,7 +167,7 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, tau: int = TAU, m
     """``(id, removed)``: the numbers, from 0, of the lines that go, for documents that lose any."""
     spark = docs.sparkSession
     lines = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "line"))
-    lines = lines.where(F.col("line").rlike(r"[^\s\x1c-\x1f]")).withColumn("id", F.xxhash64("line"))
+    lines = lines.where(F.col("line").rlike(r"[^\s\x1c-\x1f]")).withColumn("id", F.xxhash64("line").bitwiseAND(F.lit((1 << 63) - 1)))
     at = F.struct("doc", "no")
     occurrences = written(lines.select("doc", "no", "id", F.hash("line").alias("check")))
     firsts = written(
@@ -183,14 +183,17 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, tau: int = TAU, m
     )
     index, probes = _keys(F.col("line"), F.col("size"), tau)
     # Worked out in a projection, where what the keys share is computed once, and then spread.
-    keyed = sent.select("id", index.alias("index"), probes.alias("probes"))
-    entry = F.transform(F.concat("index", "probes"), lambda k, i: F.struct(k.alias("key"), (i <= tau).alias("own")))
-    keys = keyed.select("id", F.explode(entry).alias("k")).select("id", "k.*")
-    # Index entries first: a group counts if it has one. Two lines close to each other always
-    # meet where one of them, the shorter, has an index entry.
-    run = Window.partitionBy("key").orderBy(F.desc("own"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    led = keys.withColumn("lead", F.first(F.struct("id", "own")).over(run)).where("lead.own and id <> lead.id")
-    shared = written(led.groupBy("key", "id").agg(F.max("own").alias("own"), F.min("lead.id").alias("lead")))
+    keyed = sent.select("id", F.array(*index, *probes).alias("keys")).select("id", F.posexplode("keys").alias("at", "key"))
+    # Index entries have the complement of their line's id, which is negative and comes first.
+    tag = F.when(F.col("at") <= tau, F.bitwise_not("id")).otherwise(F.col("id"))
+    keys = keyed.select("key", tag.alias("tag"))
+    # A group counts if it has an index entry. Two lines close to each other always meet where
+    # one of them, the shorter, has one.
+    run = Window.partitionBy("key").orderBy("tag").rowsBetween(Window.unboundedPreceding, 0)
+    led = keys.withColumn("lead", F.bitwise_not(F.first("tag").over(run))).where("lead >= 0")
+    own = F.col("tag") < 0
+    led = led.select("key", F.when(own, F.bitwise_not("tag")).otherwise(F.col("tag")).alias("id"), own.alias("own"), "lead")
+    shared = written(led.where("id <> lead").groupBy("key", "id").agg(F.max("own").alias("own"), F.min("lead").alias("lead")))
     release(spark)
     leads = shared.select("key", F.col("lead").alias("id"), F.lit(True).alias("own")).distinct()
     members = shared.select("key", "id", "own").union(leads)
