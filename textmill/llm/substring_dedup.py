@@ -30,7 +30,7 @@ from textmill.llm import sql
 from textmill.llm.shared import release, ship, written
 from textmill.llm.words import U64, pieces, windows, words
 
-BUCKET_WORDS = 4_000_000
+BUCKET_WORDS = 2_000_000
 LEAST_BUCKETS = 32
 INDEX, PROBE, NOTICE = 0, 1, 2
 PACKED = "bucket int, kind int, hash binary, ids binary, counts binary, pos binary"
