@@ -1,12 +1,16 @@
 """Near duplicates of embeddings by E8 lattice hashing.
 
 A unit vector is projected at random onto eight dimensions (or ``blocks`` times eight),
-scaled and decoded to the nearest point of the lattice E8, in ``TABLES`` tables. A vector
+scaled and decoded to the nearest point of the lattice E8, in several tables. A vector
 stands in its own cell of a table and visits the ``PROBES`` neighbouring cells whose
 lattice points come next. Vectors that meet in a cell are compared by exact cosine.
 
-With the default figures a pair at a cosine of 0.98 shares or visits a cell of one table
-with probability 0.86 and misses all six tables with about 1e-5; closer pairs miss less.
+The scale follows the number of dimensions and the least cosine, so that a pair just at that
+cosine lies equally far apart in the lattice whatever they are: it shares or visits a cell of
+one table with probability 0.86, 0.65 or 0.52 for one, two or three blocks, measured alike at
+4 to 384 dimensions. ``TABLES`` has as many tables as leave it a chance of about 1e-5 to miss
+all; closer pairs miss less. One block tells some 16,000 cells of a label apart, two four
+million and three a hundred million; more blocks are taken from ``MANY`` vectors a label on.
 
 Equal vectors of a label form one class with a count and travel once. A pair that meets in
 several cells counts in one: the first table in which it meets, and there the cell the
@@ -18,6 +22,7 @@ and spanning links instead of pairs. Cells with many rows are cut into chunks of
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +33,9 @@ from textmill.llm import sql
 from textmill.llm.shared import components, ship, written
 from textmill.llm.words import U64, mix
 
-TABLES = 6
+TABLES = {1: 6, 2: 11, 3: 16}
 PROBES = 4
-SCALE = 8.0
+MANY = (1 << 17, 1 << 25)
 CHUNK = 512
 SEED = 8
 
@@ -81,12 +86,18 @@ def _projection(dim: int, table: int, blocks: int) -> np.ndarray:
     return _KNOWN[dim, table, blocks]
 
 
-def cells(unit: np.ndarray, labels: np.ndarray, blocks: int) -> np.ndarray:
+def scale(dim: int, blocks: int, least: float) -> float:
+    """Factor that brings vectors at the least cosine to one distance in the lattice; 8 for 64 dimensions at 0.98."""
+    return math.sqrt(max(dim, 8 * blocks) / blocks * 0.02 / (1 - least))
+
+
+def cells(unit: np.ndarray, labels: np.ndarray, blocks: int, least: float = 0.98) -> np.ndarray:
     """Keys of each vector, by table: its own cell, then the cells it visits."""
     shell = roots()
-    out = np.zeros((len(unit), TABLES, 1 + PROBES), U64)
-    for t in range(TABLES):
-        points = unit @ _projection(unit.shape[1], t, blocks) * SCALE
+    out = np.zeros((len(unit), TABLES[blocks], 1 + PROBES), U64)
+    factor = scale(unit.shape[1], blocks, least)
+    for t in range(TABLES[blocks]):
+        points = unit @ _projection(unit.shape[1], t, blocks) * factor
         own = [decode(points[:, 8 * b : 8 * b + 8]) for b in range(blocks)]
         gain = np.concatenate([(points[:, 8 * b : 8 * b + 8] - own[b]) @ shell.T for b in range(blocks)], axis=1)
         # Rounded, so that a gain does not hang on the order of a sum; ties go to the first.
@@ -124,12 +135,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return y / np.sqrt((y * y).sum(axis=1, keepdims=True))
 
 
-def _placed(blocks: int):
+def _placed(blocks: int, least: float):
     def run(batches):
         for batch in batches:
             number, label = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for rows, x in _matrix(batch.column(2)):
-                keys = cells(_unit(x), label[rows], blocks)
+                keys = cells(_unit(x), label[rows], blocks, least)
                 flat = keys.reshape(len(rows), -1)
                 own = np.zeros(flat.shape, bool)
                 own[:, :: 1 + PROBES] = True
@@ -157,7 +168,7 @@ def _linked(cid, label, copies, x, own, left, right, key, least, blocks):
     rows, place = np.unique(np.concatenate([a, b]), return_inverse=True)
     a, b = place[: len(a)], place[len(a) :]
     cid, copies = cid[rows], copies[rows]
-    keys = cells(unit[rows], label[rows], blocks)
+    keys = cells(unit[rows], label[rows], blocks, least)
     here = np.zeros(len(a), bool)
     for at in range(0, len(a), 50_000):
         p, q = a[at : at + 50_000], b[at : at + 50_000]
@@ -230,7 +241,7 @@ def _compared(least: float, blocks: int):
 
 
 def similar_vectors(
-    vectors: DataFrame, id_col: str, vector_col: str, label_col: str, least: float = 0.98, blocks: int = 1
+    vectors: DataFrame, id_col: str, vector_col: str, label_col: str, least: float = 0.98, blocks: int | None = None
 ) -> DataFrame:
     """``(id, n_links, component_id, kept)`` per row of ``vectors``.
 
@@ -239,8 +250,10 @@ def similar_vectors(
     a null label or a null id links with nothing: 0 links, its own id as component. Vectors
     of different lengths do not link. Repeated rows link like other equal vectors. Other
     columns are not read; an empty table gives an empty one. ``blocks`` joins that many E8
-    cells to a key, for corpora whose labels hold tens of millions of vectors.
+    cells, one to three, to a key; unless given it goes by the largest label.
     """
+    if not 0 < least < 1:
+        raise ValueError("the cosine must lie between 0 and 1")
     ship()
     v = F.transform(F.col(vector_col), lambda x: x.cast("double") + F.lit(0.0))
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).cast("bigint").alias("label"), v.alias("v"))
@@ -257,7 +270,10 @@ def similar_vectors(
         .groupBy("cid", "label", "v")
         .agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     )
-    placed = written(classes.select("cid", "label", "v").mapInArrow(_placed(blocks), "key bigint, cid bigint, own boolean"))
+    if blocks is None:
+        most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+        blocks = 1 + sum(most > many for many in MANY)
+    placed = written(classes.select("cid", "label", "v").mapInArrow(_placed(blocks, least), "key bigint, cid bigint, own boolean"))
     sizes = placed.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("met")).where("met and n > 1")
     met = placed.join(sizes.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "key")
     met = met.withColumn("chunk", F.pmod(F.xxhash64("cid", "key"), F.col("chunks")).cast("int"))

@@ -193,8 +193,11 @@ def top_products(vectors: DataFrame, id_col: str, vector_col: str, k: int = 10,
         number, q = arrays(batch)
         floor = _start(q, number, seeds, seed_ids, k)
         shared = spark.sparkContext.broadcast((number, batch.column("serial").to_numpy(), q, floor))
-        best = ordered.select("id", "v").mapInArrow(_walked(shared, k, rotation), schema)
-        found = found.union(written(best))
+        # No candidate shorter than this reaches the k-th score of any query; files are sorted by length.
+        short = float(np.min((floor - 1) / np.maximum(np.sqrt((q * q).sum(axis=1)), 1e-300), initial=np.inf))
+        able = ordered.where(F.col("length") >= short * (1 - 1e-6)) if 0 < short < np.inf else ordered
+        found = found.union(written(able.select("id", "v").mapInArrow(_walked(shared, k, rotation), schema)))
+        shared.destroy()
     order = Window.partitionBy("serial", "query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
