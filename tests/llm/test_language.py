@@ -2,7 +2,9 @@ import itertools
 import math
 
 import numpy as np
+import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from textmill.llm import language_id as li
 
@@ -66,6 +68,40 @@ def test_texts_without_letters_long_texts_and_other_columns(spark):
     assert by == [(1, "und"), (2, "und"), (3, "und"), (4, "en"), (4, "en"), (None, "de")]
 
 
+def test_random_letters_are_foreign_to_every_language(spark):
+    import random
+
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("lang is not null")
+    learned = li.train(docs.where(~li.held_out("doc_id")), "doc_id", "text", "lang")
+    clean = li.identify(docs.where(li.held_out("doc_id")), learned, "text", common_col="common").collect()
+    assert sum(r.common >= cp.LEAST_COMMON for r in clean) >= 0.98 * len(clean)
+    rng = random.Random(1)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    junk = spark.createDataFrame([(words(rng.choice([60, 400])),) for _ in range(60)], "text string")
+    assert li.identify(junk, learned, "text", common_col="common").where(F.col("common") >= cp.LEAST_COMMON).count() == 0
+
+
+def test_clashing_names_are_refused(spark):
+    df = spark.createDataFrame([(1, "text", "x")], "doc_id long, text string, score string")
+    with pytest.raises(ValueError):
+        li.identify(df, model(spark), "text")
+    with pytest.raises(ValueError):
+        li.identify(df.drop("score"), model(spark), "text", lang_col="doc_id")
+
+
+def test_blocks_of_chains_learn_the_same(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [[f"{y}{w}" for w in rng.integers(0, 30, 90)] for y in "ab" for _ in range(8)]
+    tags = [0] * 8 + [1] * 8
+    even = np.zeros((li.LEXICON, 2))
+    whole = li.fit(texts, tags, ["a", "b"], even, even)
+    monkeypatch.setattr(li, "BLOCK_CHAINS", 2)
+    blocks = li.fit(iter(texts), tags, ["a", "b"], even, even)
+    assert np.allclose(whole.weights, blocks.weights) and np.allclose(whole.moves, blocks.moves)
+
+
 def test_nothing_to_learn_from(spark):
     empty = spark.createDataFrame([(1, "text", None, "s"), (2, None, "en", "s")], SCHEMA)
     learned = li.train(empty, "doc_id", "text", "lang")

@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline as cp
 import pytest
+from pyspark.sql import functions as F
 from llm.conftest import components_of
 from llm.test_documents import kept_lines, sets
 from llm.test_mixing import targets
@@ -118,6 +119,19 @@ def test_empty_table(spark):
         assert stage(spark, docs, "unused").count() == 0
 
 
+def test_clashing_columns_pass_through(spark):
+    names = ["score", "lang_pred", "common", "n_lines", "n_removed", "_id", "ids"]
+    docs = documents(spark)
+    for name in names:
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    for stage in (cp.language, cp.lines, cp.near_duplicates, cp.mixture):
+        docs = stage(spark, docs, "unused")
+        assert docs.columns == COLUMNS + names
+    rows = docs.collect()
+    assert rows and all(r[n] == f"own {n}" for r in rows for n in names)
+    assert cp.token_ids(spark, docs, "unused").count() == len(rows)
+
+
 def test_whole_run(spark, tmp_path):
     documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
     out = cp.run(spark, str(tmp_path))

@@ -114,6 +114,9 @@ def test_nulls_repeats_other_columns_and_empty_tables(spark):
     assert rows[0].tokens == rows[1].tokens == [] and rows[2].tokens == rows[3].tokens
     assert [r.back for r in sp.decode(coded, "tokens", "back").collect()] == ["", "", "hello there", "hello there"]
     assert sp.encode(docs.limit(0), "text", "tokens").count() == 0
+    for clash in (lambda: sp.encode(docs, "text", "ids"), lambda: sp.decode(coded, "tokens", "text"), lambda: sp.encode(docs, "text", "t", round_trip_col="doc_id")):
+        with pytest.raises(ValueError):
+            clash()
 
 
 def test_a_very_long_text(spark):

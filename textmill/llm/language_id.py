@@ -39,6 +39,7 @@ LEXICON = 1 << 14
 STEPS = 30
 GROUP_WORDS = 200_000
 KEPT_WORDS = 400_000
+KEPT_LETTERS = 16 << 20
 FOLD, FOLDS = 2, 4
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -109,6 +110,7 @@ class Chain:
     trust: float  # weight of the lexicon
     moves: np.ndarray  # labels x labels
     start: np.ndarray
+    common: np.ndarray  # LEXICON x labels, log of how often a bucket's words occur against an even spread
 
 
 class Vocabulary(dict):
@@ -214,10 +216,10 @@ def _expected(model: Chain, emission: np.ndarray, numbers: np.ndarray, gold: np.
     return by_word.reshape(words, labels), pairs, first
 
 
-def fit(texts: Iterable[list[str]], tags: list[int], labels: list[str], lexicon: np.ndarray) -> Chain:
+def fit(texts: Iterable[list[str]], tags: list[int], labels: list[str], lexicon: np.ndarray, common: np.ndarray) -> Chain:
     """Fit weights and transitions to texts of one language each, chained in their order."""
     model = Chain(
-        labels, np.zeros((FEATURES, len(labels))), lexicon, 0.1, np.zeros((len(labels),) * 2), np.zeros(len(labels))
+        labels, np.zeros((FEATURES, len(labels))), lexicon, 0.1, np.zeros((len(labels),) * 2), np.zeros(len(labels)), common
     )
     known, numbers, gold = _numbered(texts, tags)
     if not len(numbers) or len(labels) < 2:
@@ -250,25 +252,36 @@ class Tagger:
 
     def __init__(self, model: Chain) -> None:
         self.model = model
-        self.known, self.scores = Vocabulary(), np.zeros((0, len(model.labels)))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.letters = Vocabulary(), 0
+        self.scores, self.common = np.zeros((2, 0, len(self.model.labels)))
 
     def _numbers(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > KEPT_WORDS:
-            self.known, self.scores = Vocabulary(), np.zeros((0, len(self.model.labels)))
+        if len(self.known) > KEPT_WORDS or self.letters > KEPT_LETTERS:
+            self._forget()
         known = self.known
         numbers = np.array([known[w] for w in words], np.int64)
         if len(known) > len(self.scores):
             new = list(known)[len(self.scores) :]
-            self.scores = np.concatenate([self.scores, _scores(self.model, *_sparse(new))])
+            self.letters += sum(map(len, new))
+            flat, owner, places = _sparse(new)
+            self.scores = np.concatenate([self.scores, _scores(self.model, flat, owner, places)])
+            self.common = np.concatenate([self.common, self.model.common[places]])
         return numbers
 
     def shares(self, texts: list[list[str]]) -> np.ndarray:
         """Share of each language in each text, 0 where a text has no words."""
+        return self._judged(texts)[0]
+
+    def _judged(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Shares of the languages, and how common the words are on average in each."""
         sizes = np.array([len(t) for t in texts])
-        out = np.zeros((len(texts), len(self.model.labels)))
+        out, common = np.zeros((2, len(texts), len(self.model.labels)))
         flat = [w for t in texts for w in t]
         if not flat or not self.model.labels:
-            return out
+            return out, common
         owner = np.repeat(np.arange(len(texts)), sizes)
         numbers = self._numbers(flat)
         breaks = (np.cumsum(sizes) - sizes)[sizes > 0]
@@ -279,18 +292,21 @@ class Tagger:
         each = marginal[chain, place]
         for y in range(out.shape[1]):
             out[:, y] = np.bincount(owner, each[:, y], len(texts))
-        return out / np.maximum(sizes, 1)[:, None]
+            common[:, y] = np.bincount(owner, self.common[numbers, y], len(texts))
+        words = np.maximum(sizes, 1)[:, None]
+        return out / words, common / words
 
-    def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language and its share; ``und`` and 0 for a text without letters."""
-        names, scores, group, size = [], [], [], 0
+    def label(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language, its share and how common the words are; ``und`` and zeros for a text without letters."""
+        names, scores, familiar, group, size = [], [], [], [], 0
 
         def flush() -> None:
-            for words, share in zip(group, self.shares(group), strict=True):
+            for words, share, common in zip(group, *self._judged(group), strict=True):
                 best = int(share.argmax()) if len(share) else 0
                 known = bool(words) and len(share) > 0
                 names.append(self.model.labels[best] if known else UNKNOWN)
                 scores.append(float(min(1.0, max(0.0, share[best]))) if known else 0.0)
+                familiar.append(float(common[best]) if known else 0.0)
             group.clear()
 
         for text in texts:
@@ -300,7 +316,7 @@ class Tagger:
                 flush()
                 size = 0
         flush()
-        return names, scores
+        return names, scores, familiar
 
 
 def _counted(labels: list[str]):
@@ -363,39 +379,48 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: in
     picked.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), str(r["id"]), r["lang"], r["text"]), reverse=True)
     at = {label: y for y, label in enumerate(labels)}
     tags = [at[r["lang"]] for r in reversed(picked)]
-    return fit((words_of(picked.pop()["text"]) for _ in tags), tags, labels, lexicon)
+    common = np.log(rates * LEXICON)
+    return fit((words_of(picked.pop()["text"]) for _ in tags), tags, labels, lexicon, common)
 
 
-def _tagged(parts, at_column: int):
+def _tagged(parts, at_column: int, added: list[str]):
     def run(batches):
         tagger = Tagger(Chain(*parts.value))
         for batch in batches:
-            names, scores = [], []
+            names, scores, familiar = [], [], []
             column = batch.column(at_column)
             for at in range(0, len(batch), 512):
-                n, s = tagger.label(column.slice(at, 512).to_pylist())
+                n, s, f = tagger.label(column.slice(at, 512).to_pylist())
                 names += n
                 scores += s
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                [*batch.schema.names, "lang_pred", "score"],
-            )
+                familiar += f
+            made = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(familiar, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made[: len(added)]], [*batch.schema.names, *added])
 
     return run
 
 
-def identify(docs: DataFrame, model: Chain, text_col: str) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (the share of the text in that language) added.
+def identify(
+    docs: DataFrame, model: Chain, text_col: str, lang_col: str = "lang_pred", score_col: str = "score", common_col: str | None = None
+) -> DataFrame:
+    """``docs`` with a language and a score (the share of the text in that language) added.
 
-    A null or empty text, or one without letters, is ``und`` with score 0; so is every text
-    if no language was learned. Texts are read whole, rows are independent, other columns
-    pass through, an empty table gives an empty one.
+    With ``common_col`` there is a third column: the mean log, over the words, of how often words
+    of their bucket of the lexicon occur in texts of that language, against an even spread.
+    Texts of strings that no language has come out below zero. A null or empty text, or one
+    without letters, is ``und`` with zeros; so is every text if no language was learned. Texts
+    are read whole, rows are independent, other columns pass through, an empty table gives an
+    empty one. Added names that ``docs`` has already are refused.
     """
     ship()
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    parts = (model.labels, model.weights, model.lexicon, model.trust, model.moves, model.start)
+    added = [StructField(lang_col, StringType()), StructField(score_col, DoubleType())]
+    added += [StructField(common_col, DoubleType())] if common_col else []
+    names = [f.name for f in added]
+    if len({*docs.columns, *names}) < len(docs.columns) + len(names):
+        raise ValueError(f"the table has a column of a name to be added: {', '.join(names)}")
+    parts = (model.labels, model.weights, model.lexicon, model.trust, model.moves, model.start, model.common)
     shared = docs.sparkSession.sparkContext.broadcast(parts)
-    return docs.mapInArrow(_tagged(shared, docs.columns.index(text_col)), schema)
+    return docs.mapInArrow(_tagged(shared, docs.columns.index(text_col), names), StructType([*docs.schema.fields, *added]))
 
 
 def held_out(id_col: str):

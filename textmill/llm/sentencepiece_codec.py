@@ -330,7 +330,8 @@ def encode(
 
     With ``round_trip_col`` the ids are decoded again, and that column says whether they gave
     the text. A null or empty text has no tokens; there is no limit on length. All other
-    columns pass through; the added names must be new. An empty table gives an empty one.
+    columns pass through; added names that ``docs`` has already are refused. An empty table
+    gives an empty one.
     """
     from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
@@ -339,14 +340,18 @@ def encode(
     if round_trip_col:
         added.append(StructField(round_trip_col, BooleanType()))
     names = [f.name for f in added]
+    if len({*docs.columns, *names}) < len(docs.columns) + len(names):
+        raise ValueError(f"the table has a column of a name to be added: {', '.join(names)}")
     run = _encode(_model_bytes(model_path), docs.columns.index(text_col), names)
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))
 
 
 def decode(docs: DataFrame, ids_col: str, text_col: str, model_path: str = MODEL) -> DataFrame:
-    """``docs`` with the text of its token ids; null or no ids give the empty text."""
+    """``docs`` with the text of its token ids; null or no ids give the empty text. A name that ``docs`` has already is refused."""
     from pyspark.sql.types import StringType, StructField, StructType
 
+    if text_col in docs.columns:
+        raise ValueError(f"the table has a column {text_col} already")
     ship()
     own = docs.withColumn(ids_col, F.col(ids_col).cast("array<int>"))
     schema = StructType([*own.schema.fields, StructField(text_col, StringType())])
