@@ -222,6 +222,11 @@ def mixed_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str
         .agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows"))
     )
     plan = written(plan)
+    # Columns of whatever names stand apart from those worked with.
+    names = docs.columns
+    places = [f"c{i}" for i in range(len(names))]
+    docs = docs.toDF(*places)
+    id_col, text_col, source_col = (places[names.index(c)] for c in (id_col, text_col, source_col))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("bigint")
     own = docs.withColumns({"_own": _key(source_col), "_words": size, "_h": F.xxhash64(text_col)})
     once = plan.where("_rows = 1")
@@ -235,7 +240,7 @@ def mixed_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str
     turn = F.row_number().over(Window.partitionBy("_id", "_key", "_size").orderBy("_h"))
     many = own.join(plan.where("_rows > 1"), condition).withColumn("_turn", turn)
     shared = F.floor(F.col("_all") / F.col("_rows")) + F.when(F.col("_turn") <= F.col("_all") % F.col("_rows"), 1).otherwise(0)
-    return alone.union(repeated(many, shared))
+    return alone.union(repeated(many, shared)).toDF(*names)
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
