@@ -71,7 +71,7 @@ def test_several_automata_broadcasts_and_long_items(spark, monkeypatch):
 
 
 def test_empty_tables(spark):
-    docs, items = corpus(3, 5)
+    docs, items = corpus(3, 8)
     assert ranked(spark, [], items) == [] == ranked(spark, docs, [])
     assert ranked(spark, [(1, None)], items) == []
 
