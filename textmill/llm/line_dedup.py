@@ -183,10 +183,11 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, tau: int = TAU, m
     )
     index, probes = _keys(F.col("line"), F.col("size"), tau)
     # Worked out in a projection, where what the keys share is computed once, and then spread.
-    keyed = sent.select("id", F.array(*index, *probes).alias("keys")).select("id", F.posexplode("keys").alias("at", "key"))
     # Index entries have the complement of their line's id, which is negative and comes first.
-    tag = F.when(F.col("at") <= tau, F.bitwise_not("id")).otherwise(F.col("id"))
-    keys = keyed.select("key", tag.alias("tag"))
+    keyed = sent.select("id", F.array(*index).alias("index"), F.array(*probes).alias("probes"))
+    tag = lambda i: F.when(i <= tau, F.bitwise_not("id")).otherwise(F.col("id"))
+    entry = F.transform(F.concat("index", "probes"), lambda k, i: F.struct(k.alias("key"), tag(i).alias("tag")))
+    keys = keyed.select(F.explode(entry).alias("k")).select("k.*")
     # A group counts if it has an index entry. Two lines close to each other always meet where
     # one of them, the shorter, has one.
     run = Window.partitionBy("key").orderBy("tag").rowsBetween(Window.unboundedPreceding, 0)
