@@ -357,6 +357,22 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got.count() == 12 and got.where("chunk_index = 1 and text = 'Three four five. Six.'").count() == 6
 
 
+def test_stream_of_a_table_that_is_one_file_or_a_folder(spark, tmp_path):
+    from conftest import SMALL
+    from workload.queries import QUERIES
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    odd = tmp_path / "in [1] {a}"
+    docs.repartition(3).write.parquet(str(odd / "documents.parquet"))
+    schema = docs.schema
+    rows = streaming.stream_table(spark, str(odd / "documents.parquet"))
+    assert rows.isStreaming and rows.schema == schema
+    docs.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    one = QUERIES["incremental_ingest"](spark, SMALL)
+    many = QUERIES["incremental_ingest"](spark, str(tmp_path / "many"))
+    assert one.count() == many.count() > 0 and one.exceptAll(many).count() == 0
+
+
 def test_folder_stream_equals_the_batch_job_after_a_broken_batch(spark, folder, tmp_path, monkeypatch):
     from textmill.plans import corpus
 

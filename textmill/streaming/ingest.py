@@ -42,6 +42,22 @@ def stream_text(spark: SparkSession, path: str, options: JobOptions = JobOptions
     return files.select(F.col("path").alias("source_file"), decode_text("content").alias("text"))
 
 
+def _unglobbed(path: str) -> str:
+    """A path that readers take as it is, whatever characters its name has."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def stream_table(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the parquet table at ``path``, one file or a folder of files.
+
+    A stream takes its path for a folder, which a single file is not, unless it is a pattern;
+    one that only this name matches serves for both.
+    """
+    name = path.rstrip("/")
+    schema = spark.read.parquet(_unglobbed(name)).schema
+    return spark.readStream.schema(schema).parquet(f"{_unglobbed(name[:-1])}[{name[-1]}]")
+
+
 def ingest(
     docs: DataFrame, path: str, checkpoint: str, options: JobOptions = JobOptions(), available_now: bool = True, keep: tuple[str, ...] = ()
 ) -> StreamingQuery:
@@ -61,11 +77,6 @@ def ingest(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _unglobbed(path: str) -> str:
-    """A path that readers take as it is, whatever characters its name has."""
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
-
-
 def ingest_folder(
     spark: SparkSession,
     path: str,
