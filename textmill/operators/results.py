@@ -107,8 +107,9 @@ def npy_matrices(chunks: DataFrame, file: str = "source_file", size: int = PART)
         return matrices.map(one)
 
     keys = [F.col(file).alias("filename"), F.col("source_file").alias("member"), part_of(size=size)]
-    rows = F.array_sort(F.collect_list(F.struct("chunk_index", "embedding")))
-    grouped = chunks.where(F.col("embedding").isNotNull()).groupBy(*keys).agg(rows.alias("_rows"))
+    # Chunks without a vector are left out here: a filter before the grouping would compute the vectors a second time.
+    rows = F.array_sort(F.collect_list(F.when(F.col("embedding").isNotNull(), F.struct("chunk_index", "embedding"))))
+    grouped = chunks.groupBy(*keys).agg(rows.alias("_rows")).where(F.size("_rows") > 0)
     return grouped.select(
         "filename", "member", "part", F.size("_rows").alias("n_chunks"), npy(F.col("_rows.embedding")).alias("npy")
     )
