@@ -58,12 +58,15 @@ class HashEmbedder:
     dimension: int = 64
 
     def expression(self, text: Column | str, max_length: int | None = None) -> Column:
-        # A letter per slot: a text becomes a string of them, whose letters are counted.
-        letters = "".join(chr(0x100 + k) for k in range(self.dimension))
+        # A letter per slot: a text becomes a string of them, whose letters are counted. Letters
+        # of one byte, where there are enough, halve what is searched.
+        first = 0x21 if self.dimension <= 0x7F - 0x21 else 0x100
+        letters = [chr(first + k) for k in range(self.dimension)]
+        by_slot = F.array(*[F.lit(c) for c in letters])
 
         def slot(word: Column) -> Column:
             number = F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("bigint")
-            return F.substr(F.lit(letters), (number % self.dimension + 1).cast("int"), F.lit(1))
+            return F.get(by_slot, (number % self.dimension).cast("int"))
 
         def counts(slots: Column) -> Column:
             size = F.length(slots)
