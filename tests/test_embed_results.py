@@ -183,3 +183,30 @@ def test_a_text_the_model_fails_on_is_an_error(spark):
 def test_hash_vectors_need_no_python(spark):
     got = embed(chunks_of(spark), HashEmbedder(16), JobOptions())
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString() and "truncated" in got.columns
+
+
+def test_vectors_and_chunks_are_made_once_for_an_export(spark, tmp_path, monkeypatch):
+    from textmill.sources import sinks
+
+    chunks = chunks_of(spark).withColumn("embedding", HashEmbedder(8).expression("text"))
+    plan = npy_matrices(chunks)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
+    calls, real = [], sinks.materialize
+    monkeypatch.setattr(sinks, "materialize", lambda df: calls.append(df) or real(df))
+    write_results(chunks, failed(spark), str(tmp_path / "out"), "json_with_embeddings")
+    assert len(calls) == 1
+    none = chunks.withColumn("embedding", F.when(F.col("chunk_index") == 0, F.col("embedding")))
+    parts = npy_matrices(none, size=1).select("filename", "part", "n_chunks").collect()
+    assert parts and all(r.part == 0 and r.n_chunks == 1 for r in parts)
+
+
+@pytest.mark.parametrize("dimension", [8, 94, 95, 300])
+def test_hash_embedder_counts_words_by_slot(spark, dimension):
+    import hashlib
+
+    text = "one two one $1 \\ [x] two\u3000three !! ~ '"
+    want = [0.0] * dimension
+    for word in text.split():
+        want[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dimension] += 1
+    got = spark.createDataFrame([(text,), ("",)], "text string").select(HashEmbedder(dimension).expression("text").alias("v")).collect()
+    assert got[0].v == want and got[1].v == [0.0] * dimension

@@ -91,4 +91,5 @@ def process_folder(
 def run(spark: SparkSession, path: str, out: str, options: JobOptions = JobOptions(), embedder=None) -> None:
     """Process a folder and write the results in the chosen shape."""
     chunks, bad = process_folder(spark, path, options, embedder)
-    write_results(chunks, bad, out, options.response_format, "container_file", model_name=options.model_name)
+    embedded = embedder is not None and not options.skip_embedding  # and then written, see process_folder
+    write_results(chunks, bad, out, options.response_format, "container_file", model_name=options.model_name, written=embedded)

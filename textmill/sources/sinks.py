@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmill.operators.results import base64_matrices, file_results, npy_matrices, totals, with_errors
+from textmill.session import materialize
 
 
 def write_chunks(chunks: DataFrame, path: str, mode: str = "append") -> None:
@@ -21,14 +22,18 @@ def write_results(
     file: str = "source_file",
     mode: str = "append",
     model_name: str | None = None,
+    written: bool = False,
 ) -> None:
     """Nested results in one of the three result shapes.
 
     ``json`` puts the vectors into the records, ``json_with_embeddings`` a base64
     matrix per part, ``zip`` leaves them out of the records and writes the matrices
     beside them under the full file name. Records carry the totals of their file and
-    the model's name.
+    the model's name. Totals, records and matrices read the chunks, which are written once
+    before, unless they are ``written`` tables already.
     """
+    if not written:
+        chunks = materialize(chunks)
 
     def complete(records: DataFrame) -> DataFrame:
         counted = records.join(totals(chunks, file=file), "filename", "left")
