@@ -19,6 +19,7 @@ from textmill.sources.files import ARCHIVE_EXTENSIONS, SUPPORTED, extension
 INNER = "!/"  # Separates an archive from its member in the name of a member.
 MANIFEST = "archive string, member string, ordinal int, file_size bigint, flag_bits int, is_dir boolean"
 ENCRYPTED = 1  # Fixed value: flag bit of an encrypted member.
+FLUSH, FLUSH_BYTES = 1024, 4 << 20  # Members, and bytes of them, handed back to Spark at a time.
 
 
 def read_manifest(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -89,14 +90,17 @@ def read_members(
 ) -> tuple[DataFrame, DataFrame]:
     """Bytes of the accepted members (A11), and the errors of unreadable ones.
 
-    Members leave their archive one row at a time. A member that cannot be read is
+    Members leave their archives in batches of a few megabytes, a larger member alone at the end of one. A member that cannot be read is
     an error of its own; the rest of the archive goes on.
     """
     # Written, so that its size decides whether the archives themselves have to be shuffled.
     wanted = materialize(members.groupBy("container_file").agg(F.collect_set("ordinal").alias("ordinals")))
     secret = password.encode() if password else None
 
+    columns = ["container_file", "source_file", "ordinal", "content", "error_code", "reason"]
+
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, held = [], 0
         for batch in batches:
             for name, content, ordinals in zip(batch["container_file"], batch["content"], batch["ordinals"]):
                 infos = zipfile.ZipFile(io.BytesIO(content))
@@ -108,10 +112,13 @@ def read_members(
                     except Exception as exc:
                         reason = str(exc)
                         code = errors.ZIP_WRONG_PASSWORD if "password" in reason.lower() else errors.INVALID_FILE
-                    yield pd.DataFrame(
-                        [(name, info.filename, int(n), data, code, reason)],
-                        columns=["container_file", "source_file", "ordinal", "content", "error_code", "reason"],
-                    )
+                    found.append((name, info.filename, int(n), data, code, reason))
+                    held += len(data or b"")
+                    if held >= FLUSH_BYTES or len(found) >= FLUSH:
+                        yield pd.DataFrame(found, columns=columns)
+                        found, held = [], 0
+        if found:
+            yield pd.DataFrame(found, columns=columns)
 
     fields = "container_file string, source_file string, ordinal int, content binary, error_code string, reason string"
     opened = archives.select(F.col("source_file").alias("container_file"), "content").join(wanted, "container_file")
