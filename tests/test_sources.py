@@ -400,3 +400,39 @@ def test_folder_stream_equals_the_batch_job_after_a_broken_batch(spark, folder,
         got = sorted(map(tuple, spark.read.parquet(f"{out}/{kind}").select(*by).collect()))
         assert got == sorted(map(tuple, want.select(*by).collect())) and got
     assert streaming._unglobbed("a[1]*") == "a\\[1\\]\\*"
+
+
+def test_records_are_cut_once(spark):
+    from textmill.sources.fields import cut_rows, fields
+
+    rows = [("f", 1, "1;2", ";", ["a", "b"]), ("f", 2, "1;2;3", ";", ["a", "b"]), ("f", 3, ";NA", ";", ["a", "b"]), ("f", 4, '"x;y"', ";", ["a", "b"])]
+    found = spark.createDataFrame(rows, "source_file string, row_idx int, _record string, _sep string, _names array<string>")
+    cut = cut_rows(found.repartition(2))
+    once = str(fields(F.col("_record"), F.col("_sep"))._jc).count("regexp_extract_all")
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == once
+    got = {r.row_idx: [tuple(c) for c in r.cells] for r in cut.collect()}
+    assert got == {1: [("a", "1"), ("b", "2")], 4: [("a", "x;y"), ("b", None)]}
+
+
+def test_members_come_in_batches(spark, monkeypatch):
+    import io
+    import zipfile
+
+    from textmill.sources import archives
+
+    def packed(names):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w") as z:
+            for n in names:
+                z.writestr(n, n * 9)
+        return buffer.getvalue()
+
+    inside = {"p.zip": [f"{i}.txt" for i in range(5)], "q.zip": ["a.txt"]}
+    files = spark.createDataFrame([(k, bytearray(packed(v))) for k, v in inside.items()], "source_file string, content binary")
+    wanted, _ = archives.archive_policy(archives.read_manifest(files)[0])
+    for most, size in ((2, 1 << 20), (100, 1), (100, 1 << 20)):
+        monkeypatch.setattr(archives, "FLUSH", most)
+        monkeypatch.setattr(archives, "FLUSH_BYTES", size)
+        members, bad = archives.read_members(files, wanted)
+        got = sorted((r.container_file, r.source_file, bytes(r.content).decode()) for r in members.collect())
+        assert got == sorted((k, n, n * 9) for k, v in inside.items() for n in v) and bad.count() == 0
