@@ -1,7 +1,9 @@
 import os
 import random
+from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +125,43 @@ def test_exact_with_subwords(spark):
     assert [r.n for r in cut] == [5, 1]
 
 
+def test_exact_hands_back_small_batches():
+    from textmill.operators.chunk_exact import SLICE, _walked
+
+    words = "word " * 400
+    texts = [words if i % 2 else words * 8 for i in range(4000)]
+    batch = pa.record_batch(
+        {
+            "source_file": [str(i) for i in range(len(texts))],
+            "text": [t.strip() for t in texts],
+            "token_count": pa.array([len(t.split()) for t in texts], pa.int32()),
+            "lengths": pa.array([None if i % 2 else [len(t) - 1] for i, t in enumerate(texts)], pa.list_(pa.int32())),
+        }
+    )
+    for failures in (False, True):
+        run = _walked(["source_file"], 512, 100, WhitespaceCounter().meter(), failures)
+        sizes, found = [], {}
+        for got in run(iter([batch])):
+            sizes.append(got.nbytes)
+            for r in got.select(["source_file", "chunk_index"]).to_pylist():
+                found.setdefault(r["source_file"], []).append(r["chunk_index"])
+        assert batch.nbytes > 8 * SLICE and max(sizes) < 1.5 * SLICE
+        # Every document once, whole where it fits, else all of its chunks in order.
+        assert len(found) == len(texts) and all(v == list(range(8 if int(k) % 2 == 0 else 1)) for k, v in found.items())
+
+
+def test_exact_passes_columns_on(spark):
+    long, schema = "word " * 40, "source_file string, text string, n int, at timestamp, tags array<string>"
+    at = datetime(2024, 2, 29, 12, 30)
+    df = spark.createDataFrame([("a", "short", None, at, ["x"]), ("b", long, 3, None, []), ("c", " ", 1, at, None)], schema)
+    got = chunk_exact(df, 30, 0, WhitespaceCounter(), "n", "at", "tags", failures=True).orderBy("source_file", "chunk_index").collect()
+    assert [(r.source_file, r.n, r.at, r.tags, r.chunk_index, r.token_count, r.failure) for r in got] == [
+        ("a", None, at, ["x"], 0, 1, None),
+        ("b", 3, None, [], 0, 30, None),
+        ("b", 3, None, [], 1, 10, None),
+    ]
+
+
 def test_one_long_word_stays_whole():
     text = "x" * 50 + " y"
     meter = lambda t: (lambda a, b: b - a)  # noqa: E731 - every character is a token
