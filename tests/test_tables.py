@@ -210,6 +210,56 @@ def test_tables_that_fail_the_gate_become_text(spark):
     assert chunks.count() == 0 and bad.collect()[0].error_code == "TOO_MANY_ROWS"
 
 
+def sheets(spark, n: int, sources: int):
+    """Rows whose ids run through all sources, some blank or without a note."""
+    k = F.col("id")
+    return spark.range(n).select(
+        F.concat(F.lit("s"), k % sources).alias("source_file"),
+        (k * 7).alias("row_idx"),
+        F.when(k % 11 == 0, F.lit(" \u2003")).otherwise(F.concat(F.lit("a b "), k)).alias("a"),
+        F.when((k % 3 > 0) & (k % sources > 2), F.concat_ws(" ", F.lit("x"), k % 5, F.repeat(F.lit("y "), (k % 13).cast("int")))).alias("note"),
+    )
+
+
+def test_ids_through_all_sources_make_one_block_each(spark):
+    from textmill.operators.ordering import with_blocks
+
+    df = sheets(spark, 40_000, 1000)
+    # 40 rows each, in 69 blocks of ids.
+    profile = table_profile(df, layout_of(df))
+    assert profile.count() == 1000 and {r.n_rows for r in profile.collect()} == {40}
+    got = chunk_tables(df, JobOptions(min_rows_for_table=40))[0].groupBy("source_file").agg(F.max("chunk_index").alias("last"), F.count("*").alias("n"))
+    assert all(r.last == r.n - 1 for r in got.collect())
+    # A source of more rows than a block holds keeps its blocks of ids.
+    big = with_blocks(sheets(spark, 10_000, 2).unionByName(df.where("source_file = 's9'")))
+    assert big.groupBy("source_file").agg(F.countDistinct("_blk").alias("n")).orderBy("source_file").collect() == [("s0", 18), ("s1", 18), ("s9", 1)]
+
+
+@pytest.mark.parametrize("options", [JobOptions(), JobOptions(output_text_column="note", normalization="uppercase")])
+def test_measured_and_sampled_ratios_agree(spark, monkeypatch, options):
+    df = sheets(spark, 1500, 20)
+    both = []
+    for bits in (12, 2):  # Sources of 75 rows: one block each, then many.
+        monkeypatch.setattr(ordering, "BLOCK_BITS", bits)
+        ratios = {r.source_file: r.ratio for r in char_token_ratio(df, options).collect()}
+        chunks = chunk_rows(df, options).select("source_file", "chunk_index", "row_idx", "text", "token_count").collect()
+        both.append((ratios, sorted(map(tuple, chunks))))
+    assert both[0] == both[1] and len(both[0][0]) == 20 and len(set(both[0][0].values())) > 3
+
+
+def test_loose_rows_of_small_and_large_sources(spark, monkeypatch):
+    df = sheets(spark, 300, 3).unionByName(sheets(spark, 12, 4).withColumn("source_file", F.concat(F.lit("t"), "source_file")))
+    monkeypatch.setattr(ordering, "BLOCK_BITS", 4)
+    got = chunk_tables(df, JobOptions(min_cols_for_table=5, max_tokens=32768, overlap=0))[0].collect()
+    lines = {}
+    for r in df.orderBy("row_idx").collect():
+        lines.setdefault(r.source_file, ["a | note"]).append(f"{r.a} | {r.note or ''}")
+    for source, mine in lines.items():
+        texts = [r.text for r in sorted(got, key=lambda r: r.chunk_index) if r.source_file == source]
+        assert len(texts) == (7 if source[0] == "s" else 1)
+        assert "".join("\n".join(texts).split()) == "".join("\n".join(mine).split())
+
+
 def test_empty_table(spark):
     chunks, bad = chunk_tables(rows_of(spark).limit(0), JobOptions())
     assert chunks.count() == 0 and bad.count() == 0
