@@ -232,7 +232,13 @@ def test_ids_through_all_sources_make_one_block_each(spark):
     assert all(r.last == r.n - 1 for r in got.collect())
     # A source of more rows than a block holds keeps its blocks of ids.
     big = with_blocks(sheets(spark, 10_000, 2).unionByName(df.where("source_file = 's9'")))
-    assert big.groupBy("source_file").agg(F.countDistinct("_blk").alias("n")).orderBy("source_file").collect() == [("s0", 18), ("s1", 18), ("s9", 1)]
+    assert big.groupBy("source_file").agg(F.countDistinct("_blk").alias("n")).orderBy("source_file").collect() == [("s0", 3), ("s1", 3), ("s9", 1)]
+    # Ids 14 apart: blocks of 8 * 4,096 ids. Dense ones keep blocks of 4,096.
+    dense = with_blocks(spark.range(3, 10_000).selectExpr("'t' source_file", "id row_idx", "'x' a"))
+    assert [r.n for r in dense.groupBy("_blk").agg(F.count("*").alias("n")).orderBy("_blk").collect()] == [4093, 4096, 1808]
+    # Gaps cannot make a block grow beyond 16 * 4,096 ids.
+    gap = with_blocks(spark.range(200_000).selectExpr("'t' source_file", "id + if(id > 150000, 1L << 50, 0L) row_idx", "'x' a"))
+    assert max(r["count"] for r in gap.groupBy("_blk").count().collect()) == 65_536
 
 
 @pytest.mark.parametrize("options", [JobOptions(), JobOptions(output_text_column="note", normalization="uppercase")])
