@@ -5,10 +5,12 @@ import itertools
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from llm.conftest import components_of
 
-from textmill.llm import line_dedup
+from textmill.llm import jaccard_join, line_dedup
 from textmill.llm.jaccard_join import bands, jaccard_classes
 from textmill.llm.line_dedup import dedup_lines, edit_distance_within
 from textmill.llm.substring_dedup import dedup_substrings
@@ -91,6 +93,71 @@ def test_bands_leave_parts_over():
     assert all(int(b) * 100 // 85 <= int(a) for b, a in zip(last[20:60], last[21:61]))
 
 
+def test_texts_that_share_a_passage_are_not_read_again(spark, monkeypatch):
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(30)]
+    rows = []
+    for i in range(80):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        words[i:i] = passage
+        rows.append((i, " ".join(words)))
+    rows.append((80, rows[7][1] + " and more"))
+    seen, written = [], jaccard_join.written
+
+    def counted(df):
+        seen.append((set(df.columns), out := written(df)))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", counted)
+    got = {r.doc_id: r.component_id for r in jaccard_classes(table(spark, rows), "doc_id", "text", 5, 80).collect()}
+    assert got == {i: i for i in range(80)} | {80: 7}
+    assert sum(df.count() for names, df in seen if "text" in names) == 2
+    assert {r.id for names, df in seen if names == {"key", "id", "rep"} for r in df.collect()} == {7, 80}
+
+
+@pytest.mark.parametrize("num", [80, 85])
+def test_partners_share_more_keys_than_they_can_do_without(num):
+    rng = np.random.default_rng(num)
+    last, most, *_ = bands(num, 100)
+    for n in [*range(4, 70), *rng.integers(70, 1500, 60)]:
+        # Two sets at the threshold or just above it: b has n elements, a has least of them and no others.
+        least = -(-int(n) * num // 100)
+        for extra in {0, (n - least) // 2}:
+            b = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            a = np.concatenate((b[: least + extra], rng.integers(0, 1 << 63, extra // 3).astype(np.uint64)))
+            common = least + extra
+            if len(a) > n or 100 * common < num * (len(a) + n - common):
+                continue
+            sizes = np.array([len(a), n])
+            owner, value = np.repeat([0, 1], sizes), np.concatenate((np.sort(a), np.sort(b)))
+            spare = jaccard_join._spare(owner, value, sizes, num, 100)
+            band = np.searchsorted(last, sizes)
+            scheme = np.full(2, band.min())
+            assert band[1] <= band[0] + 1
+            if not most[scheme[0]]:
+                continue
+            key, who = jaccard_join._scheme_keys(owner, value, sizes, np.ones(2, bool), scheme, num, 100)
+            assert (key & 1 == scheme[0] & 1).all()
+            assert len(set(key[who == 0]) & set(key[who == 1])) > spare[scheme[0] & 1].max()
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 100])
+def test_runs_across_batches(monkeypatch, size):
+    monkeypatch.setattr(jaccard_join, "MANY", 4)
+    keys = np.repeat(np.arange(12), [1, 2, 1, 3, 9, 1, 4, 1, 5, 2, 1, 7])
+    ids = np.arange(len(keys))
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(keys[i : i + size]), pa.array(ids[i : i + size])], ["key", "id"])
+        for i in range(0, len(keys), size)
+    ]
+    got = [r for b in jaccard_join._runs(iter(batches)) for r in b.to_pylist()]
+    times = np.bincount(keys)[keys]
+    assert [(r["key"], r["id"], r["times"]) for r in got] == [
+        (k, i, min(t, 4)) for k, i, t in zip(keys, ids, times, strict=True) if t > 1
+    ]
+    assert not list(jaccard_join._runs(iter([])))
+
+
 def removed(rows, size=13):
     words = {i: WORDS.findall(t or "") for i, t in rows}
     first = {}

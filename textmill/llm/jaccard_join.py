@@ -14,22 +14,30 @@ parts say little and would meet in large groups; m is chosen so that texts with
 ``m - D - 1`` empty parts can leave them out and still share another part. Texts with more
 of them keep all.
 
+Texts of common phrases share a few keys by chance, ever more of them in a larger corpus,
+while partners share many. From its size, its empty parts and the differences a partner may
+have follows the number of keys a text shares with any partner under a scheme. All of these
+but one it can do without, and of its keys that others have it leaves out so many, those of
+most texts first: of the keys two partners share the one of the fewest texts stays with both.
+
 Equal sets are one class and travel as one. Classes that hold over a thousandth of the
 rows, of which there are under a thousand, send keys for their smallest id alone. Groups
 of a key are never expanded: first each member is paired with one member of its group and
-the pairs verified; only where a group then still spans several components, pairs across
-components are formed, filtered by sketch distance and verified. Every link between two
-texts joins their components, whichever pairs were skipped.
+the pairs verified; only where a group of three or more then still spans several components,
+pairs across components are formed, filtered by sketch distance and verified. Every link
+between two texts joins their components, whichever pairs were skipped. Only the texts of
+pairs that the sketches let through are read again.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.llm import sql
@@ -38,6 +46,7 @@ from textmill.llm.words import U64, mix, pieces, shingles, words
 
 SKETCH_WORDS = 16
 HEAVY = 1000
+MANY = 4096
 _BANDS: dict[tuple[int, int], tuple] = {}
 
 
@@ -70,7 +79,27 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray,
         yield low, high, owner, value, np.bincount(owner, minlength=high - low)
 
 
-def _prints(k: int):
+def _spare(owner, value, sizes, num, den) -> np.ndarray:
+    """Number of shared keys each text can do without, under its scheme of even number and of odd."""
+    last, _, parts, weak = bands(num, den)
+    band = np.searchsorted(last, sizes)
+    spread = mix(value + U64(3))
+    out = np.zeros((2, len(sizes)), np.int32)
+    for lower in (0, 1):
+        scheme = np.maximum(band - lower, 0)
+        m = parts[scheme]
+        begin = np.cumsum(m) - m
+        empty = np.ones(int(m.sum()), np.int64)
+        empty[begin[owner] + (spread % m[owner].astype(U64)).astype(np.int64)] = 0
+        empty = np.add.reduceat(empty, begin)
+        most = sizes + (last[scheme] if lower else sizes * den // num)
+        least = m - most * (den - num) // (den + num) - np.minimum(empty, weak[scheme])
+        chosen = band >= lower
+        out[scheme[chosen] & 1, np.flatnonzero(chosen)] = np.maximum(least - 1, 0)[chosen]
+    return out
+
+
+def _prints(k: int, num: int, den: int):
     def run(batches):
         for batch in batches:
             for low, high, owner, value, sizes in _sets(batch, k):
@@ -84,6 +113,7 @@ def _prints(k: int):
                     bit = (value & U64(SKETCH_WORDS * 64 - 1)).astype(np.int64)
                     np.bitwise_xor.at(sketch, (owner, bit >> 6), U64(1) << (bit & 63).astype(U64))
                 flat = pa.array(sketch.reshape(-1).view(np.int64))
+                even, odd = _spare(owner, value, sizes, num, den)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(low, high - low),
@@ -93,15 +123,17 @@ def _prints(k: int):
                         pa.ListArray.from_arrays(
                             pa.array(np.arange(high - low + 1, dtype=np.int32) * SKETCH_WORDS), flat
                         ),
+                        pa.array(even),
+                        pa.array(odd),
                     ],
-                    ["id", "n", "f1", "f2", "sketch"],
+                    ["id", "n", "f1", "f2", "sketch", "even", "odd"],
                 )
 
     return run
 
 
 def _scheme_keys(owner, value, sizes, chosen, scheme, num, den) -> tuple[np.ndarray, np.ndarray]:
-    """Join keys of the chosen texts, text ``i`` under scheme ``scheme[i]``."""
+    """Join keys of the chosen texts, text ``i`` under scheme ``scheme[i]``; odd ones in schemes of odd number."""
     _, _, parts, weak = bands(num, den)
     keep = chosen[owner]
     owner, value = owner[keep], value[keep]
@@ -117,7 +149,7 @@ def _scheme_keys(owner, value, sizes, chosen, scheme, num, den) -> tuple[np.ndar
     who, part = owner[first], part[first]
     lean = m - np.bincount(who, minlength=len(sizes)) <= weak[scheme]
     tag = mix((scheme[who] * (1 << 32) + part + 1).astype(U64))
-    keys = [(mix(key ^ tag).view(np.int64), who)]
+    keys = [(mix(key ^ tag), who)]
     thin = np.flatnonzero(chosen & ~lean)
     if len(thin):  # their empty parts count too
         who = np.repeat(thin, m[thin])
@@ -126,8 +158,9 @@ def _scheme_keys(owner, value, sizes, chosen, scheme, num, den) -> tuple[np.ndar
         empty = ~np.isin(who * (1 << 32) + part, have)
         who, part = who[empty], part[empty]
         tag = mix((scheme[who] * (1 << 32) + part + 1).astype(U64))
-        keys.append((mix(tag).view(np.int64), who))
-    return np.concatenate([x[0] for x in keys]), np.concatenate([x[1] for x in keys])
+        keys.append((mix(tag), who))
+    key, who = np.concatenate([x[0] for x in keys]), np.concatenate([x[1] for x in keys])
+    return ((key & ~U64(1)) | (scheme[who] & 1).astype(U64)).view(np.int64), who
 
 
 def _keys(k: int, num: int, den: int, heavy: dict[tuple[int, int, int], int]):
@@ -168,28 +201,33 @@ def _keys(k: int, num: int, den: int, heavy: dict[tuple[int, int, int], int]):
 
 
 def _runs(batches):
-    """From rows sorted by key, those whose key has several rows, with the first row's id."""
-    key = who = lead = np.zeros(0, np.int64)
-    sent = False
-    for batch in batches:
-        k = np.concatenate((key, batch.column(0).to_numpy()))
-        i = np.concatenate((who, batch.column(1).to_numpy()))
-        if not len(k):
+    """From rows sorted by key, those whose key has several rows, with their number, ``MANY`` at most."""
+    key = who = np.zeros(0, np.int64)
+    going = None  # the key of which so many rows were sent
+    for batch in chain(batches, (None,)):
+        if batch is not None:
+            key = np.concatenate((key, batch.column(0).to_numpy()))
+            who = np.concatenate((who, batch.column(1).to_numpy()))
+        if not len(key):
             continue
-        start = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        length = np.diff(np.append(start, len(k)))
-        rep = np.repeat(i[start], length)
-        if len(lead) and len(key):
-            rep[: length[0]] = lead[0]
-        fresh = np.ones(len(k), bool)
-        if len(key) and sent:
-            fresh[0] = False
-        several = np.repeat(length > 1, length)
-        out = several & fresh
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        length = np.diff(np.append(start, len(key)))
+        times = np.minimum(length, MANY)
+        if going == key[0]:
+            times[0] = MANY
+        end = len(key)
+        if times[-1] == MANY:
+            going = key[-1]
+        elif batch is not None:  # the last group may go on
+            end = int(start[-1])
+        times = np.repeat(times, length)[:end]
+        out = times > 1
         if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (k, i, rep)], ["key", "id", "rep"])
-        sent = bool(several[-1])
-        key, who, lead = k[-1:], i[-1:], rep[-1:]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[:end][out]), pa.array(who[:end][out]), pa.array(times[out].astype(np.int32))],
+                ["key", "id", "times"],
+            )
+        key, who = key[end:], who[end:]
 
 
 def _verified(k: int, num: int, den: int):
@@ -239,7 +277,8 @@ def jaccard_classes(docs: DataFrame, id_col: str, text_col: str, k: int = 4, num
     ship()
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    prints = written(docs.mapInArrow(_prints(k), "id bigint, n bigint, f1 bigint, f2 bigint, sketch array<bigint>"))
+    printed = "id bigint, n bigint, f1 bigint, f2 bigint, sketch array<bigint>, even int, odd int"
+    prints = written(docs.mapInArrow(_prints(k, num, den), printed))
     rows = prints.count()
     grouped = prints.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(
         F.min("id").alias("rep"), F.count("*").alias("copies")
@@ -250,26 +289,33 @@ def jaccard_classes(docs: DataFrame, id_col: str, text_col: str, k: int = 4, num
     }  # fewer than HEAVY classes can hold so many rows each, or than 1/50 of a small table's rows
     known = written(
         prints.join(classes.drop("copies"), ["f1", "f2", "n"], "left").select(
-            "id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep")
+            "id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep"), "even", "odd"
         )
     )
 
     keys = docs.mapInArrow(_keys(k, num, den, heavy), "key bigint, id bigint")
-    runs = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_runs, "key bigint, id bigint, rep bigint")
-    members = written(runs)
+    runs = written(
+        keys.repartition("key").sortWithinPartitions("key").mapInArrow(_runs, "key bigint, id bigint, times int")
+    )
     release(spark)
-    to_class = known.where("rep is not null").groupBy("id").agg(F.min("rep").alias("class"))
-    twice = known.where("rep is not null").groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("a"))
+    of_id = known.where("rep is not null").groupBy("id")
+    to_class = of_id.agg(F.min("rep").alias("class"), F.min("even").alias("even"), F.min("odd").alias("odd"))
+    twice = of_id.agg(F.min("rep").alias("b"), F.max("rep").alias("a"))
+    odd = F.col("key").bitwiseAND(F.lit(1)) == 1
+    turn = F.row_number().over(Window.partitionBy("id", odd).orderBy(F.desc("times"), F.desc("key")))
+    rare = runs.join(to_class, "id").withColumn("turn", turn).where(F.col("turn") > F.when(odd, F.col("odd")).otherwise(F.col("even")))
+    group = Window.partitionBy("key")
     members = written(
-        members.join(to_class, "id")
-        .join(to_class.select(F.col("id").alias("rep"), F.col("class").alias("lead")), "rep")
-        .select("key", F.col("class").alias("id"), F.col("lead").alias("rep"))
+        rare.select("key", F.col("class").alias("id"))
+        .select("key", "id", F.min("id").over(group).alias("rep"), F.max("id").over(group).alias("last"))
+        .where("rep <> last")
+        .select("key", "id", "rep")
         .distinct()
     )
+    release(spark)
     sketches = prints.where("n > 0").select("id", "n", "sketch")
     involved = members.select("id").distinct()
     sketched = written(sketches.join(involved, "id").dropDuplicates(["id"]))
-    texts = written(docs.join(involved, "id").dropDuplicates(["id"]))
     release(spark)
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -286,6 +332,10 @@ def jaccard_classes(docs: DataFrame, id_col: str, text_col: str, k: int = 4, num
         )
 
     def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs)
+        ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+        texts = written(docs.join(ids, "id").dropDuplicates(["id"]))
+        release(spark)
         left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
         right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
@@ -297,7 +347,8 @@ def jaccard_classes(docs: DataFrame, id_col: str, text_col: str, k: int = 4, num
     labelled = members.join(labels, F.col("id") == F.col("node"), "left").select(
         "key", "id", F.coalesce("component", "id").alias("label")
     )
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    of_key = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"))
+    mixed = of_key.where("lo <> hi and members > 2")  # two have met
     open_ = written(labelled.join(mixed.select("key"), "key").join(sketched, "id"))
     x, y = open_.alias("x"), open_.alias("y")
     across = (
