@@ -90,3 +90,16 @@ def test_empty_and_wordless_tables(spark):
     got = mix_sources(table(spark, [(1, None, None), (2, "", "a")]), "doc_id", "text", "source").collect()
     assert [(r.taken, r.target) for r in got] == [(0, 0.0)] * 2
     assert mixed_documents(table(spark, []), "doc_id", "text", "source").count() == 0
+
+
+def test_both_joins_share_one_shuffle_of_the_texts(spark, tmp_path):
+    rows = [(i, f"w{i} " * (1 + i % 7), "ab"[i % 2]) for i in range(60)] + [(5, "w5 " * 6, "b")] * 2
+    table(spark, rows).write.parquet(f"{tmp_path}/docs")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = mixed_documents(spark.read.parquet(f"{tmp_path}/docs"), "doc_id", "text", "source")
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("ReusedExchange") == 1, plan

@@ -228,7 +228,8 @@ def mixed_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str
     docs = docs.toDF(*places)
     id_col, text_col, source_col = (places[names.index(c)] for c in (id_col, text_col, source_col))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("bigint")
-    own = docs.withColumns({"_own": _key(source_col), "_words": size, "_h": F.xxhash64(text_col)})
+    # The same columns for both joins, so that the texts are dealt out once.
+    own = docs.withColumns({"_own": _key(source_col), "_words": size})
     once = plan.where("_rows = 1")
     condition = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")) & (F.col("_words") == F.col("_size"))
 
@@ -237,7 +238,7 @@ def mixed_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str
         return rows.withColumn("_copies", copies).where("_copies > 0").withColumn("_one", times).select(*docs.columns)
 
     alone = repeated(own.join(once, condition), F.col("_all"))
-    turn = F.row_number().over(Window.partitionBy("_id", "_key", "_size").orderBy("_h"))
+    turn = F.row_number().over(Window.partitionBy("_id", "_key", "_size").orderBy(F.xxhash64(text_col)))
     many = own.join(plan.where("_rows > 1"), condition).withColumn("_turn", turn)
     shared = F.floor(F.col("_all") / F.col("_rows")) + F.when(F.col("_turn") <= F.col("_all") % F.col("_rows"), 1).otherwise(0)
     return alone.union(repeated(many, shared)).toDF(*names)
